@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,30 +37,40 @@ def zero_padded(text: Column, width: Column) -> Column:
     return F.concat(text, F.repeat(F.lit("0"), F.greatest(width - F.length(text), F.lit(0)).cast("int")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; a lambda would evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _slide(text: Column, size: int) -> Column:
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
+def _grams(padded: Column, size: int, fallback: bool) -> Column:
+    short = F.array(padded) if fallback else F.array().cast("array<string>")
+    return F.when(F.length(padded) < size, short).otherwise(_slide(padded, size))
+
+
 def char_ngrams(text: Column, size: int, width: Column) -> Column:
     """Sliding n-grams of the padded text; a padded text shorter than ``size`` is its own gram."""
-    padded = zero_padded(text, width)
-    return F.when(F.length(padded) < size, F.array(padded)).otherwise(_slide(padded, size))
+    return let(zero_padded(text, width), lambda p: _grams(p, size, True))
 
 
 def char_ngrams_dim(text: Column, size: int, dimension: Column) -> Column:
     """n-grams for a required number of columns: padded to ``dimension + size - 1``, without fallback."""
-    padded = zero_padded(text, dimension + size - 1)
-    return F.when(F.length(padded) < size, F.array().cast("array<string>")).otherwise(_slide(padded, size))
+    return let(zero_padded(text, dimension + size - 1), lambda p: _grams(p, size, False))
 
 
 def char_ngram_range(text: Column, smallest: int, largest: int, width: Column) -> Column:
     """n-grams of all sizes from ``smallest`` to ``min(largest, width)``, in order of size."""
-    grams = [
-        F.when(F.lit(size) <= width, char_ngrams(text, size, width)).otherwise(F.array().cast("array<string>"))
-        for size in range(smallest, largest + 1)
-    ]
-    return F.concat(*grams)
+
+    def grams(padded: Column) -> Column:
+        none = F.array().cast("array<string>")
+        sizes = range(smallest, largest + 1)
+        return F.concat(*[F.when(F.lit(size) <= width, _grams(padded, size, True)).otherwise(none) for size in sizes])
+
+    return let(zero_padded(text, width), grams)
 
 
 def gram_sentence(grams: Column) -> Column:
@@ -72,10 +84,20 @@ def float_text(value: Column) -> Column:
 
 
 def numbers(grams: Column) -> Column:
-    """Grams as doubles; NULL where a gram is not a number."""
-    return F.transform(grams, lambda g: F.when(is_number(g), g.try_cast("double")))
+    """Grams as doubles; NULL where a gram is not a number.
+
+    The full pattern is only tried on rows that hold a letter or a blank, where the cast alone
+    would accept spellings such as ``1d``.
+    """
+
+    def convert(all_grams: Column) -> Column:
+        plain = F.transform(all_grams, lambda g: g.try_cast("double"))
+        checked = F.transform(all_grams, lambda g: F.when(is_number(g), g.try_cast("double")))
+        return F.when(F.array_join(all_grams, "").rlike(r"[^0-9.+\-]"), checked).otherwise(plain)
+
+    return let(grams, convert)
 
 
 def tokens(sentence: Column) -> Column:
-    """Lower-case tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(sentence), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-case tokens: runs of two or more letters, digits or underscores of any script."""
+    return F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))

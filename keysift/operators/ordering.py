@@ -25,7 +25,7 @@ def grouped_row_number(
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     # The arrival number splits runs of equal sort keys over several partitions.
     ordered = df.withColumn("_tie", F.monotonically_increasing_id())
-    ordered = ordered.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    ordered = ordered.repartitionByRange(*keys, F.col("_tie")).sortWithinPartitions(*keys, F.col("_tie")).drop("_tie")
     ordered = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()))
     ordered = ordered.withColumn("_chunk", F.shiftright("_row", _ROW_BITS))
 

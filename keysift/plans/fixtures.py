@@ -14,28 +14,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key tables without row positions: (table_id, key)."""
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few large splits; inputs with enough splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = spread(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey"))
+    owner = (F.col("l_suppkey") % TABLES).cast("int")
     key = F.concat_ws(
         ":",
         F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 4),
         F.col("l_partkey").cast("string"),
         F.lower(F.hex("l_orderkey")),
     )
-    owner = (F.col("l_suppkey") % TABLES).cast("int")
-    return table(spark, sf_dir, "lineitem").select(owner.alias("table_id"), key.alias("key"))
+    return source.select(owner.alias("table_id"), key.alias("key"), "l_orderkey", "l_partkey")
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key tables without row positions: (table_id, key)."""
+    return key_rows(spark, sf_dir).select("table_id", "key")
 
 
 def keys_with_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key tables with the 0-based row position inside each table."""
-    source = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws(
-        ":", F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 4), F.col("l_partkey").cast("string"), F.lower(F.hex("l_orderkey"))
-    )
-    rows = source.select((F.col("l_suppkey") % TABLES).cast("int").alias("table_id"), "l_orderkey", "l_partkey", key.alias("key"))
+    rows = key_rows(spark, sf_dir)
     return grouped_row_number(rows, ["table_id"], ["l_orderkey", "l_partkey"]).select("table_id", "pos", "key")
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweep observations: one run per observed (nu, gamma, tol), from the returned line items."""
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    axes = [F.col("l_discount").alias("nu"), F.col("l_tax").alias("gamma"), F.col("l_quantity").alias("tol")]
+    errors = [F.count_if(F.col("l_linenumber") == t).alias(f"_e{t}") for t in range(1, 8)]
+    grouped = rows.groupBy(*axes).agg(
+        F.count_if(F.expr("l_linenumber < 3")).alias("falsepositive_c"),
+        F.count_if(F.expr("l_linenumber >= 3 and l_linenumber < 5")).alias("falsepositive_bf"),
+        F.count("*").alias("_n"),
+        F.sum("l_partkey").alias("size"),
+        F.sum("l_suppkey").alias("bfsize"),
+        *errors,
+    )
+    error_train = F.create_map(*[c for t in range(1, 8) for c in (F.lit(t), F.col(f"_e{t}"))])
+    fpr = (F.col("falsepositive_c") + F.col("falsepositive_bf")) / F.col("_n")
+    return grouped.withColumn("fpr", fpr).withColumn("error_train", error_train).select(
+        "nu", "gamma", "tol", "fpr", "falsepositive_c", "falsepositive_bf", "error_train", "size", "bfsize"
+    )
+
+
+G = """
+G AS (
+  SELECT l_discount AS nu, l_tax AS gamma, l_quantity AS tol,
+         (count(*) FILTER (l_linenumber < 5))::DOUBLE / count(*) AS fpr,
+         count(*) FILTER (l_linenumber < 3) AS falsepositive_c,
+         count(*) FILTER (l_linenumber >= 3 AND l_linenumber < 5) AS falsepositive_bf,
+         count(*) AS errors, CAST(sum(l_partkey) AS BIGINT) AS size, CAST(sum(l_suppkey) AS BIGINT) AS bfsize
+  FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_discount, l_tax, l_quantity)
+"""
+
 # SQL twins.  K holds the key tables with positions.
 K = """
 K AS (
