@@ -37,7 +37,14 @@ def read_observation_json(spark: SparkSession, path: str, schema: StructType) ->
         for f in schema
     ])
     records = lines.where("value <> ']}'").select(F.from_json("value", text_keys).alias("r"))
-    return records.select(*[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in schema])
+
+    def field(f: StructField) -> Column:
+        value = F.col(f"r.{f.name}")
+        if isinstance(f.dataType, MapType):
+            value = F.transform_keys(value, lambda k, _: k.cast(f.dataType.keyType))
+        return value.alias(f.name)
+
+    return records.select(*[field(f) for f in schema])
 
 
 def write_csv(runs: DataFrame, path: str) -> None:
