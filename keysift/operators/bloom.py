@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions.hashing import MEDIUM_LIMIT, NARROW_LIMIT, HashScheme, digest_words, slice_positions
-from keysift.session import BROADCAST_BYTES, broadcast_if_small
+from keysift.session import BROADCAST_BYTES, broadcast_if_small, materialize
 
 WORD_BITS = 64
 PARAM_COLUMNS = ["error_rate", "num_slices", "bits_per_slice", "num_bits", "capacity"]
@@ -87,10 +87,13 @@ class FilterSet:
 
 
 def size_filters(capacities: DataFrame, by: Sequence[str], error_rate: float, capacity: str = "capacity") -> DataFrame:
-    """Filter parameters per group; a capacity below one counts as one."""
+    """Filter parameters per group; a capacity below one counts as one.
+
+    The result (one row per filter) is checkpointed: it is asked for its size and joined again.
+    """
     check_error_rate(error_rate)
     sized = with_filter_size(capacities, F.greatest(F.col(capacity), F.lit(1)), F.lit(float(error_rate)))
-    return sized.select(*by, *PARAM_COLUMNS)
+    return materialize(sized.select(*by, *PARAM_COLUMNS))
 
 
 def key_bits(keys: DataFrame, params: DataFrame, by: Sequence[str], error_rate: float, key: str = "key") -> DataFrame:

@@ -1,7 +1,7 @@
 """Isolation forests, one per table.
 
 Trees are grown on samples of at most 256 rows, so growing one tree is a bounded group; scoring
-walks all trees of a row with array expressions against the size-checked forest.
+walks the trees level by level through equi-joins.
 """
 
 from __future__ import annotations
@@ -82,39 +82,30 @@ def grow_trees(samples: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
     return grown
 
 
-def pack_forest(nodes: DataFrame, by: Sequence[str], trees: int, depth: int = 8) -> DataFrame:
-    """Per table, the dense node arrays of all its trees (``trees * 2^(depth+1)`` slots)."""
-    by, width = list(by), 1 << (depth + 1)
-    slots = nodes.select(*by).distinct().withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(trees * width - 1))))
-    placed = nodes.withColumn("_slot", (F.col("tree") * width + F.col("node")).cast("int"))
-    filled = slots.join(placed.select(*by, "_slot", "feature", "value", "path"), [*by, "_slot"], "left")
-    packed = filled.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_slot", "feature", "value", "path"))).alias("_f"))
-    return packed.select(*by, F.col("_f.feature").alias("_a"), F.col("_f.value").alias("_v"), F.col("_f.path").alias("_p"))
-
-
 def score(rows: DataFrame, nodes: DataFrame, by: Sequence[str], trees: int, sampled: DataFrame, depth: int = 8) -> DataFrame:
-    """Add ``score`` = ``2^(-E[path] / c(sample))``; the walk is an expression over the node arrays."""
-    by, width = list(by), 1 << (depth + 1)
+    """Distinct rows (by, x) with ``score`` = ``2^(-E[path] / c(sample))``.
+
+    Every (row, tree) steps down one level per equi-join with the nodes; the steps are map-side
+    while the forest is small, and the paths of a row meet in the map-side combine.
+    """
+    by = list(by)
     sizes = sampled.groupBy(*by, "tree").agg(F.count("*").alias("_n")).groupBy(*by).agg(F.max("_n").alias("_n"))
     n = F.col("_n")
-    expected = F.when(n <= 1, 1.0).when(n == 2, 1.0).otherwise(
-        2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n
-    )
-    forest = pack_forest(nodes, by, trees, depth).join(sizes.select(*by, expected.alias("_c")), by)
-    joined = rows.join(broadcast_if_small(forest, BROADCAST_BYTES // (trees * width * 20)), by, "left")
-
-    def path(tree):
-        def step(at, _):
-            slot = tree * width + at
-            feature = F.get(F.col("_a"), slot)
-            right = F.get(F.col("x"), feature) > F.get(F.col("_v"), slot)
-            return F.when(feature >= 0, 2 * at + F.when(right, 1).otherwise(0)).otherwise(at)
-
-        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
-        return F.get(F.col("_p"), tree * width + leaf)
-
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(trees - 1)), F.lit(0.0), lambda t, tree: t + path(tree))
-    return joined.withColumn("score", F.pow(F.lit(2.0), -(total / trees) / F.col("_c"))).drop("_a", "_v", "_p", "_c")
+    expected = F.when(n <= 2, 1.0).otherwise(2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n)
+    nodes = broadcast_if_small(nodes.select(*by, "tree", "node", "feature", "value", "path"), BROADCAST_BYTES // 64)
+    walk = rows.select(*by, "x").distinct().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    walk = walk.withColumn("node", F.lit(1).cast("bigint"))
+    for level in range(depth + 1):
+        met = walk.join(nodes, [*by, "tree", "node"])
+        if level == depth:
+            walk = met
+            break
+        right = (F.get(F.col("x"), F.col("feature")) > F.col("value")).cast("bigint")
+        step = F.when(F.col("feature") >= 0, 2 * F.col("node") + right).otherwise(F.col("node"))
+        walk = met.select(*by, "x", "tree", step.alias("node"))
+    paths = walk.groupBy(*by, "x").agg((F.sum("path") / trees).alias("_mean"))
+    scored = paths.join(broadcast_if_small(sizes.select(*by, expected.alias("_c"))), by)
+    return scored.select(*by, "x", F.pow(F.lit(2.0), -F.col("_mean") / F.col("_c")).alias("score"))
 
 
 def predict(score_column):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.operators.ordering import grouped_order_statistics
-from keysift.session import broadcast_if_small
+from keysift.session import broadcast_if_small, materialize
 
 FEATURE_SEED = 7
 
@@ -81,10 +81,10 @@ def fit(rows: DataFrame, by: Sequence[str], params: RBFParams, width: int) -> RB
     # One column per feature: all means come from a single aggregation with a map-side combine.
     featured = rows.select(*by, "x", z.alias("_z"))
     means = featured.groupBy(*by).agg(*[F.avg(F.get(F.col("_z"), F.lit(i))).alias(f"_f{i}") for i in range(params.features)])
-    embedding = means.select(*by, F.array(*[f"_f{i}" for i in range(params.features)]).alias("_mean"))
+    embedding = materialize(means.select(*by, F.array(*[f"_f{i}" for i in range(params.features)]).alias("_mean")))
     scored = featured.join(broadcast_if_small(embedding), by).withColumn("score", _inner("_z", "_mean"))
     threshold = grouped_order_statistics(scored.select(*by, "score"), by, "score", params.nu, "threshold")
-    return RBFModel(by, params, width, embedding, threshold)
+    return RBFModel(by, params, width, embedding, materialize(threshold))
 
 
 def support_ratio(scored: DataFrame, by: Sequence[str]) -> DataFrame:

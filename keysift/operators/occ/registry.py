@@ -82,8 +82,10 @@ class ForestModel:
         return rows.withColumn("_x", key_features())
 
     def accept(self, rows: DataFrame) -> DataFrame:
-        scored = iforest.score(rows.withColumn("x", F.col("_x")), self.nodes, self.by, self.trees, self.samples)
-        return scored.withColumn("accepted", iforest.predict(F.col("score")) == 1).drop("x", "score")
+        asked = rows.withColumn("x", F.col("_x"))
+        scored = iforest.score(asked, self.nodes, self.by, self.trees, self.samples)
+        answered = asked.join(scored, [*self.by, "x"], "left")
+        return answered.withColumn("accepted", F.coalesce(iforest.predict(F.col("score")) == 1, F.lit(False))).drop("x", "score")
 
 
 def fit_rp(keys: DataFrame, by: list[str], params: dict) -> rp.RPModel:

@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.session import BROADCAST_BYTES, broadcast_if_small
+from keysift.session import BROADCAST_BYTES, broadcast_if_small, materialize
 
+PACKED_DIMS = 32  # more directions than this are scored through joins
 PLANE_SEED = 42  # fixed value: the seed of the directions
 WIDENING = float(np.finfo(np.float32).eps)  # fixed value: how far open intervals are widened
 
@@ -207,49 +208,56 @@ class RPModel:
     _facts: dict = field(default_factory=dict)
 
     def prepare(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_v", project(self.features(), self.planes))
+        return rows.withColumn("_x", self.features()).withColumn("_v", project(F.col("_x"), self.planes)).drop("_x")
 
-    def packed_bytes(self) -> float:
-        """Upper bound of the packed lookup arrays, from the number of fitted (table, direction)s."""
+    def fits_broadcast(self) -> bool:
+        """Whether the packed lookup arrays are small, by their measured size, and one span per cell suffices."""
         if not self._facts:
-            frames = self.intervals.select(*self.by, "dim").distinct().count()
-            intervals = self.intervals.count()
-            self._facts["bytes"] = frames * (2 / self.params.epsilon + 4) * 8 + intervals * 64
-        return self._facts["bytes"]
+            cells = interval_cells(self.intervals, self.by).agg(F.count("*").alias("cells"), F.max(F.size("spans")).alias("spans"))
+            frames = self.intervals.select(*self.by, "dim").distinct().agg(F.count("*").alias("frames"))
+            row = cells.withColumn("frames", frames.scalar()).first()
+            self._facts["bytes"] = row["frames"] * (2 / self.params.epsilon + 4) * 16
+            self._facts["spans"] = row["spans"] or 0
+        few = self.params.D <= PACKED_DIMS and self._facts["spans"] <= 1
+        return few and self._facts["bytes"] <= self.limit
 
     def packed(self) -> DataFrame:
-        """Per table, the lookup cells of every direction in order."""
+        """Per table and direction, the ends of the interval at every lookup cell (NULL where none)."""
         frames = self.intervals.groupBy(*self.by, "dim").agg(
             F.first("low").alias("low"), F.first("high").alias("high"), F.first("gap").alias("gap")
         )
         top = lookup_cell(F.col("high"), F.col("low"), F.col("gap")) + 1
         bottom = lookup_cell(F.col("low") - WIDENING, F.col("low"), F.col("gap"))
-        blank = frames.withColumn("cell", F.explode(F.sequence(bottom, top))).join(
-            interval_cells(self.intervals, self.by).drop("low", "gap"), [*self.by, "dim", "cell"], "left"
+        dense = frames.withColumn("cell", F.explode(F.sequence(bottom, top))).join(
+            interval_cells(self.intervals, self.by).select(*self.by, "dim", "cell", F.get("spans", F.lit(0)).alias("_s")),
+            [*self.by, "dim", "cell"], "left",
         )
-        dims = blank.groupBy(*self.by, "dim").agg(
+        dims = dense.groupBy(*self.by, "dim").agg(
             F.first("low").alias("low"), F.first("gap").alias("gap"), F.min("cell").alias("base"),
-            F.sort_array(F.collect_list(F.struct("cell", "spans"))).alias("_c"),
+            F.sort_array(F.collect_list(F.struct("cell", F.col("_s.lo").alias("lo"), F.col("_s.hi").alias("hi")))).alias("_c"),
         )
-        entry = F.struct(F.col("low"), F.col("gap"), F.col("base"), F.col("_c.spans").alias("cells"))
-        return dims.groupBy(*self.by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim"), entry))).alias("_dims"))
+        columns = []
+        for d in range(self.params.D):
+            here = F.col("dim") == d
+            for name, value in (("low", F.col("low")), ("width", lookup_width(F.col("gap"))), ("base", F.col("base")), ("lo", F.col("_c.lo")), ("hi", F.col("_c.hi"))):
+                columns.append(F.first(F.when(here, value), ignorenulls=True).alias(f"_{name}{d}"))
+        return dims.groupBy(*self.by).agg(*columns)
 
     def accept(self, rows: DataFrame) -> DataFrame:
-        if self.packed_bytes() <= self.limit:
-            return self._accept_packed(rows)
-        return self._accept_joined(rows)
+        return self._accept_packed(rows) if self.fits_broadcast() else self._accept_joined(rows)
 
     def _accept_packed(self, rows: DataFrame) -> DataFrame:
-        dims = range(self.params.D)
-        frames = self.packed().select(*self.by, *[F.col("_dims")[F.lit(d)].alias(f"_m{d}") for d in dims])
-        joined = rows.join(F.broadcast(frames), self.by, "left")
+        """Map-side: no lambda is involved, so the lookup stays in generated code and copies no array."""
+        packed = self.packed()
+        joined = rows.join(F.broadcast(packed), self.by, "left")
         hits = F.lit(0)
-        for d in dims:
-            frame, value = F.col(f"_m{d}"), F.get(F.col("_v"), F.lit(d))
-            place = (lookup_cell(value, frame["low"], frame["gap"]) - frame["base"]).cast("int")
-            found = F.exists(F.get(frame["cells"], place), inside(value, self.params.closed))
+        for d in range(self.params.D):
+            value = F.get(F.col("_v"), F.lit(d))
+            place = (F.floor((value - F.col(f"_low{d}")) / F.col(f"_width{d}")) - F.col(f"_base{d}")).cast("int")
+            lo, hi = F.get(F.col(f"_lo{d}"), place), F.get(F.col(f"_hi{d}"), place)
+            found = (lo <= value) & (value <= hi) if self.params.closed else (lo < value) & (value < hi)
             hits = hits + F.when(found, 1).otherwise(0)
-        return joined.withColumn("accepted", accept_rule(hits, self.params)).drop(*[f"_m{d}" for d in dims])
+        return joined.withColumn("accepted", accept_rule(hits, self.params)).drop(*[c for c in packed.columns if c not in self.by])
 
     def _accept_joined(self, rows: DataFrame) -> DataFrame:
         ids = [*self.by, "_v"]  # equal projections in the same table get the same answer
@@ -262,8 +270,10 @@ class RPModel:
 def fit(rows: DataFrame, by: Sequence[str], params: RPParams, features: Callable[[], Column], width: int) -> RPModel:
     """One model per table from key rows; ``width`` is the number of features."""
     planes = unit_planes(params.D, width)
-    long = rows.select(*by, F.posexplode(project(features(), planes)).alias("dim", "value"))
-    return RPModel(list(by), params, planes, fit_intervals(long, by, params), features)
+    featured = rows.select(*by, features().alias("x"))  # a projection of its own, so features are computed once
+    long = featured.select(*by, F.posexplode(project(F.col("x"), planes)).alias("dim", "value"))
+    intervals = materialize(fit_intervals(long, by, params))  # fitted state: at most dims/epsilon rows per table
+    return RPModel(list(by), params, planes, intervals, features)
 
 
 def model_bits(intervals: DataFrame, by: Sequence[str], dims: int, width: int) -> DataFrame:

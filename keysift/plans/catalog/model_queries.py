@@ -100,7 +100,8 @@ def rp_score(spark, sf_dir):
     """Scores through the equi-join on lookup cells, the form that needs no broadcast."""
     intervals = rp.fit_intervals(long_points(spark, sf_dir), BY, PARAMS)
     probes = neighbour_points(spark, sf_dir)
-    long = probes.select("table_id", "side", "key", "n", F.posexplode(rp.project(key_features(), PLANES)).alias("dim", "value"))
+    probes = probes.withColumn("x", key_features())
+    long = probes.select("table_id", "side", "key", "n", F.posexplode(rp.project(F.col("x"), PLANES)).alias("dim", "value"))
     scored = rp.score_long(long, intervals, BY, ["side", "key", "n"])
     return scored.groupBy("side", "table_id", F.round(rp.decision(F.col("hits"), PARAMS.D), 6).alias("score")).agg(
         F.sum("n").alias("points")
@@ -390,12 +391,12 @@ def gmm_sample(spark, sf_dir):
 
 @query("iforest_predict")
 def iforest_predict(spark, sf_dir):
-    """Accepted points, and the mean score of the points nearest to and farthest from the centre."""
+    """Accepted points and the mean score per table."""
     keys = fixtures.keys(spark, sf_dir)
     forest = family("isolationforest")
     model = forest.fit(keys, BY, {"trees": 20})
     rows = points(spark, sf_dir).groupBy("table_id", "x").agg(F.count("*").alias("n"))
-    scored = iforest.score(rows, model.nodes, BY, model.trees, model.samples)
+    scored = rows.join(iforest.score(rows, model.nodes, BY, model.trees, model.samples), ["table_id", "x"])
     return scored.groupBy("table_id").agg(
         F.sum(F.when(iforest.predict(F.col("score")) == 1, F.col("n")).otherwise(0)).alias("accepted"),
         F.sum("n").alias("points"), F.round(F.avg("score"), 6).alias("mean_score"),
@@ -444,9 +445,9 @@ def cv_grid(spark, sf_dir):
     for gamma in (0.01, 0.1):
         z = rbf.fourier_features(F.col("x"), rbf.RBFParams(gamma=gamma, features=32), 64)
         rows = materialize(vectors.select("label", array_to_vector(z).alias("features")))
-        svc = LinearSVC(maxIter=10)
+        svc = LinearSVC(maxIter=5, aggregationDepth=2)
         grid = ParamGridBuilder().addGrid(svc.regParam, [0.001, 0.1]).build()
-        search = CrossValidator(estimator=svc, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=42, parallelism=4)
+        search = CrossValidator(estimator=svc, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=2, seed=42, parallelism=4)
         fitted = search.fit(rows)
         results += [(gamma, float(p[svc.regParam]), float(m)) for p, m in zip(grid, fitted.avgMetrics)]
     return spark.createDataFrame(results, "gamma double, reg_param double, area_under_roc double")
