@@ -39,7 +39,7 @@ def with_filter_size(df: DataFrame, capacity: Column, error_rate: Column) -> Dat
     slices = F.ceil(F.log2(1.0 / F.col("error_rate")))
     per_slice = F.ceil(F.col("capacity") * F.abs(F.log(F.col("error_rate"))) / (F.col("num_slices") * math.log(2) ** 2))
     return (
-        df.withColumn("capacity", capacity.cast("bigint"))
+        df.withColumn("capacity", capacity)
         .withColumn("error_rate", guard.cast("double"))
         .withColumn("num_slices", slices.cast("int"))
         .withColumn("bits_per_slice", per_slice.cast("bigint"))

@@ -205,8 +205,12 @@ class RPModel:
     intervals: DataFrame
     features: Callable[[], Column]
     limit: int = BROADCAST_BYTES
+    rule: Callable[[Column], Column] | None = None  # replaces the decision rule of ``params``
     _facts: dict = field(default_factory=dict)
 
+    def decide(self, hits: Column) -> Column:
+        return self.rule(hits) if self.rule else accept_rule(hits, self.params)
+
     def prepare(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("_x", self.features()).withColumn("_v", project(F.col("_x"), self.planes)).drop("_x")
 
@@ -257,14 +261,14 @@ class RPModel:
             lo, hi = F.get(F.col(f"_lo{d}"), place), F.get(F.col(f"_hi{d}"), place)
             found = (lo <= value) & (value <= hi) if self.params.closed else (lo < value) & (value < hi)
             hits = hits + F.when(found, 1).otherwise(0)
-        return joined.withColumn("accepted", accept_rule(hits, self.params)).drop(*[c for c in packed.columns if c not in self.by])
+        return joined.withColumn("accepted", self.decide(hits)).drop(*[c for c in packed.columns if c not in self.by])
 
     def _accept_joined(self, rows: DataFrame) -> DataFrame:
         ids = [*self.by, "_v"]  # equal projections in the same table get the same answer
         distinct = rows.select(*ids).distinct()
         long = distinct.select(*ids, F.posexplode("_v").alias("dim", "value"))
         scored = score_long(long, self.intervals, self.by, ["_v"], self.params.closed)
-        return rows.join(scored, ids).withColumn("accepted", accept_rule(F.col("hits"), self.params)).drop("hits")
+        return rows.join(scored, ids).withColumn("accepted", self.decide(F.col("hits"))).drop("hits")
 
 
 def fit(rows: DataFrame, by: Sequence[str], params: RPParams, features: Callable[[], Column], width: int) -> RPModel:

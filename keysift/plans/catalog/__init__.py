@@ -6,7 +6,7 @@ import importlib
 
 from keysift.plans.catalog.base import ORACLES, QUERIES
 
-AREAS = ["membership", "source_queries", "feature_queries", "model_queries"]
+AREAS = ["membership", "source_queries", "feature_queries", "model_queries", "evaluation_queries", "observation_queries"]
 
 
 def _load() -> None:

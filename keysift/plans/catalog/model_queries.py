@@ -241,7 +241,7 @@ def always_negative(spark, sf_dir):
 RBF = rbf.RBFParams(nu=0.1, gamma=0.5, tol=1e-3, features=16)
 
 
-def _rbf_sql() -> str:
+def rbf_sql() -> str:
     weights, phases = rbf.fourier_basis(RBF, WIDTH)
     scale = (2.0 / RBF.features) ** 0.5
     zs = ", ".join(
@@ -268,7 +268,7 @@ def rbf_scores(spark, sf_dir):
 
 @query(
     "rbf_fit_predict",
-    _rbf_sql() + """
+    rbf_sql() + """
 SELECT table_id, round(any_value(intercept), 6) AS intercept, count(*) FILTER (score + intercept > 0) AS accepted, count(*) FILTER (score + intercept <= 0) AS rejected,
        abs(count(*) FILTER (score + intercept <= 0)::DOUBLE / count(*) - 0.1) < 0.01 AS near_nu FROM A GROUP BY table_id""",
 )
@@ -283,7 +283,7 @@ def rbf_fit_predict(spark, sf_dir):
 
 @query(
     "margin_predict",
-    _rbf_sql() + " UNION ALL ".join(
+    rbf_sql() + " UNION ALL ".join(
         f" SELECT {t!r}::DOUBLE AS tolerance, table_id, count(*) FILTER (score + intercept > -{t!r}::DOUBLE) AS accepted FROM A GROUP BY table_id"
         for t in (1e-2, 1e-3, 1e-4, 1e4)
     ),
@@ -298,7 +298,7 @@ def margin_predict(spark, sf_dir):
 
 @query(
     "support_ratio",
-    _rbf_sql() + " SELECT table_id, round(count(*) FILTER (score + intercept <= 0)::DOUBLE / count(*), 6) AS support_ratio FROM A GROUP BY table_id",
+    rbf_sql() + " SELECT table_id, round(count(*) FILTER (score + intercept <= 0)::DOUBLE / count(*), 6) AS support_ratio FROM A GROUP BY table_id",
 )
 def support_ratio(spark, sf_dir):
     return rbf.support_ratio(rbf_scores(spark, sf_dir), BY).withColumn("support_ratio", F.round("support_ratio", 6))

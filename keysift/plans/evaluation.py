@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.bloom import FilterSet
+from keysift.session import materialize
 
 
 class Classifier(Protocol):
@@ -51,8 +52,8 @@ def backup_filters(
     at least one reject per table, as the older records do.
     """
     answered = own_predictions(keys, classifier)
-    rejects = answered.groupBy(*by).agg(F.count_if(~F.col("accepted")).alias("rejects"))
-    capacities = rejects.withColumn("capacity", F.expr(f"rejects div {share}"))
+    rejects = materialize(answered.groupBy(*by).agg(F.count_if(~F.col("accepted")).alias("rejects")))
+    capacities = rejects.withColumn("capacity", F.col("rejects") if share == 1 else F.col("rejects") / share)
     params = bloom.size_filters(capacities, by, error_rate)
     filters = bloom.build_filters(answered.where(~F.col("accepted")).select(*by, "key"), params, by, error_rate)
     if floor_one:
