@@ -6,7 +6,9 @@ import importlib
 
 from keysift.plans.catalog.base import ORACLES, QUERIES
 
-AREAS = ["membership", "source_queries", "feature_queries", "model_queries", "evaluation_queries", "observation_queries"]
+AREAS = [
+    "membership", "source_queries", "feature_queries", "model_queries", "evaluation_queries", "observation_queries", "log_queries",
+]
 
 
 def _load() -> None:
