@@ -8,6 +8,7 @@ from keysift.plans.catalog.base import ORACLES, QUERIES
 
 AREAS = [
     "membership", "source_queries", "feature_queries", "model_queries", "evaluation_queries", "observation_queries", "log_queries",
+    "stream_queries",
 ]
 
 
