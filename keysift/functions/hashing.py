@@ -7,7 +7,7 @@ import math
 import struct
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word width in bytes by slice width in bits.
@@ -53,13 +53,16 @@ class HashScheme:
         return [hashlib.new(self.algorithm, struct.pack("I", i)).digest() for i in range(count)]
 
 
-def digest_words(key: Column, scheme: HashScheme) -> Column:
-    """The first ``num_slices`` little-endian unsigned words of the salted digests of ``key``."""
-    digest = _SPARK_DIGEST[scheme.algorithm]
-    raw = F.encode(key, "UTF-8")
+def digest_texts(key: Column, scheme: HashScheme) -> list[Column]:
+    """The salted digests of ``key`` as hexadecimal text."""
+    digest, raw = _SPARK_DIGEST[scheme.algorithm], F.encode(key, "UTF-8")
+    return [digest(F.concat(F.lit(bytearray(salt)), raw)) for salt in scheme.salts]
+
+
+def text_words(texts: list[Column], scheme: HashScheme) -> Column:
+    """The first ``num_slices`` little-endian unsigned words of the digests."""
     words = []
-    for salt in scheme.salts:
-        text = digest(F.concat(F.lit(bytearray(salt)), raw))
+    for text in texts:
         for i in range(scheme.words_per_digest):
             first = 2 * scheme.width * i
             pairs = [F.substring(text, first + 2 * b + 1, 2) for b in reversed(range(scheme.width))]
@@ -68,15 +71,10 @@ def digest_words(key: Column, scheme: HashScheme) -> Column:
     return F.array(*words[: scheme.num_slices])
 
 
-def slice_positions(key: Column, num_slices: int, bits_per_slice: Column) -> Column:
-    """One bit position per slice.  Only the branch that fits the slice width is evaluated."""
-
-    def positions(width: int) -> Column:
-        words = digest_words(key, HashScheme(num_slices, width))
-        return F.transform(words, lambda w: (w % bits_per_slice).cast("bigint"))
-
-    return (
-        F.when(bits_per_slice < NARROW_LIMIT, positions(2))
-        .when(bits_per_slice < MEDIUM_LIMIT, positions(4))
-        .otherwise(positions(8))
-    )
+def with_digests(df: DataFrame, key: str, scheme: HashScheme, name: str, where: Column | None = None) -> tuple[DataFrame, Column]:
+    """Add the digests of ``key`` as columns of their own, so they are computed once; returns their words."""
+    columns = []
+    for i, text in enumerate(digest_texts(F.col(key), scheme)):
+        columns.append(f"{name}h{i}")
+        df = df.withColumn(columns[-1], text if where is None else F.when(where, text))
+    return df, text_words([F.col(c) for c in columns], scheme)

@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.functions.hashing import MEDIUM_LIMIT, NARROW_LIMIT, HashScheme, digest_words, slice_positions
-from keysift.session import BROADCAST_BYTES, broadcast_if_small, materialize
+from keysift.functions import hashing
+from keysift.functions.hashing import MEDIUM_LIMIT, NARROW_LIMIT, HashScheme
+from keysift.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize
 
 WORD_BITS = 64
 PARAM_COLUMNS = ["error_rate", "num_slices", "bits_per_slice", "num_bits", "capacity"]
@@ -47,6 +48,21 @@ def with_filter_size(df: DataFrame, capacity: Column, error_rate: Column) -> Dat
     )
 
 
+# Slice widths in bits that use words of 2, 4 and 8 bytes.
+WIDTH_SPANS = {2: (0, NARROW_LIMIT), 4: (NARROW_LIMIT, MEDIUM_LIMIT), 8: (MEDIUM_LIMIT, (1 << 63) - 1)}
+
+
+def measure(params: DataFrame) -> dict:
+    row = params.agg(
+        F.sum("num_bits").alias("bits"), F.min("bits_per_slice").alias("lo"), F.max("bits_per_slice").alias("hi"), F.count("*").alias("n")
+    ).first()
+    return {"bytes": (row["bits"] or 0) / 8, "lo": row["lo"] or 1, "hi": row["hi"] or 1, "filters": row["n"]}
+
+
+def used_widths(facts: dict) -> list[int]:
+    return [w for w, (lo, hi) in WIDTH_SPANS.items() if facts["lo"] < hi and facts["hi"] >= lo]
+
+
 @dataclass
 class FilterSet:
     """Filters that share one error rate, addressed by the columns in ``by``."""
@@ -64,16 +80,11 @@ class FilterSet:
     def facts(self) -> dict:
         """Measured size of the set: total bytes and the narrowest and widest slice."""
         if not self._facts:
-            row = self.params.agg(
-                F.sum("num_bits").alias("bits"), F.min("bits_per_slice").alias("lo"), F.max("bits_per_slice").alias("hi")
-            ).first()
-            self._facts.update(bytes=(row["bits"] or 0) / 8, lo=row["lo"] or 1, hi=row["hi"] or 1)
+            self._facts.update(measure(self.params))
         return self._facts
 
     def widths(self) -> list[int]:
-        facts = self.facts()
-        spans = {2: (0, NARROW_LIMIT), 4: (NARROW_LIMIT, MEDIUM_LIMIT), 8: (MEDIUM_LIMIT, 1 << 63)}
-        return [w for w, (lo, hi) in spans.items() if facts["lo"] < hi and facts["hi"] >= lo]
+        return used_widths(self.facts())
 
     def packed(self) -> DataFrame:
         """One row per filter with all its words in order; only for sets measured to be small."""
@@ -98,11 +109,20 @@ def size_filters(capacities: DataFrame, by: Sequence[str], error_rate: float, ca
 
 def key_bits(keys: DataFrame, params: DataFrame, by: Sequence[str], error_rate: float, key: str = "key") -> DataFrame:
     """Every (key row, slice) with the absolute bit it sets in its own filter."""
-    by = list(by)
-    joined = keys.join(broadcast_if_small(params.select(*by, "bits_per_slice")), by)
-    spots = slice_positions(F.col(key), slices_for(error_rate), F.col("bits_per_slice"))
-    exploded = joined.select("*", F.posexplode(spots).alias("slice", "position"))
-    return exploded.withColumn("bit", F.col("slice") * F.col("bits_per_slice") + F.col("position")).drop("bits_per_slice")
+    by, facts = list(by), measure(params)
+    sizes = params.select(*by, "bits_per_slice")
+    joined = keys.join(F.broadcast(sizes) if facts["filters"] <= BROADCAST_ROWS else sizes, by)
+    words, size, widths = None, F.col("bits_per_slice"), used_widths(facts)
+    for width in widths:
+        low, high = WIDTH_SPANS[width]
+        fits = None if len(widths) == 1 else (size >= low) & (size < high)
+        joined, found = hashing.with_digests(joined, key, HashScheme(slices_for(error_rate), width), f"_d{width}", fits)
+        found = found.cast("array<decimal(20,0)>" if 8 in widths else "array<bigint>")
+        words = found if words is None else F.when(fits, found).otherwise(words)
+    # The words stay an expression of the generator: a plain column would be filtered on, and hashed again.
+    exploded = joined.select(*keys.columns, "bits_per_slice", F.posexplode(words).alias("slice", "_word"))
+    exploded = exploded.withColumn("position", (F.col("_word") % size).cast("bigint")).drop("_word")
+    return exploded.withColumn("bit", F.col("slice") * size + F.col("position")).drop("bits_per_slice")
 
 
 def bits_to_words(bits: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -155,8 +175,9 @@ def insert_counts(
 def with_digests(probes: DataFrame, filters: FilterSet, key: str = "key") -> DataFrame:
     """Hash every probe once, in the word widths this set needs, before it meets any filter."""
     for width in filters.widths():
-        words = digest_words(F.col(key), HashScheme(filters.num_slices, width))
-        probes = probes.withColumn(f"_d{width}", words)
+        columns = probes.columns
+        hashed, words = hashing.with_digests(probes, key, HashScheme(filters.num_slices, width), f"_d{width}")
+        probes = hashed.select(*columns, words.alias(f"_d{width}"))
     return probes
 
 

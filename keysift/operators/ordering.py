@@ -52,8 +52,26 @@ def grouped_ntile(
     return ranked.withColumn(name, tile.cast("int")).drop("_pos", "_size")
 
 
-def grouped_order_statistics(df: DataFrame, group: Sequence[str], value: str, fraction: float, name: str) -> DataFrame:
-    """Exact lower quantile per group: the value at rank ``floor(fraction * (n - 1))``."""
-    ranked = grouped_row_number(df.select(*group, value), group, [value], "_pos", with_size="_size")
-    at = F.floor(F.lit(fraction) * (F.col("_size") - 1))
-    return ranked.where(F.col("_pos") == at).select(*group, F.col(value).alias(name))
+def grouped_order_statistics(
+    df: DataFrame, group: Sequence[str], value: str, fraction: float, name: str, buckets: int = 4096
+) -> DataFrame:
+    """Exact lower quantile per group: the value at rank ``floor(fraction * (n - 1))``.
+
+    Equal-width buckets are counted first (map-side combine); only the rows of the one bucket per
+    group that holds the wanted rank are put in order.
+    """
+    group = list(group)
+    ranges = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    ranges = broadcast_if_small(materialize(ranges))
+    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    bucket = F.least(F.coalesce(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    located = df.select(*group, value).join(ranges, group).withColumn("_bucket", bucket)
+    counts = located.groupBy(*group, "_bucket").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    target = F.floor(F.lit(fraction) * (F.col("_n") - 1))
+    chosen = counts.where((target >= F.col("_before")) & (target < F.col("_before") + F.col("_c")))
+    chosen = broadcast_if_small(materialize(chosen.select(*group, "_bucket", (target - F.col("_before")).alias("_at"))))
+    inside = located.select(*group, value, "_bucket").join(chosen, [*group, "_bucket"])
+    ranked = grouped_row_number(inside.select(*group, value, "_at"), group, [value], "_pos")
+    return ranked.where(F.col("_pos") == F.col("_at")).select(*group, F.col(value).alias(name))

@@ -7,26 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.session import broadcast_if_small
+from keysift.session import broadcast_if_small, materialize
 
 
 def long_form(rows: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per (row, dimension)."""
-    return rows.select(*by, *keep, F.posexplode("x").alias("dim", "value"))
+    # An expression, not the column: exploding a column adds a filter on it that computes ``x`` twice.
+    whole = F.concat("x", F.array().cast("array<double>"))
+    return rows.select(*by, *keep, F.posexplode(whole).alias("dim", "value"))
 
 
 def fit_standard(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per (table, dimension); a zero deviation counts as one."""
     spread = F.stddev_pop("value")
     fitted = long_form(rows, by).groupBy(*by, "dim").agg(F.avg("value").alias("shift"), spread.alias("scale"))
-    return fitted.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
+    return materialize(fitted.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))))
 
 
 def fit_minmax(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Minimum and range per (table, dimension); a zero range counts as one."""
     low, high = F.min("value"), F.max("value")
     fitted = long_form(rows, by).groupBy(*by, "dim").agg(low.alias("shift"), (high - low).alias("scale"))
-    return fitted.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))
+    return materialize(fitted.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))))
 
 
 def scaler_arrays(scalers: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -27,8 +27,8 @@ W AS (SELECT max(length(s)) AS w FROM S)""")
 PS = f"WITH {fixtures.P.strip()}"
 
 
-def gram_profile(rows):
-    return rows.select(F.posexplode("grams").alias("place", "gram")).groupBy("place", "gram").agg(F.count("*").alias("n"))
+def gram_profile(rows, grams):
+    return rows.select(F.posexplode(grams).alias("place", "gram")).groupBy("place", "gram").agg(F.count("*").alias("n"))
 
 
 def gram_profile_sql(grams: str, source: str = "S, W") -> str:
@@ -61,20 +61,20 @@ def max_key_len(spark, sf_dir):
 def char_ngrams(spark, sf_dir):
     rows = stripped(spark, sf_dir)
     width = features.max_length(rows, "s")
-    return gram_profile(rows.select(text.char_ngrams(F.col("s"), 4, F.lit(width)).alias("grams")))
+    return gram_profile(rows, text.char_ngrams(F.col("s"), 4, F.lit(width)))
 
 
 @query("char_ngrams_dim", S + gram_profile_sql(slide(pad("s", "8 + 4 - 1"), 4), "S"))
 def char_ngrams_dim(spark, sf_dir):
     rows = stripped(spark, sf_dir)
-    return gram_profile(rows.select(text.char_ngrams_dim(F.col("s"), 4, F.lit(8)).alias("grams")))
+    return gram_profile(rows, text.char_ngrams_dim(F.col("s"), 4, F.lit(8)))
 
 
 @query("char_ngram_range", S + gram_profile_sql(f"{slide(pad('s', 'w'), 3)} || {slide(pad('s', 'w'), 4)}"))
 def char_ngram_range(spark, sf_dir):
     rows = stripped(spark, sf_dir)
     width = features.max_length(rows, "s")
-    return gram_profile(rows.select(text.char_ngram_range(F.col("s"), 3, 4, F.lit(width)).alias("grams")))
+    return gram_profile(rows, text.char_ngram_range(F.col("s"), 3, 4, F.lit(width)))
 
 
 NUMERIC = PS + """,
@@ -87,19 +87,19 @@ FROM E, range(1, 100) r(i) WHERE i <= len(x) GROUP BY table_id, i"""
 @query("numeric_ngrams", NUMERIC.format(g0=slide(pad("x0::VARCHAR", "w0"), 3), g1=slide(pad("x1::VARCHAR", "w1"), 3)))
 def numeric_ngrams(spark, sf_dir):
     rows = points(spark, sf_dir)
-    expanded = numeric_expansion(rows, 3, 2)
-    return expanded.select("table_id", F.array_join("widths", ",").alias("widths"), F.posexplode("x").alias("place", "v")).groupBy(
+    x, widths = numeric_expansion(rows, 3, 2)
+    return rows.select("table_id", F.array_join(widths, ",").alias("widths"), F.posexplode(x).alias("place", "v")).groupBy(
         "table_id", "place"
     ).agg(F.round(F.sum("v"), 6).alias("total"), F.count("v").alias("parsed"), F.first("widths").alias("widths"))
 
 
 def numeric_expansion(rows, size: int, columns: int):
-    """Append the numeric n-grams of every column's text to ``x``; ``widths`` tells what came from where."""
+    """``x`` with the numeric n-grams of every column's text appended, and what width came from where."""
     texts = [text.float_text(F.col("x")[i]) for i in range(columns)]
     longest = rows.agg(*[F.max(F.length(t)).alias(f"w{i}") for i, t in enumerate(texts)]).first()
     grams = [text.numbers(text.char_ngrams(t, size, F.lit(longest[i]))) for i, t in enumerate(texts)]
     widths = [1] * columns + [max(longest[i] - size + 1, 1) for i in range(columns)]
-    return rows.withColumn("x", F.concat("x", *grams)).withColumn("widths", F.array(*map(F.lit, widths)))
+    return F.concat("x", *grams), F.array(*map(F.lit, widths))
 
 
 @query(
@@ -113,10 +113,10 @@ def gram_vector(spark, sf_dir):
     orders = fixtures.table(spark, sf_dir, "orders")
     rows = orders.select((F.col("o_custkey") % 24).alias("table_id"), F.col("o_orderkey").cast("string").alias("s"))
     width = features.max_length(rows, "s")
-    vectors = rows.select("table_id", text.numbers(text.char_ngrams(F.col("s"), 3, F.lit(width))).alias("x"))
-    return vectors.select("table_id", F.size("x").alias("dimension"), F.posexplode("x").alias("place", "v")).groupBy(
-        "table_id", "place"
-    ).agg(F.sum("v").alias("total"), F.max("dimension").alias("dimension"))
+    vector = text.numbers(text.char_ngrams(F.col("s"), 3, F.lit(width)))
+    return rows.select("table_id", F.posexplode(vector).alias("place", "v")).groupBy("table_id", "place").agg(
+        F.sum("v").alias("total"), F.lit(max(width - 2, 1)).alias("dimension")
+    )
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.ordering import grouped_row_number
-from keysift.session import broadcast_if_small, materialize
+from keysift.session import broadcast_if_small, is_small, materialize
 
 KIND_RANK = {"flush": 0, "read": 1, "compaction": 2}  # fixed value: order of kinds at equal times
 
@@ -76,8 +76,10 @@ def resolve(events: DataFrame) -> Registry:
     the longest chain of compactions that depend on each other's failure.
     """
     edges = materialize(compaction_edges(events))
+    small = is_small(edges)
+    hint = F.broadcast if small else (lambda df: df)
     flushes = flush_rows(events)
-    asked = broadcast_if_small(edges.select("line_no", "place", F.col("input").alias("table"), F.col("ord").alias("_at")))
+    asked = hint(edges.select("line_no", "place", F.col("input").alias("table"), F.col("ord").alias("_at")))
     flushed = flushes.join(asked, "table").where("ord < _at").groupBy("line_no", "place").agg(F.max("ord").alias("_flushed"))
     cf_flush = flushes.groupBy("cf").agg(F.min("ord").alias("_cf_flushed"))
     earlier = edges.select("input", F.col("ord").alias("_named_at"))
@@ -88,7 +90,8 @@ def resolve(events: DataFrame) -> Registry:
     known = edges.join(flushed, ["line_no", "place"], "left").join(last_named, ["line_no", "place"], "left")
     known = materialize(known.join(broadcast_if_small(cf_flush).withColumnRenamed("cf", "input_cf"), "input_cf", "left"))
 
-    succeeded = edges.select("line_no").distinct()
+    # Failures only ever grow from round to round, so an unchanged number of them ends the search.
+    succeeded, failures = edges.select("line_no").distinct(), 0
     while True:
         outputs = edges.select("line_no", "output", "cf", F.col("ord").alias("_made")).distinct().join(succeeded, "line_no", "left_semi")
         by_table = outputs.select(F.col("output").alias("input"), "_made")
@@ -103,11 +106,12 @@ def resolve(events: DataFrame) -> Registry:
         cf_known = F.least("_cf_flushed", "_cf_made") < F.col("ord")
         faults = F.when(~F.coalesce(cf_known, F.lit(False)), "cf").when(~exists, "table")
         flagged = materialize(state.select(*edges.columns, faults.alias("fault")))
-        now = materialize(flagged.groupBy("line_no").agg(F.bool_or(F.col("fault").isNotNull()).alias("_bad")).where("NOT _bad").select("line_no"))
-        same = now.count() == succeeded.count() and now.join(succeeded, "line_no", "left_anti").isEmpty()
-        succeeded = now
-        if same:
+        failed = flagged.where("fault IS NOT NULL").select("line_no").distinct()
+        succeeded = edges.select("line_no").distinct().join(failed, "line_no", "left_anti")
+        found = failed.count()
+        if found == failures:
             break
+        failures = found
 
     has = lambda kind: F.bool_or(F.coalesce(F.col("fault") == kind, F.lit(False)))
     outcomes = flagged.groupBy("line_no", "cf", "output", "ord").agg(has("cf").alias("missing_cf"), has("table").alias("missing_table"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +22,25 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_ranks(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a glob with its rank by path; an empty file takes a rank too."""
-    listing = spark.read.format("binaryFile").load(path).select("path")
-    return grouped_row_number(listing, [], ["path"], "rank").withColumn("table_id", F.col("rank").cast("int")).drop("rank")
+    """Every file below a glob with its rank by path; an empty file takes a rank too.
+
+    The names are the listing Spark keeps on the driver for any scan of the folder; the content of
+    the files does not pass through it.
+    """
+    names = sorted(_PLAIN.sub("/", name) for name in spark.read.text(path).inputFiles())
+    return spark.createDataFrame([(name, rank) for rank, name in enumerate(names)], "path string, table_id int")
+
+
+_PLAIN = re.compile("^file:/+")
 
 
 def _plain_path(column):
-    return F.regexp_replace(column, "^file:/+", "/")
+    return F.regexp_replace(column, _PLAIN.pattern, "/")
 
 
 def scan_key_files(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
     """One key table per file: (table_id, pos, key)."""
-    ranks = file_ranks(spark, path).withColumn("path", _plain_path(F.col("path")))
+    ranks = file_ranks(spark, path)
     lines = text_lines(spark, path).withColumn("path", _plain_path(F.col("path")))
     joined = lines.join(broadcast_if_small(ranks), "path")
     numbered = grouped_row_number(joined.drop("path"), ["table_id"], ["block", "arrival"], "pos")
