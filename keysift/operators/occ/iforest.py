@@ -31,9 +31,11 @@ def tree_samples(rows: DataFrame, by: Sequence[str], row_id: str, trees: int) ->
     """
     by = list(by)
     sizes = broadcast_if_small(rows.groupBy(*by).agg(F.count("*").alias("_n")))
-    spread = rows.join(sizes, by).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    spread = spread.withColumn("_u", _unit(F.col(row_id), F.col("tree"), F.lit(SEED)))
-    near = spread.where(F.col("_u") * F.col("_n") < 3 * SAMPLE_ROWS)
+    # Only the trees whose threshold a row passes are spread to rows of their own.
+    draw = lambda tree: _unit(F.col(row_id), tree, F.lit(SEED))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    passed = F.filter(every, lambda tree: draw(tree) * F.col("_n") < 3 * SAMPLE_ROWS)
+    near = rows.join(sizes, by).withColumn("tree", F.explode(passed)).withColumn("_u", draw(F.col("tree")))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "tree").orderBy("_u", row_id)))
     return ranked.where(F.col("_r") <= SAMPLE_ROWS).select(*by, "tree", row_id, "x")
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.session import BROADCAST_BYTES, broadcast_if_small, materialize
+from keysift.session import BROADCAST_BYTES, beside, broadcast_if_small, materialize, same_address
 
 PACKED_DIMS = 32  # more directions than this are scored through joins
 PLANE_SEED = 42  # fixed value: the seed of the directions
@@ -252,8 +252,8 @@ class RPModel:
 
     def _accept_packed(self, rows: DataFrame) -> DataFrame:
         """Map-side: no lambda is involved, so the lookup stays in generated code and copies no array."""
-        packed = self.packed()
-        joined = rows.join(F.broadcast(packed), self.by, "left")
+        packed, address = beside(self.packed(), self.by)
+        joined = rows.join(F.broadcast(packed), same_address(self.by), "left")
         hits = F.lit(0)
         for d in range(self.params.D):
             value = F.get(F.col("_v"), F.lit(d))
@@ -261,7 +261,8 @@ class RPModel:
             lo, hi = F.get(F.col(f"_lo{d}"), place), F.get(F.col(f"_hi{d}"), place)
             found = (lo <= value) & (value <= hi) if self.params.closed else (lo < value) & (value < hi)
             hits = hits + F.when(found, 1).otherwise(0)
-        return joined.withColumn("accepted", self.decide(hits)).drop(*[c for c in packed.columns if c not in self.by])
+        accepted = self.decide(hits) & address
+        return joined.select(*rows.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
     def _accept_joined(self, rows: DataFrame) -> DataFrame:
         ids = [*self.by, "_v"]  # equal projections in the same table get the same answer

@@ -11,7 +11,7 @@ from keysift.operators.occ.registry import WIDTH, family, key_features
 from keysift.plans import evaluation, fixtures
 from keysift.plans.catalog.base import query
 from keysift.plans.catalog.feature_queries import DOCS, PS, doc_features
-from keysift.session import materialize
+from keysift.session import broadcast_if_small, materialize
 
 BY = ["table_id"]
 PARAMS = rp.RPParams(D=6, epsilon=1e-3, agg_thr=0.5, box_thr=2e-3)
@@ -366,7 +366,7 @@ count(*) FILTER (abs(ll - mean) < 2 * sigma) AS accepted, count(*) FILTER (abs(l
 def gmm_band_predict(spark, sf_dir):
     rows = unit_points(spark, sf_dir)
     scored = gmm.with_log_likelihood(rows, sliced_components(rows), BY).select("table_id", "ll")
-    banded = scored.join(F.broadcast(gmm.likelihood_band(scored, BY)), "table_id")
+    banded = scored.join(broadcast_if_small(gmm.likelihood_band(scored, BY)), "table_id")
     ll, mean, sigma = F.col("ll"), F.col("mean"), F.col("sigma")
     return banded.groupBy("table_id").agg(
         F.round(F.first("mean"), 6).alias("mean"), F.round(F.first("sigma"), 6).alias("sigma"),

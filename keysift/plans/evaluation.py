@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.bloom import FilterSet
-from keysift.session import materialize
+from keysift.session import beside, materialize, same_address
 
 
 class Classifier(Protocol):
@@ -67,9 +67,9 @@ def two_stage(pairs: DataFrame, classifier: Classifier, filters: FilterSet) -> D
     plain = [c for c in pairs.columns if not c.startswith("_")]
     source = F.when(F.col("accepted"), "c")
     if bloom.fits_broadcast(filters):
-        joined = answered.join(F.broadcast(filters.packed()), filters.by, "left")
-        hit = F.coalesce(bloom.packed_hit(filters), F.lit(False))
-        return joined.select(*plain, source.when(hit, "bf").alias("source"))
+        packed, met = beside(filters.packed(), filters.by)
+        joined = answered.join(F.broadcast(packed), same_address(filters.by), "left")
+        return joined.select(*plain, source.when(bloom.packed_hit(filters) & met, "bf").alias("source"))
     # Beyond the broadcast size only the rejected rows travel to the filters.
     hits = bloom.probe_hits(answered.where(~F.col("accepted")), filters).select(*plain, F.lit("bf").alias("source"))
     return answered.where("accepted").select(*plain, F.lit("c").alias("source")).unionByName(hits)

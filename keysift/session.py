@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side, in rows, that is sent to every executor.
@@ -44,3 +44,23 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its measured row count allows it; otherwise leave it to AQE."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def beside(side: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
+    """Rename the address columns of a join side; returns the test that a row met it.
+
+    A join whose columns are all used keeps its generated code in a function of its own, which
+    stays below the size that the JVM compiles.
+    """
+    met = F.lit(True)
+    for c in by:
+        side = side.withColumnRenamed(c, f"_at_{c}")
+        met = met & F.col(f"_at_{c}").isNotNull()
+    return side, met
+
+
+def same_address(by: list[str]) -> Column:
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & (F.col(c) == F.col(f"_at_{c}"))
+    return condition
