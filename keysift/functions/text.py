@@ -32,6 +32,11 @@ def is_number(text: Column) -> Column:
     return F.lower(F.trim(text)).rlike(NUMBER_PATTERN)
 
 
+def guarded_prediction(key: Column, prediction: Column) -> Column:
+    """0 for an empty or non-numeric key and where there is no model; else the model's answer."""
+    return F.when((key == "") | ~is_number(key), 0).otherwise(F.coalesce(prediction, F.lit(0)))
+
+
 def zero_padded(text: Column, width: Column) -> Column:
     """``text`` filled up on the right with zeros; longer text stays whole."""
     return F.concat(text, F.repeat(F.lit("0"), F.greatest(width - F.length(text), F.lit(0)).cast("int")))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.session import broadcast_if_small, materialize
+from keysift.session import broadcast_if_small, materialize, settled
 
 COVARIANCE_FLOOR = 1e-6  # fixed value: added to the diagonal
 
@@ -62,7 +62,7 @@ def with_log_likelihood(rows: DataFrame, components: DataFrame, by: Sequence[str
 def initial_components(rows: DataFrame, by: Sequence[str], accuracy: int = 1000) -> DataFrame:
     """Hard assignment by quantiles of the first feature, one slice per component."""
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("x0", [i / 100 for i in range(1, 100)], accuracy).alias("_q"))
-    joined = rows.join(broadcast_if_small(sizes.withColumn("_k", component_count(F.col("_n")))), list(by))
+    joined = rows.join(settled(sizes.withColumn("_k", component_count(F.col("_n")))), list(by))
     rank = F.size(F.filter("_q", lambda q: q < F.col("x0")))
     component = F.floor(rank * F.col("_k") / 100).cast("int")
     return estimate(joined.select(*by, component.alias("component"), F.lit(1.0).alias("r"), "x0", "x1", F.lit(0.0).alias("ll")), by)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysift.session import BROADCAST_BYTES, broadcast_if_small
+from keysift.session import BROADCAST_BYTES, broadcast_if_small, settled
 
 SAMPLE_ROWS = 256  # fixed value: rows per tree
 SEED = 0
@@ -30,7 +30,7 @@ def tree_samples(rows: DataFrame, by: Sequence[str], row_id: str, trees: int) ->
     sample is cut to size in groups of a few hundred rows.
     """
     by = list(by)
-    sizes = broadcast_if_small(rows.groupBy(*by).agg(F.count("*").alias("_n")))
+    sizes = settled(rows.groupBy(*by).agg(F.count("*").alias("_n")))
     # Only the trees whose threshold a row passes are spread to rows of their own.
     draw = lambda tree: _unit(F.col(row_id), tree, F.lit(SEED))
     every = F.sequence(F.lit(0), F.lit(trees - 1))

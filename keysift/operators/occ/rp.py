@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysift.session import BROADCAST_BYTES, beside, broadcast_if_small, materialize, same_address
+from keysift.session import BROADCAST_BYTES, beside, broadcast_if_small, materialize, same_address, settled
 
 PACKED_DIMS = 32  # more directions than this are scored through joins
 PLANE_SEED = 42  # fixed value: the seed of the directions
@@ -102,7 +102,7 @@ def projection_cells(long: DataFrame, by: Sequence[str], epsilon: Column) -> Dat
     by = list(by)
     stats = long.groupBy(*by, "dim").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("rows"))
     stats = stats.withColumn("gap", (F.col("high") - F.col("low")) * epsilon)
-    located = long.join(broadcast_if_small(stats), [*by, "dim"])
+    located = long.join(settled(stats), [*by, "dim"])
     cell = F.when(F.col("gap") > 0, F.floor((F.col("value") - F.col("low")) / (F.col("gap") / 2))).otherwise(0)
     return located.groupBy(*by, "dim", cell.alias("cell")).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("members"),

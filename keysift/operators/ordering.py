@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysift.session import broadcast_if_small, materialize
+from keysift.session import materialize, settled
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row index
 
@@ -34,7 +34,7 @@ def grouped_row_number(
     offsets = chunks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
     if with_size:
         offsets = offsets.withColumn(with_size, F.sum("_n").over(Window.partitionBy(*group)))
-    offsets = broadcast_if_small(offsets.drop("_first", "_n"))
+    offsets = settled(offsets.drop("_first", "_n"))
     joined = ordered.join(offsets, [*group, "_chunk"])  # one offset per (group, partition)
     return joined.withColumn(name, F.col("_row") + F.col("_offset")).drop("_row", "_chunk", "_offset")
 
@@ -62,7 +62,7 @@ def grouped_order_statistics(
     """
     group = list(group)
     ranges = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    ranges = broadcast_if_small(materialize(ranges))
+    ranges = settled(ranges)
     share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     bucket = F.least(F.coalesce(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
     located = df.select(*group, value).join(ranges, group).withColumn("_bucket", bucket)
@@ -71,7 +71,7 @@ def grouped_order_statistics(
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     target = F.floor(F.lit(fraction) * (F.col("_n") - 1))
     chosen = counts.where((target >= F.col("_before")) & (target < F.col("_before") + F.col("_c")))
-    chosen = broadcast_if_small(materialize(chosen.select(*group, "_bucket", (target - F.col("_before")).alias("_at"))))
+    chosen = settled(chosen.select(*group, "_bucket", (target - F.col("_before")).alias("_at")))
     inside = located.select(*group, value, "_bucket").join(chosen, [*group, "_bucket"])
     ranked = grouped_row_number(inside.select(*group, value, "_at"), group, [value], "_pos")
     return ranked.where(F.col("_pos") == F.col("_at")).select(*group, F.col(value).alias(name))

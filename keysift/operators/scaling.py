@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.session import broadcast_if_small, materialize
+from keysift.session import broadcast_if_small, materialize, settled
 
 
 def long_form(rows: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -59,7 +59,8 @@ def histogram(rows: DataFrame, by: Sequence[str], value: str, bins: int) -> Data
     by = list(by)
     ranges = rows.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("rows"))
     ranges = ranges.withColumn("width", (F.col("high") - F.col("low")) / bins)
-    located = rows.join(broadcast_if_small(ranges), by)
+    ranges = settled(ranges)
+    located = rows.join(ranges, by)
     spot = F.floor(F.try_divide(F.col(value) - F.col("low"), F.col("width")))
     bin_ = F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)).cast("int")
     counted = located.withColumn("bin", bin_).groupBy(*by, "bin").agg(F.count("*").alias("count"))

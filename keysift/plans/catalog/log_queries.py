@@ -32,9 +32,9 @@ def micros(moment: str):
 
 
 def clock():
-    return F.concat(
-        F.date_format(F.timestamp_micros("t"), "HH:mm:ss"), F.lit(","), F.date_format(F.timestamp_micros("t"), "SSS")
-    )
+    """Time of day of ``t`` as ``HH:MM:SS,mmm``, in the log's own clock."""
+    parts = [F.expr(f"t div {unit} % {size}") for unit, size in ((3_600_000_000, 24), (60_000_000, 60), (1_000_000, 60), (1000, 1000))]
+    return F.format_string("%02d:%02d:%02d,%03d", *parts)
 
 
 CLOCK_SQL = "strftime(make_timestamp(t), '%H:%M:%S.%g')"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keysift.functions import text
-from keysift.operators import overlap
 from keysift.plans import fixtures
 from keysift.plans.catalog import sql
 from keysift.plans.catalog.base import query
@@ -103,6 +102,26 @@ def numeric_profile(keys):
     return flags.withColumn("trainable", F.col("all_numeric") & (F.col("n") != 1))
 
 
+@query(
+    "probe_guard",
+    """
+WITH N AS (SELECT o_custkey AS table_id, CASE o_orderstatus WHEN 'P' THEN '' WHEN 'F' THEN o_orderkey || 'x' ELSE o_orderkey::VARCHAR END AS key, CASE WHEN o_totalprice > 100000 THEN 1 ELSE -1 END AS answer FROM orders),
+T AS (SELECT table_id FROM N GROUP BY table_id HAVING count(*) > 5)
+SELECT CASE WHEN key = '' OR TRY_CAST(key AS DOUBLE) IS NULL OR t.table_id IS NULL THEN 0 ELSE answer END AS prediction, count(*) AS probes, min(key) AS first_key
+FROM N LEFT JOIN T t USING (table_id) GROUP BY ALL""",
+)
+def probe_guard(spark, sf_dir):
+    """Empty and non-numeric probes, and tables without a model (here: those with few keys), answer 0."""
+    orders, key = fixtures.table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    text_key = F.when(F.col("o_orderstatus") == "P", F.lit("")).when(F.col("o_orderstatus") == "F", F.concat(key, F.lit("x"))).otherwise(key)
+    answer = F.when(F.col("o_totalprice") > 100000, 1).otherwise(-1)
+    probes = orders.select(F.col("o_custkey").alias("table_id"), text_key.alias("key"), answer.alias("answer"))
+    fitted = probes.groupBy("table_id").agg(F.count("*").alias("n")).where("n > 5").select("table_id", F.lit(True).alias("has_model"))
+    asked = probes.join(fitted, "table_id", "left")
+    prediction = text.guarded_prediction(F.col("key"), F.when(F.col("has_model"), F.col("answer")))
+    return asked.groupBy(prediction.alias("prediction")).agg(F.count("*").alias("probes"), F.min("key").alias("first_key"))
+
+
 RATIOS = """
 SELECT 'cf/table-' || lpad(table_id::VARCHAR, 5, '0') AS name, round(count(DISTINCT key)::DOUBLE / count(*), 6) AS ratio FROM K GROUP BY table_id"""
 

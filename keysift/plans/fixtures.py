@@ -105,7 +105,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     and that compaction's output, into a week table.
     """
     source = table(spark, sf_dir, "events").select(
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("t"),
         F.col("event_id").alias("line_no"),
         F.concat(F.lit("cf"), (F.col("user_id") % 5).cast("string")).alias("cf"),
         F.get_json_object("props", "$.k").alias("key"),

@@ -46,6 +46,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a grouped summary once, then broadcast it if it turned out small."""
+    return broadcast_if_small(materialize(df), max_rows)
+
+
 def beside(side: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
     """Rename the address columns of a join side; returns the test that a row met it.
 
