@@ -22,10 +22,16 @@ FEATURE_SEED = 7
 
 @dataclass(frozen=True)
 class RBFParams:
+    """``tol`` names the run as in iterative solvers; the closed form has no iterations to stop.
+
+    ``margin`` is how far below the boundary a row is still accepted.
+    """
+
     nu: float = 0.1
     gamma: float = 0.5
-    tol: float = 0.0
+    tol: float = 1e-3
     features: int = 32
+    margin: float = 0.0
 
 
 def fourier_basis(params: RBFParams, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +69,7 @@ class RBFModel:
         return joined.withColumn("score", _inner("_z", "_mean")).withColumn("intercept", -F.col("threshold")).drop("_z", "_mean", "threshold")
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return self.score(rows).withColumn("prediction", margin_prediction(F.col("score"), F.col("intercept"), self.params.tol))
+        return self.score(rows).withColumn("prediction", margin_prediction(F.col("score"), F.col("intercept"), self.params.margin))
 
 
 def margin_prediction(score: Column, intercept: Column, tolerance: float) -> Column:

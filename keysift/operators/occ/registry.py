@@ -107,9 +107,9 @@ def fit_rbf(keys: DataFrame, by: list[str], params: dict) -> ScaledRBF:
 
 
 def rbf_grid() -> Iterable[dict]:
-    """Axes of the RBF family: rejected share, kernel width, tolerance."""
-    for nu, gamma, tol in itertools.product([1e-3, 1e-2, 1e-1, 0.5], [0.1, 1.0, 10.0], [1e-4, 1e-3, 1e-2, 1e-1]):
-        yield {"nu": nu, "gamma": gamma, "tol": tol}
+    """Rejected share, kernel width and tolerance of the RBF family's grid."""
+    for nu, gamma, tol in itertools.product(np.logspace(-3, 0, 4), np.logspace(-1, 3, 3), [0.001, 0.01, 0.1, 1.0]):
+        yield {"nu": float(nu), "gamma": float(gamma), "tol": tol}
 
 
 def fit_forest(keys: DataFrame, by: list[str], params: dict) -> ForestModel:

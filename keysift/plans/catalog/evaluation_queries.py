@@ -196,13 +196,13 @@ def run_record(spark, sf_dir):
 @query(
     "param_grid",
     sql.with_keys("""
-SELECT table_id, nu, (0.5 + g * 0.25)::DOUBLE AS gamma, round(pow(10.0, -4 + t), 9) AS tol, round(nu * n, 6) AS expected_rejects
-FROM (SELECT table_id, count(*) AS n FROM K GROUP BY table_id), (SELECT unnest([0.001::DOUBLE, 0.01::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE]) AS nu), range(3) r(g), range(4) s(t)"""),
+SELECT table_id, round(pow(10.0, -3 + v), 9) AS nu, round(pow(10.0, -1 + 2 * g), 9) AS gamma, round(pow(10.0, -3 + t), 9) AS tol, round(pow(10.0, -3 + v) * n, 6) AS expected_rejects
+FROM (SELECT table_id, count(*) AS n FROM K GROUP BY table_id), range(4) q(v), range(3) r(g), range(4) s(t)"""),
 )
 def param_grid(spark, sf_dir):
     """The configurations every table is trained with, and the rejects its share of outliers promises."""
     sizes = fixtures.keys(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n"))
-    grid = sweep.with_grid(sizes, nu=[0.001, 0.01, 0.1, 0.5], gamma=sweep.linspace(0.5, 1.0, 3), tol=sweep.logspace(-4, -1, 4))
+    grid = sweep.with_grid(sizes, nu=sweep.logspace(-3, 0, 4), gamma=sweep.logspace(-1, 3, 3), tol=[0.001, 0.01, 0.1, 1.0])
     expected = F.round(F.col("nu") * F.col("n"), 6).alias("expected_rejects")
     return grid.select("table_id", *[F.round(c, 9).alias(c) for c in ("nu", "gamma", "tol")], expected)
 

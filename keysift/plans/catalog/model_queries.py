@@ -238,7 +238,7 @@ def always_negative(spark, sf_dir):
 
 # --- RBF model ------------------------------------------------------------------------------------
 
-RBF = rbf.RBFParams(nu=0.1, gamma=0.5, tol=1e-3, features=16)
+RBF = rbf.RBFParams(nu=0.1, gamma=0.5, features=16, margin=1e-3)
 
 
 def rbf_sql() -> str:
