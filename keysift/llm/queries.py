@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm import byte_bpe, contamination, fertility, licenses, near_dup, repeats, token_cache, token_files
+from keysift.llm import byte_bpe, contamination, fertility, licenses, near_dup, pii, repeats, token_cache, token_files
 from keysift.llm.tables import documents
 from keysift.session import scratch_path
 
@@ -33,6 +33,10 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
@@ -54,8 +58,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_byte_bpe, op3_licenses, op4_token_files, op5_fertility, op7_near_duplicates, op8_suffix_matches, op9_token_cache,
-        op10_repeated_passages,
+        op2_byte_bpe, op3_licenses, op4_token_files, op5_fertility, op6_personal_data, op7_near_duplicates, op8_suffix_matches,
+        op9_token_cache, op10_repeated_passages,
     )
 }
 ORACLES: dict[str, str] = {}
