@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keysift.llm import byte_bpe, contamination, fertility
+from keysift.llm import byte_bpe, contamination, fertility, near_dup, pii
 from keysift.llm.queries import BYTE_RANKS, PIECES
 from keysift.llm.tables import written
 
@@ -18,21 +18,34 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fertility rules keep."""
+    """Documents that the plain counts and the fertility rules keep."""
     return fertility.filtered(docs, public_tokenizers.path(PIECES))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return near_dup.deduplicated(docs, size=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that are not contaminated by benchmark passages."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded bytes of each document, as digests."""
+    """Token counts of each document, and digests of its ids and of the bytes decoded from them."""
     return byte_bpe.digests(docs, public_tokenizers.path(BYTE_RANKS))
 
 
-STAGES = [("quality", quality_rules), ("decontamination", decontamination), ("byte_bpe", byte_level_bpe)]
+STAGES = [
+    ("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("personal_data", personal_data), ("byte_bpe", byte_level_bpe),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
