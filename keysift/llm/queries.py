@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm import byte_bpe, contamination, fertility, licenses, near_dup, pii, repeats, token_cache, token_files
+from keysift.llm import byte_bpe, contamination, fertility, licenses, lm, near_dup, pii, repeats, token_cache, token_files
 from keysift.llm.tables import documents
 from keysift.session import scratch_path
 
@@ -15,6 +15,10 @@ WORD_TOKENS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
@@ -58,7 +62,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_byte_bpe, op3_licenses, op4_token_files, op5_fertility, op6_personal_data, op7_near_duplicates, op8_suffix_matches,
+        op1_lm_scores, op2_byte_bpe, op3_licenses, op4_token_files, op5_fertility, op6_personal_data, op7_near_duplicates, op8_suffix_matches,
         op9_token_cache, op10_repeated_passages,
     )
 }

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,8 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     """The texts of a batch as UTF-8 bytes."""
     return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and the folder's path in it."""
+    return fs.FileSystem.from_uri(folder) if folder.startswith("file:") or "://" in folder else (fs.LocalFileSystem(), folder)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm.tables import raw_texts, slices, text_only, written
+from keysift.llm.tables import open_folder, raw_texts, slices, text_only, written
 from keysift.llm.vocab import shipped, word_encoder
 
 # Ids of one row, and rows of one record batch.
@@ -33,10 +33,6 @@ BATCH_ROWS = 256
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
-def _open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 class SequenceWriter:
     """Writes ids into rows of equal length, a batch at a time."""
 
@@ -126,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int | None, le
 
         encoder = word_encoder(vocabulary.value)
         part = TaskContext.get().partitionId()
-        target, root = _open_folder(folder)
+        target, root = open_folder(folder)
         target.create_dir(root, recursive=True)
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
         writer, n_docs, starts = None, 0, None
@@ -172,7 +168,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, _ = _open_folder(folder)
+        source, _ = open_folder(folder)
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 reader = SequenceReader(source, f"{path}.ids.arrow")
@@ -200,7 +196,7 @@ def read_sequences(manifest: DataFrame, folder: str, rows: list[int], length: in
     for _, _, n_tokens in parts:
         firsts.append(total)
         total += -(-n_tokens // length)
-    source, _ = _open_folder(folder)
+    source, _ = open_folder(folder)
     out = []
     for row in rows:
         file = bisect_right(firsts, row) - 1
