@@ -198,5 +198,5 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """The documents that are not contaminated, with all their columns; rules as in ``matches``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    found = _searched(docs.select(F.struct(*docs.columns).alias("row"), text), items, window)
+    found = _searched(docs.select(F.struct("*").alias("row"), text), items, window)
     return found.where(~F.col("contaminated")).select("row.*")

@@ -198,28 +198,25 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans become one, named after the first.  All columns stay; null texts stay null.
     """
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    # Rows alike in id and text have the same spans, so they are joined by both and scanned once each.
-    keyed = text_only(docs).withColumn("_digest", digest)
-    scanned = written(_scanned(keyed, "doc_id", "_digest"), "pii-scan")
-    spans = _all_spans(scanned)
-
+    # Rows alike in id and text have the same spans, so they are joined by both.
+    scanned = written(_scanned(text_only(docs).withColumn("digest", F.sha2("text", 256)), "doc_id", "digest"), "pii-scan")
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    spans = _all_spans(scanned).withColumn("new", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
     spans = spans.withColumn("island", F.sum("new").over(order))
-    spans = spans.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end")).alias("kind"))
-    by_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    by_text = scanned.select("row", "doc_id", "_digest").join(by_row, "row").dropDuplicates(["doc_id", "_digest"])
-    by_text = by_text.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of"), "_spans")
-
-    text = F.col("text").cast("string")
-    bounds = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s.end))
+    spans = spans.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    by_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    by_text = scanned.select("row", "doc_id", "digest").join(by_row, "row").dropDuplicates(["doc_id", "digest"])
+    by_text = by_text.select(F.col("doc_id").alias("same_id"), F.col("digest").alias("same_digest"), "spans")
+
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("digest", F.sha2(F.coalesce(text, F.lit("")), 256))
+    bounds = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s.end))
     pieces = F.transform(
-        "_spans",
+        "spans",
         lambda s, i: F.concat(F.substr(text, F.get(bounds, i).cast("int") + 1, (s.start - F.get(bounds, i)).cast("int")), F.lit("<"), F.upper(s.kind), F.lit(">")),
     )
     tail = F.substr(text, F.element_at(bounds, -1).cast("int") + 1, F.length(text))
-    clean = F.when(F.col("_spans").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
-    return docs.withColumn("_digest", digest).join(by_text, same, "left").withColumn("text", clean).select(*docs.columns)
+    clean = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("same_id")) & (F.col("digest") == F.col("same_digest"))
+    return rows.join(by_text, same, "left").select(F.col("row").withField("text", clean).alias("row")).select("row.*")
