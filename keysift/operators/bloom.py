@@ -2,22 +2,23 @@
 
 A filter set is two tables: ``params`` (one row per filter) and ``words`` (one row per 64 filter
 bits).  Building is one aggregation with map-side combine; union, intersection and appending are
-``bit_or`` / ``bit_and`` over words; probing is map-side when the packed set is measurably small
-and a cascade of equi-joins, one slice after another, when it is not.
+``bit_or`` / ``bit_and`` over words; probing brings packed filters to the rows that ask them, in
+groups that fit a broadcast, and joins words only for filters that are too large one by one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions import hashing
 from keysift.functions.hashing import MEDIUM_LIMIT, NARROW_LIMIT, HashScheme
-from keysift.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize
+from keysift.session import BROADCAST_BYTES, BROADCAST_ROWS, beside, broadcast_if_small, materialize, same_address
 
 WORD_BITS = 64
 PARAM_COLUMNS = ["error_rate", "num_slices", "bits_per_slice", "num_bits", "capacity"]
@@ -195,8 +196,8 @@ def _slice_bit(filters: FilterSet, i: int) -> Column:
     return F.lit(i).cast("bigint") * size + chosen
 
 
-def fits_broadcast(filters: FilterSet, limit: int = BROADCAST_BYTES) -> bool:
-    return filters.facts()["bytes"] <= limit
+def fits_broadcast(filters: FilterSet, limit: int | None = None) -> bool:
+    return filters.facts()["bytes"] <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def packed_hit(filters: FilterSet) -> Column:
@@ -209,26 +210,67 @@ def packed_hit(filters: FilterSet) -> Column:
     return test
 
 
-def with_packed(pairs: DataFrame, filters: FilterSet) -> DataFrame:
-    return pairs.join(F.broadcast(filters.packed()), filters.by)
+def _without_digests(rows: DataFrame, filters: FilterSet) -> list[str]:
+    return [c for c in rows.columns if c not in {f"_d{w}" for w in filters.widths()}]
 
 
-def probe_hits(pairs: DataFrame, filters: FilterSet, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The (probe, filter) rows whose filter answers "maybe".
+def _ask_packed(pairs: DataFrame, filters: FilterSet) -> DataFrame:
+    packed, met = beside(filters.packed(), filters.by)
+    joined = pairs.join(F.broadcast(packed), same_address(filters.by), "left")
+    return joined.select(*_without_digests(pairs, filters), F.coalesce(packed_hit(filters) & met, F.lit(False)).alias("_maybe"))
 
-    ``pairs`` holds the ``by`` columns of the filter to ask and the digests of its key
-    (``with_digests``).
-    """
-    columns = [c for c in pairs.columns if c not in {f"_d{w}" for w in filters.widths()}]
-    if fits_broadcast(filters, limit):
-        return with_packed(pairs, filters).where(packed_hit(filters)).select(*columns)
-    # Each slice is half full at capacity, so every join halves what the next one shuffles.
-    alive = pairs.join(broadcast_if_small(filters.params.select(*filters.by, "bits_per_slice")), filters.by)
+
+def _ask_slices(pairs: DataFrame, filters: FilterSet) -> DataFrame:
+    """Slice by slice through joins, for filters that are too large one by one; rows that fail a slice travel no further."""
+    columns = _without_digests(pairs, filters)
+    alive = pairs.join(broadcast_if_small(filters.params.select(*filters.by, "bits_per_slice")), filters.by, "left")
+    done = None
     for i in range(filters.num_slices):
-        alive = alive.withColumn("_bit", _slice_bit(filters, i)).withColumn("word", F.expr(f"_bit div {WORD_BITS}"))
-        alive = alive.join(filters.words, [*filters.by, "word"]).where(f"bit_get(bits, cast(_bit % {WORD_BITS} as int)) = 1")
-        alive = alive.drop("word", "bits", "_bit")
-    return alive.select(*columns)
+        asked = alive.withColumn("_bit", _slice_bit(filters, i)).withColumn("word", F.expr(f"_bit div {WORD_BITS}"))
+        asked = asked.join(filters.words, [*filters.by, "word"], "left")
+        hit = F.coalesce(F.expr(f"bit_get(bits, cast(_bit % {WORD_BITS} as int)) = 1"), F.lit(False))
+        asked = materialize(asked.withColumn("_maybe", hit).drop("word", "bits", "_bit"))
+        failed = asked.where("not _maybe").select(*columns, "_maybe")
+        done = failed if done is None else done.unionByName(failed)
+        alive = asked.where("_maybe").drop("_maybe")
+    return done.unionByName(alive.select(*columns, F.lit(True).alias("_maybe")))
+
+
+def asked_parts(pairs: DataFrame, filters: FilterSet) -> Iterator[DataFrame]:
+    """All rows of ``pairs`` with ``_maybe``, in parts that each need filters of a bounded size on the executors.
+
+    ``pairs`` holds the ``by`` columns of the filter to ask and the digests of its key (``with_digests``).  Rows are
+    never shuffled: filters are dealt into groups that fit a broadcast and brought to the rows, one group
+    a part.  Only rows that ask a filter which is too large by itself are joined to its words.
+    """
+    if fits_broadcast(filters):
+        yield _ask_packed(pairs, filters)
+        return
+    sized = filters.params.select(*filters.by, (F.col("num_bits") / 8).alias("_bytes"))
+    large = F.broadcast(sized.where(F.col("_bytes") > BROADCAST_BYTES).select(*filters.by))
+    rest = sized.join(large, filters.by, "left_anti")
+    dealt, groups = F.xxhash64(*filters.by), 1
+    while True:
+        most = rest.groupBy(F.pmod(dealt, F.lit(groups)).alias("g")).agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0] or 0
+        if most <= BROADCAST_BYTES or groups >= 1 << 20:
+            break
+        groups *= 2
+    for g in range(groups):
+        here = F.pmod(dealt, F.lit(groups)) == g
+        own = [df.where(here).join(large, filters.by, "left_anti") for df in (filters.params, filters.words, pairs)]
+        yield _ask_packed(own[2], FilterSet(filters.by, filters.error_rate, own[0], own[1], filters.facts()))
+    own = [df.join(large, filters.by, "left_semi") for df in (filters.params, filters.words, pairs)]
+    yield _ask_slices(own[2], FilterSet(filters.by, filters.error_rate, own[0], own[1], filters.facts()))
+
+
+def answered(pairs: DataFrame, filters: FilterSet) -> DataFrame:
+    """All rows of ``pairs`` with ``_maybe``; see ``asked_parts``."""
+    return reduce(DataFrame.unionByName, asked_parts(pairs, filters))
+
+
+def probe_hits(pairs: DataFrame, filters: FilterSet) -> DataFrame:
+    """The (probe, filter) rows whose filter answers "maybe"."""
+    return answered(pairs, filters).where("_maybe").drop("_maybe")
 
 
 # --- algebra and statistics ------------------------------------------------------------------
@@ -287,32 +329,18 @@ def total_filter_bytes(params: DataFrame) -> DataFrame:
 
 
 def save_filters(filters: FilterSet, path: str) -> None:
-    """Header table and packed bitmaps (one 32768-bit bitmap per row) as Parquet."""
+    """Header table and 64-bit words as Parquet."""
     filters.params.write.mode("overwrite").parquet(f"{path}/header")
-    bits = words_to_bits(filters.words, filters.by)
-    spot = F.col("bit") + 1  # the bitmap functions count from one
-    bitmaps = bits.groupBy(*filters.by, F.bitmap_bucket_number(spot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap")
-    )
-    bitmaps.write.mode("overwrite").parquet(f"{path}/bitmaps")
+    filters.words.select(*filters.by, "word", "bits").write.mode("overwrite").parquet(f"{path}/words")
 
 
 def load_filters(spark, path: str, by: Sequence[str]) -> FilterSet:
-    """Read a saved set back; a bit beyond its header's length raises."""
+    """Read a saved set back; a bit beyond its header's length raises, also inside the last word."""
     by = list(by)
     params = spark.read.parquet(f"{path}/header")
     rate = params.select("error_rate").first()[0]
-    bitmaps = spark.read.parquet(f"{path}/bitmaps")
-    # 4096 bytes per bitmap: unpack in Spark to (byte, bit) rows, then regroup into 64-bit words.
-    octets = bitmaps.select(*by, "bucket", F.posexplode(F.expr(
-        "transform(sequence(1, octet_length(bitmap)), i -> conv(hex(substring(bitmap, i, 1)), 16, 10))"
-    )).alias("octet", "value")).where("value <> '0'")
-    words = octets.select(
-        *by,
-        F.expr("(bucket - 1) * 512 + octet div 8").alias("word"),
-        F.expr("shiftleft(cast(value as bigint), cast(8 * (octet % 8) as int))").alias("_m"),
-    ).groupBy(*by, "word").agg(F.bit_or("_m").alias("bits"))
-    checked = words.join(broadcast_if_small(params.select(*by, "num_bits")), by)
-    bad = F.col("word") * WORD_BITS >= F.col("num_bits")
-    guard = F.when(bad, F.raise_error(F.lit("bit length does not match the header"))).otherwise(F.col("bits"))
+    checked = spark.read.parquet(f"{path}/words").join(broadcast_if_small(params.select(*by, "num_bits")), by)
+    room = F.col("num_bits") - F.col("word") * WORD_BITS
+    stray = F.when(room >= WORD_BITS, False).when(room <= 0, True).otherwise(F.expr(f"shiftrightunsigned(bits, cast(num_bits - word * {WORD_BITS} as int)) <> 0"))
+    guard = F.when(stray, F.raise_error(F.lit("bit length does not match the header"))).otherwise(F.col("bits"))
     return FilterSet(by, rate, params, checked.select(*by, "word", guard.cast("bigint").alias("bits")))

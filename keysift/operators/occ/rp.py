@@ -261,7 +261,8 @@ class RPModel:
             lo, hi = F.get(F.col(f"_lo{d}"), place), F.get(F.col(f"_hi{d}"), place)
             found = (lo <= value) & (value <= hi) if self.params.closed else (lo < value) & (value < hi)
             hits = hits + F.when(found, 1).otherwise(0)
-        accepted = self.decide(hits) & address
+        # A table without any interval has no hits; the decision rule answers for it as for any other.
+        accepted = self.decide(F.when(address, hits).otherwise(0))
         return joined.select(*rows.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
     def _accept_joined(self, rows: DataFrame) -> DataFrame:

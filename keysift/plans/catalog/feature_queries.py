@@ -135,17 +135,17 @@ def gram_sentence(spark, sf_dir):
 
 
 TOKEN_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-DOCS = f"""WITH TC AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKEN_SQL.format('text')}) AS term FROM documents WHERE lang = 'en') GROUP BY ALL),
-N AS (SELECT count(*) AS docs FROM documents WHERE lang = 'en'),
+DOCS = f"""WITH TC AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKEN_SQL.format('text')}) AS term FROM documents) GROUP BY ALL),
+N AS (SELECT count(*) AS docs FROM documents),
 V AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_id, count(*) AS df, ln((1.0 + any_value(docs)) / (1.0 + count(*))) + 1 AS idf FROM TC, N GROUP BY term)"""
 
 
-def english(spark, sf_dir):
-    return fixtures.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+def texts(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def doc_features(spark, sf_dir):
-    docs = english(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     counts = features.token_counts(docs, ["doc_id"], "text")
     return counts, features.with_idf(features.fit_vocabulary(counts), docs.count())
 
@@ -168,14 +168,14 @@ def vocab_fit_keys(spark, sf_dir):
 
 @query(
     "term_counts",
-    f"""WITH L AS (SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id) WHERE lang = 'en'),
-TC AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKEN_SQL.format('text')}) AS term FROM documents WHERE lang = 'en') GROUP BY ALL),
+    f"""WITH L AS (SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)),
+TC AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKEN_SQL.format('text')}) AS term FROM documents) GROUP BY ALL),
 V AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_id FROM (SELECT DISTINCT term FROM TC SEMI JOIN L USING (doc_id)))
 SELECT term_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM TC JOIN V USING (term) GROUP BY term_id""",
 )
 def term_counts(spark, sf_dir):
     """Counts of all English documents against the vocabulary of the labelled ones."""
-    counts = features.token_counts(english(spark, sf_dir), ["doc_id"], "text")
+    counts = features.token_counts(texts(spark, sf_dir), ["doc_id"], "text")
     labelled = fixtures.table(spark, sf_dir, "labels").select("doc_id").distinct()
     vocabulary = features.fit_vocabulary(counts.join(labelled, "doc_id", "left_semi")).drop("df")
     known = features.known_counts(counts, vocabulary)

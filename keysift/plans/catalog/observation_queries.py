@@ -159,7 +159,7 @@ def cap_configs(spark, sf_dir):
 # --- rejects, accepts and margins of the RBF model -------------------------------------------------
 
 NEXT_SCORES = rbf_sql() + f""",
-NS AS (SELECT f.table_id, (x0 - m0) / d0 AS s0, (x1 - m1) / d1 AS s1 FROM P p JOIN C f ON f.table_id = (p.table_id + 1) % 24),
+NS AS (SELECT f.table_id, (x0 - m0) / d0 AS s0, (x1 - m1) / d1 AS s1 FROM P p JOIN C f ON f.table_id <> p.table_id),
 NZ AS (SELECT table_id, """ + ", ".join(
     f"cos({p!r}::DOUBLE + s0 * {w[0]!r}::DOUBLE + s1 * {w[1]!r}::DOUBLE) * {(2.0 / RBF.features) ** 0.5!r}::DOUBLE AS z{i}"
     for i, (w, p) in enumerate(zip(*(a.tolist() for a in rbf.fourier_basis(RBF, WIDTH))))
@@ -175,13 +175,15 @@ O2 AS (SELECT table_id, count(*) FILTER (margin > -0.001) AS test_accepts, count
 SELECT table_id, train_rejects, round(train_rejects::DOUBLE / n, 6) AS reject_rate, round(train_rejects::DOUBLE / n - 0.1, 6) AS nu_gap, test_accepts, tested FROM O1 JOIN O2 USING (table_id)""",
 )
 def error_cases(spark, sf_dir):
-    """Own rows a table rejects, and rows of the preceding table it accepts."""
+    """Own rows a table rejects, and rows of all other tables that it accepts."""
     rows = fixtures.keys(spark, sf_dir).select("table_id", parse_key(F.col("key")).alias("x"))
     scalers = scaling.fit_standard(rows, ["table_id"])
     model = rbf.fit(scaling.apply_scaler(rows, scalers, ["table_id"]), ["table_id"], RBF, WIDTH)
     own = model.predict(scaling.apply_scaler(rows, scalers, ["table_id"])).withColumn("side", F.lit("own"))
-    shifted = rows.withColumn("table_id", ((F.col("table_id") + 1) % fixtures.TABLES).cast("int"))
-    other = model.predict(scaling.apply_scaler(shifted, scalers, ["table_id"])).withColumn("side", F.lit("other"))
+    # Every row asks every other table: the measure itself is that product, and it streams into the counters.
+    others = F.filter(F.sequence(F.lit(0), F.lit(fixtures.TABLES - 1)), lambda t: t != F.col("table_id"))
+    asked = rows.withColumn("table_id", F.explode(others))
+    other = model.predict(scaling.apply_scaler(asked, scalers, ["table_id"])).withColumn("side", F.lit("other"))
     every = own.unionByName(other)
     mine = F.col("side") == "own"
     rejects, rows_own = F.count_if(mine & (F.col("prediction") == -1)), F.count_if(mine)

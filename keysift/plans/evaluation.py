@@ -3,11 +3,13 @@
 Which table stops a probe is known without asking any filter: the first table that truly holds the
 key, because a table's classifier or its backup filter accepts every key of the table.  Probes are
 therefore collapsed to distinct keys with weights before any table is asked, and asking happens
-map-side against a size-checked broadcast, or slice by slice through joins beyond that size.
+map-side, table by table in groups whose filters fit a broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.bloom import FilterSet
-from keysift.session import beside, materialize, same_address
+from keysift.session import materialize
 
 
 class Classifier(Protocol):
@@ -51,28 +53,33 @@ def backup_filters(
     ``share`` divides the capacity (5 gives deliberately over-full filters); ``floor_one`` reports
     at least one reject per table, as the older records do.
     """
-    answered = own_predictions(keys, classifier)
-    rejects = materialize(answered.groupBy(*by).agg(F.count_if(~F.col("accepted")).alias("rejects")))
+    # The rejected keys are written once; a table without any has a count of zero.
+    refused = materialize(own_predictions(keys, classifier).where(~F.col("accepted")).select(*by, "key"))
+    counted = refused.groupBy(*by).agg(F.count("*").alias("rejects"))
+    rejects = keys.select(*by).distinct().join(counted, by, "left").select(*by, F.coalesce("rejects", F.lit(0).cast("bigint")).alias("rejects"))
+    rejects = materialize(rejects)
     capacities = rejects.withColumn("capacity", F.col("rejects") if share == 1 else F.col("rejects") / share)
     params = bloom.size_filters(capacities, by, error_rate)
-    filters = bloom.build_filters(answered.where(~F.col("accepted")).select(*by, "key"), params, by, error_rate)
+    filters = bloom.build_filters(refused, params, by, error_rate)
     if floor_one:
         rejects = rejects.withColumn("rejects", F.greatest("rejects", F.lit(1).cast("bigint")))
     return filters, rejects
 
 
-def two_stage(pairs: DataFrame, classifier: Classifier, filters: FilterSet) -> DataFrame:
-    """Add ``source`` ('c', 'bf' or NULL) to (key, table) rows that carry features and digests."""
-    answered = classifier.accept(pairs)
+def two_stage_parts(pairs: DataFrame, classifier: Classifier, filters: FilterSet) -> Iterator[DataFrame]:
+    """Add ``source`` ('c', 'bf' or NULL) to (key, table) rows that carry features and digests.
+
+    Every row comes back once, in some part, whatever the filters' size.
+    """
     plain = [c for c in pairs.columns if not c.startswith("_")]
-    source = F.when(F.col("accepted"), "c")
-    if bloom.fits_broadcast(filters):
-        packed, met = beside(filters.packed(), filters.by)
-        joined = answered.join(F.broadcast(packed), same_address(filters.by), "left")
-        return joined.select(*plain, source.when(bloom.packed_hit(filters) & met, "bf").alias("source"))
-    # Beyond the broadcast size only the rejected rows travel to the filters.
-    hits = bloom.probe_hits(answered.where(~F.col("accepted")), filters).select(*plain, F.lit("bf").alias("source"))
-    return answered.where("accepted").select(*plain, F.lit("c").alias("source")).unionByName(hits)
+    source = F.when(F.col("accepted"), "c").when(F.col("_maybe"), "bf").alias("source")
+    for part in bloom.asked_parts(classifier.accept(pairs), filters):
+        yield part.select(*plain, source)
+
+
+def two_stage(pairs: DataFrame, classifier: Classifier, filters: FilterSet) -> DataFrame:
+    """All parts of ``two_stage_parts`` together."""
+    return reduce(DataFrame.unionByName, two_stage_parts(pairs, classifier, filters))
 
 
 def probe_stops(keys: DataFrame, truth: str, skip: int = 1) -> DataFrame:
@@ -120,21 +127,19 @@ def evaluate(
     extra = [config] if config else []
     stops = probe_stops(keys, truth, skip)
     pairs = asked_pairs(stops, classifier, filters)
-    answers = two_stage(pairs.select("*", every) if config else pairs, classifier, filters)
-
     at_stop, before = F.col("table_id") == F.col("stop"), F.col("table_id") < F.col("stop")
     by_c, by_bf, yes = F.col("source") == "c", F.col("source") == "bf", F.col("source").isNotNull()
-    counted = answers.groupBy(*extra).agg(
-        *[
-            F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
-            for name, condition in [
-                ("truepositive_c", at_stop & by_c), ("truepositive_bf", at_stop & by_bf), ("truepositive", at_stop & yes),
-                ("falsepositive_c", before & by_c), ("falsepositive_bf", before & by_bf), ("falsepositive", before & yes),
-            ]
-        ],
-        F.lit(0).cast("bigint").alias("asked"),
-        F.lit(0).cast("bigint").alias("probes"),
-    )
+    sums = [
+        F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+        for name, condition in [
+            ("truepositive_c", at_stop & by_c), ("truepositive_bf", at_stop & by_bf), ("truepositive", at_stop & yes),
+            ("falsepositive_c", before & by_c), ("falsepositive_bf", before & by_bf), ("falsepositive", before & yes),
+        ]
+    ]
+    nothing = [F.lit(0).cast("bigint").alias("asked"), F.lit(0).cast("bigint").alias("probes")]
+    # One part after another: only its counters leave a part, and only one group of filters is out at a time.
+    parts = [p.groupBy(*extra).agg(*sums, *nothing) for p in two_stage_parts(pairs.select("*", every) if config else pairs, classifier, filters)]
+    counted = reduce(DataFrame.unionByName, parts if len(parts) == 1 else map(materialize, parts))
     totals = stops.agg(F.sum(F.col("n") * F.col("stop")).cast("bigint").alias("asked"), F.sum("n").alias("probes"))
     totals = totals.select(
         *([every] if config else []), *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS[:-1]], "asked", "probes"

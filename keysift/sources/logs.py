@@ -79,9 +79,11 @@ def _flag(parsed: DataFrame, needed: list[str]) -> DataFrame:
 
 def normalize_table_name(name: Column) -> Column:
     """Delete the four characters at the second hyphen (a temporary-table mark); names without one stay."""
-    second = F.locate("-", name, 1)
-    second = F.when(second > 0, F.expr("locate('-', {0}, locate('-', {0}) + 1)".format("name"))).otherwise(F.lit(0))
-    return F.when(second > 0, F.concat(F.substring(name, F.lit(1), second - 1), F.substring(name, second + 4, F.length(name)))).otherwise(name)
+    # The parts around the first two hyphens; a name with fewer has no third part.
+    parts = F.split(name, "-", 3)
+    tail = F.get(parts, F.lit(2))
+    joined = F.concat(F.get(parts, F.lit(0)), F.lit("-"), F.get(parts, F.lit(1)), F.substring(tail, F.lit(4), F.length(tail)))
+    return F.when(tail.isNotNull(), joined).otherwise(name)
 
 
 # --- rendering, for logs that come from tables --------------------------------------------------

@@ -134,7 +134,7 @@ def test_counts_and_bits_match_row_by_row_insertion(spark):
 
 
 @pytest.mark.parametrize("sizes", [(100, 100), (20, 40_000)])
-def test_joined_probing_equals_broadcast_probing(spark, sizes):
+def test_joined_probing_equals_broadcast_probing(spark, monkeypatch, sizes):
     """The second case mixes filters with two- and four-byte words."""
     keys = key_rows(spark, {0: [f"a{i}" for i in range(300)], 1: [f"b{i}" for i in range(300)]})
     caps = spark.createDataFrame(list(enumerate(sizes)), "table_id int, capacity long")
@@ -143,7 +143,9 @@ def test_joined_probing_equals_broadcast_probing(spark, sizes):
     pairs = bloom.with_digests(probes, filters)
     key = lambda df: {(r["table_id"], r["key"]) for r in df.collect()}
     packed = key(bloom.probe_hits(pairs, filters))
-    assert packed == key(bloom.probe_hits(pairs, filters, limit=-1))
+    for limit in (150, 1):
+        monkeypatch.setattr(bloom, "BROADCAST_BYTES", limit)
+        assert packed == key(bloom.probe_hits(pairs, filters))
     assert {(0, f"a{i}") for i in range(300)} | {(1, f"b{i}") for i in range(300)} <= packed
 
 

@@ -62,14 +62,30 @@ def test_counters_match_sequential_probing(spark, keys, truth, skip, family):
     assert got["fpr"] == pytest.approx(want["falsepositive"] / (want["falsepositive"] + want["truenegative"]))
 
 
-def test_counters_beyond_the_broadcast_size(spark, keys, monkeypatch):
+@pytest.mark.parametrize("share", [0.6, 0.01])
+def test_answers_beyond_the_broadcast_size(spark, keys, monkeypatch, share):
+    """Whole rows, the unanswered ones too, agree whether filters travel together, in groups, or by their words."""
     model = registry.family("epsilon").fit(keys, BY, SETTINGS)
     filters, _ = evaluation.backup_filters(keys, model, BY, 0.3)
-    first = evaluation.evaluate(keys, model, filters).first()
-    probe_hits = bloom.probe_hits
-    monkeypatch.setattr(bloom, "fits_broadcast", lambda f, limit=0: False)
-    monkeypatch.setattr(bloom, "probe_hits", lambda pairs, f: probe_hits(pairs, f, -1))
+    pairs = keys.select("key").distinct().withColumn("table_id", F.explode(F.array(*map(F.lit, range(5)))))
+    pairs = bloom.with_digests(model.prepare(pairs), filters)
+    rows = lambda: sorted(map(tuple, evaluation.two_stage(pairs, model, filters).select("key", "table_id", "source").collect()), key=str)
+    first, together = evaluation.evaluate(keys, model, filters).first(), rows()
+    assert any(r[2] is None for r in together) and len(together) == pairs.count()
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", filters.facts()["bytes"] * share)
+    assert not bloom.fits_broadcast(filters)
     assert evaluation.evaluate(keys, model, filters).first() == first
+    assert rows() == together
+
+
+def test_a_table_without_intervals_follows_the_rule(spark):
+    """Two far points leave no interval; with closed ends and no least share every key passes, on both paths."""
+    keys = spark.createDataFrame([(0, "a:1:1"), (0, "a:900000:ffff")], "table_id int, key string")
+    settings = rp.RPParams(D=4, epsilon=0.001, agg_thr=0.0, box_thr=0.9, closed=True)
+    model = rp.fit(keys, BY, settings, registry.key_features, 2)
+    rows = model.prepare(keys)
+    answers = [sorted(map(tuple, way(rows).select("key", "accepted").collect())) for way in (model._accept_packed, model._accept_joined)]
+    assert answers[0] == answers[1] == [("a:1:1", True), ("a:900000:ffff", True)]
 
 
 def test_owner_never_denies_and_foreign_filters_raise(spark, keys):
