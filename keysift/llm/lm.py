@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.elias_fano import BigramTrie
-from keysift.llm.exchange import by_shard, gathered, shard_count
+from keysift.llm.exchange import by_shard, gathered, packed, shard_count, unpacked
 from keysift.llm.tables import open_folder, raw_texts, slices
 from keysift.llm.words import Numbering, lower_words
 from keysift.session import scratch_path
@@ -42,15 +42,6 @@ END = b""
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which compress well where high bytes are zero."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def _blocks(docs: DataFrame) -> DataFrame:
     """Blocks of documents as numbers of their own words, frequent ones first; the end of a text is a word too."""
     schema = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary, n_words long, n_tokens long"
