@@ -8,8 +8,10 @@ Spark row per key.  Shards grow in number with the data, not in size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 # Keys that one shard is meant to hold.
 SHARD_KEYS = 500_000
@@ -29,6 +31,15 @@ def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(owner[part[0]]), part
 
 
+def by_range(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Shard and part of ascending 64-bit hashes, shards being equal ranges; the parts in order are the whole."""
+    owner = ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+    for start, stop in pairwise(cuts):
+        if start < stop:
+            yield int(owner[start]), slice(start, stop)
+
+
 def gathered(answers: list[tuple[int, np.ndarray]], keys: np.ndarray, shards: int, dtype: np.dtype) -> np.ndarray:
     """The shards' answers put back to the places of ``keys``."""
     by_owner = dict(answers)
@@ -39,9 +50,14 @@ def gathered(answers: list[tuple[int, np.ndarray]], keys: np.ndarray, shards: in
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Integers as planes of equal bytes, which compress well where high bytes are zero."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Non-negative integers as compressed planes of equal bytes, without the planes that are all zero."""
+    octets = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:octets]).tobytes()
+    return bytes([octets]) + len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    octets, n = planes[0], int.from_bytes(planes[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :octets] = np.frombuffer(pa.decompress(planes[9:], n * octets, codec="zstd"), np.uint8).reshape(octets, n).T
+    return out.view("<u8").reshape(-1)

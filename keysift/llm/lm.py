@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.elias_fano import BigramTrie
-from keysift.llm.exchange import by_shard, gathered, packed, shard_count, unpacked
+from keysift.llm.exchange import by_range, by_shard, gathered, packed, shard_count, unpacked
 from keysift.llm.tables import open_folder, raw_texts, slices
 from keysift.llm.words import Numbering, lower_words
 from keysift.session import scratch_path
 
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 10 * 1024 * 1024
 # Occurrences by which a context's own counts outweigh the unigrams.
 PRIOR = 20.0
 # Logarithms are kept in steps of a fortieth; code 0 is a pair not met.
@@ -43,8 +43,14 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents as numbers of their own words, frequent ones first; the end of a text is a word too."""
-    schema = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary, n_words long, n_tokens long"
+    """Blocks of documents as numbers of their own words, frequent ones first; the end of a text is a word too.
+
+    ``words`` are the words' hashes in ascending order, ``ranks`` the words' numbers in that order.
+    """
+    schema = (
+        "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, ranks binary, words binary, counts binary, "
+        "n_words long, n_tokens long"
+    )
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +68,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             tokens = rank[tokens]
-            counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(order))
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbering), np.uint64, len(numbering))[order]
-            binaries = [train.tobytes(), packed(sizes), packed(tokens), words.tobytes(), packed(counts)]
-            row = [(part << 32) + number, piece.column("doc_id").to_pylist(), *binaries, len(words), len(tokens)]
-            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbering), np.uint64, len(numbering))
+            by_hash = np.argsort(hashes)
+            ranks = rank[by_hash]
+            counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(order))[ranks]
+            binaries = [train.tobytes(), packed(sizes), packed(tokens), packed(ranks), hashes[by_hash].tobytes(), packed(counts)]
+            row = [(part << 32) + number, piece.column("doc_id").to_pylist(), *binaries, len(hashes), len(tokens)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6, pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
     return _kept(docs.mapInArrow(run, schema), "lm-blocks")
@@ -89,7 +97,7 @@ def _vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = np.frombuffer(row["words"], np.uint64), unpacked(row["counts"])
-                parts = list(by_shard(words, shards))
+                parts = list(by_range(words, shards))
                 columns = [[s for s, _ in parts], [row["block"]] * len(parts), [words[at].tobytes() for _, at in parts], [packed(counts[at]) for _, at in parts]]
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "block", "words", "counts"])
@@ -116,13 +124,16 @@ def _vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
     return _kept(sent.groupBy("shard").applyInArrow(meet, schema), "lm-vocabulary")
 
 
-def _looked_up(row: dict, replies: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _looked_up(row: dict, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Number and training count of each of a block's words."""
-    words = np.frombuffer(row["words"], np.uint64)
-    parts = list(zip(*(replies.column(c).to_pylist() for c in ("shard", "numbers", "counts"))))
-    numbers = gathered([(s, unpacked(n)) for s, n, _ in parts], words, shards, np.uint64)
-    counts = gathered([(s, unpacked(c)) for s, _, c in parts], words, shards, np.uint64)
-    return numbers, counts
+    parts = sorted(zip(*(replies.column(c).to_pylist() for c in ("shard", "numbers", "counts"))))
+    ranks = unpacked(row["ranks"]).astype(np.int64)
+    out = []
+    for values in ([n for _, n, _ in parts], [c for _, _, c in parts]):
+        own = np.empty(len(ranks), np.uint64)
+        own[ranks] = np.concatenate([unpacked(v) for v in values])
+        out.append(own)
+    return out[0], out[1]
 
 
 def _pairs(row: dict, numbers: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,10 +164,10 @@ def _distinct(places: np.ndarray, keys: np.ndarray, row: dict) -> tuple[np.ndarr
     return pairs[starts], counts
 
 
-def _cells(row: dict, replies: pa.Table, word_shards: int, pair_shards: int, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _cells(row: dict, replies: pa.Table, pair_shards: int, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Shard, ascending pairs, their counts, and the counts of the pairs' contexts."""
-    numbers, counts = _looked_up(row, replies, word_shards)
-    tokens, places, keys = _pairs(row, numbers, span)
+    numbers, counts = _looked_up(row, replies)
+    _, places, keys = _pairs(row, numbers, span)
     pairs, times = _distinct(places, keys, row)
     heads = np.flatnonzero(np.concatenate([[True], np.diff(pairs // np.uint64(span)) != 0])) if len(pairs) else np.zeros(0, np.int64)
     order = np.argsort(numbers)
@@ -175,13 +186,13 @@ def _codes(count: np.ndarray, context: np.ndarray, prior: float) -> np.ndarray:
     return (255 - np.clip(np.rint(-logs / STEP), 0, 254)).astype(np.uint8)
 
 
-def _pair_answers(blocks: DataFrame, vocabulary: DataFrame, word_shards: int, pair_shards: int, span: int, prior: float, folder: str) -> DataFrame:
+def _pair_answers(blocks: DataFrame, vocabulary: DataFrame, pair_shards: int, span: int, prior: float, folder: str) -> DataFrame:
     """Codes of each block's distinct pairs, by (``block``, ``shard``); the shards' tries are written below ``folder``."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
-            for shard, pairs, times, context in _cells(row, right, word_shards, pair_shards, span):
+            for shard, pairs, times, context in _cells(row, right, pair_shards, span):
                 steps = np.diff(pairs, prepend=np.uint64(0))
                 rows.append((shard, row["block"], packed(steps), packed(times), packed(context[_heads(pairs, span)])))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -203,11 +214,11 @@ def _pair_answers(blocks: DataFrame, vocabulary: DataFrame, word_shards: int, pa
         path = f"{root}/shard-{table.column('shard')[0].as_py():06d}-{uuid.uuid4().hex}.trie"
         trie.save(files, path)
         answers = BigramTrie.load(files, path).lookup(pairs // width, pairs % width)[place]
-        replies = pa.array([x.tobytes() for x in _split(answers, [len(x) for x in lists])], pa.binary())
+        replies = pa.array([packed(x) for x in _split(answers, [len(x) for x in lists])], pa.binary())
         paths = pa.array([path] * len(lists))
         return pa.table([table.column("block"), table.column("shard"), replies, paths], names=["block", "shard", "codes", "path"])
 
-    sent = blocks.drop("counts", "n_words", "n_tokens", "doc_ids").groupBy("block").cogroup(vocabulary.groupBy("block"))
+    sent = blocks.drop("words", "counts", "n_words", "n_tokens", "doc_ids").groupBy("block").cogroup(vocabulary.groupBy("block"))
     sent = sent.applyInArrow(send, "shard long, block long, steps binary, times binary, contexts binary")
     return sent.groupBy("shard").applyInArrow(meet, "block long, shard long, codes binary, path string")
 
@@ -239,7 +250,7 @@ def scores(docs: DataFrame, train: Column | None = None, prior: float = PRIOR) -
     if span >= 1 << 31:
         raise ValueError(f"{span} word numbers; pairs of them need more than 63 bits")
     folder = scratch_path(docs.sparkSession, "lm-trie")
-    answers = _pair_answers(blocks, vocabulary, word_shards, pair_shards, span, prior, folder)
+    answers = _pair_answers(blocks, vocabulary, pair_shards, span, prior, folder)
 
     words = vocabulary.select("block", F.lit(False).alias("paired"), "shard", "numbers", "counts", F.lit(None).cast("binary").alias("codes"))
     nothing = F.lit(None).cast("binary")
@@ -251,14 +262,14 @@ def scores(docs: DataFrame, train: Column | None = None, prior: float = PRIOR) -
         paired = right.column("paired")
         vocabulary, pair_codes = right.filter(pa.compute.invert(paired)), right.filter(paired)
         for row in left.to_pylist():
-            numbers, counts = _looked_up(row, vocabulary, word_shards)
+            numbers, counts = _looked_up(row, vocabulary)
             tokens, places, keys = _pairs(row, numbers, span)
             pairs = np.unique(keys)
             heads = _heads(pairs, span) if len(pairs) else np.zeros(0, np.int64)
             order = np.argsort(numbers)
             context = counts[order[np.searchsorted(numbers[order], pairs[heads] // np.uint64(span))]] if len(heads) else np.zeros(0, np.uint64)
             context = np.repeat(context, np.diff(np.append(heads, len(pairs))))
-            parts = [(s, np.frombuffer(c, np.uint8)) for s, c in zip(pair_codes.column("shard").to_pylist(), pair_codes.column("codes").to_pylist())]
+            parts = [(s, unpacked(c)) for s, c in zip(pair_codes.column("shard").to_pylist(), pair_codes.column("codes").to_pylist())]
             owners = _pair_shard(pairs, span, context >= HOT)
             code = gathered(parts, owners, pair_shards, np.uint8)[np.searchsorted(pairs, keys)] if len(pairs) else np.zeros(0, np.uint8)
 
@@ -280,5 +291,5 @@ def scores(docs: DataFrame, train: Column | None = None, prior: float = PRIOR) -
         return pa.concat_tables(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    whole = blocks.drop("counts", "n_words", "n_tokens")
+    whole = blocks.drop("words", "counts", "n_words", "n_tokens")
     return whole.groupBy("block").cogroup(words.union(codes).groupBy("block")).applyInArrow(finish, schema)
