@@ -65,6 +65,7 @@ class Registry:
     outcomes: DataFrame  # one row per compaction
     named: DataFrame  # per table, the ordered moments it was named as an input
     lifetimes: DataFrame  # (cf, table, incarnation, created, dropped)
+    held: DataFrame | None = None  # contents, once they were asked for
 
 
 def resolve(events: DataFrame) -> Registry:
@@ -82,12 +83,11 @@ def resolve(events: DataFrame) -> Registry:
     asked = hint(edges.select("line_no", "place", F.col("input").alias("table"), F.col("ord").alias("_at")))
     flushed = flushes.join(asked, "table").where("ord < _at").groupBy("line_no", "place").agg(F.max("ord").alias("_flushed"))
     cf_flush = flushes.groupBy("cf").agg(F.min("ord").alias("_cf_flushed"))
-    earlier = edges.select("input", F.col("ord").alias("_named_at"))
-    last_named = (
-        edges.select("line_no", "place", "input", "ord").join(earlier, "input").where("_named_at < ord")
-        .groupBy("line_no", "place").agg(F.max("_named_at").alias("_named"))
-    )
-    known = edges.join(flushed, ["line_no", "place"], "left").join(last_named, ["line_no", "place"], "left")
+    # The naming before each one, by its number among the input's namings: linear however often a name is used.
+    namings = grouped_row_number(edges.select("input", "ord").distinct(), ["input"], ["ord"], "turn")
+    before = namings.select("input", (F.col("turn") + 1).alias("turn"), F.col("ord").alias("_named"))
+    last_named = namings.join(before, ["input", "turn"]).select("input", "ord", "_named")
+    known = edges.join(flushed, ["line_no", "place"], "left").join(last_named, ["input", "ord"], "left")
     known = materialize(known.join(broadcast_if_small(cf_flush).withColumnRenamed("cf", "input_cf"), "input_cf", "left"))
 
     # Failures only ever grow from round to round, so an unchanged number of them ends the search.
@@ -148,17 +148,28 @@ def lineage(registry: Registry) -> DataFrame:
     )
     parents = with_incarnation(children.withColumnRenamed("output", "table"), registry)
     steps = materialize(parents.select(F.col("table").alias("parent"), F.col("incarnation").alias("parent_inc"), "ord", "place", "child", "child_inc"))
-    return registry.events.sparkSession.sql(
-        """
-        WITH RECURSIVE closure(root, root_inc, made, node, node_inc, path) AS (
-          SELECT parent, parent_inc, ord, child, child_inc, lpad(cast(place AS string), 6, '0') FROM {steps}
-          UNION ALL
-          SELECT c.root, c.root_inc, c.made, s.child, s.child_inc, concat(c.path, '/', lpad(cast(s.place AS string), 6, '0'))
-          FROM closure c JOIN {steps} s ON s.parent = c.node AND s.parent_inc = c.node_inc)
-        SELECT * FROM closure
-        """,
-        steps=steps,
+    # Paths of one step, then of two, four, ...: the number of rounds is the logarithm of the longest chain.
+    exact = steps.select(
+        F.col("parent").alias("root"), F.col("parent_inc").alias("root_inc"), F.col("ord").alias("made"),
+        F.col("child").alias("node"), F.col("child_inc").alias("node_inc"), F.lpad(F.col("place").cast("string"), 6, "0").alias("path"),
+    )
+    done = None
+    while True:
+        longer = exact if done is None else exact.unionByName(_chained(exact, done)).unionByName(done)
+        done, doubled = materialize(longer), materialize(_chained(exact, exact))
+        if doubled.isEmpty():
+            return done
+        exact = doubled
+
+
+def _chained(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Paths of ``first`` continued by paths of ``then``."""
+    then = then.select(
+        F.col("root").alias("node"), F.col("root_inc").alias("node_inc"), F.col("node").alias("_to"), F.col("node_inc").alias("_to_inc"),
+        F.col("path").alias("_path"),
     )
+    joined = first.join(then, ["node", "node_inc"])
+    return joined.select("root", "root_inc", "made", F.col("_to").alias("node"), F.col("_to_inc").alias("node_inc"), F.concat_ws("/", "path", "_path").alias("path"))
 
 
 def compaction_contents(registry: Registry) -> DataFrame:
@@ -175,11 +186,14 @@ def compaction_contents(registry: Registry) -> DataFrame:
 
 
 def contents(registry: Registry) -> DataFrame:
-    """Every key of every table with the moment it got there."""
-    flushed = with_incarnation(flush_rows(registry.events), registry)
-    return flushed.select("cf", "table", "incarnation", "key", F.col("ord").alias("at")).unionByName(
-        compaction_contents(registry).select("cf", "table", "incarnation", "key", "at")
-    )
+    """Every key of every table with the moment it got there; computed once for a registry."""
+    if registry.held is None:
+        flushed = with_incarnation(flush_rows(registry.events), registry)
+        every = flushed.select("cf", "table", "incarnation", "key", F.col("ord").alias("at")).unionByName(
+            compaction_contents(registry).select("cf", "table", "incarnation", "key", "at")
+        )
+        registry.held = materialize(every)
+    return registry.held
 
 
 def key_spans(registry: Registry) -> DataFrame:

@@ -10,18 +10,31 @@ def unset(spark, monkeypatch):
     monkeypatch.setattr(session, "_made", [])
 
 
-def test_scratch_goes_to_the_default_file_system(spark, unset, monkeypatch):
-    monkeypatch.setattr(session, "default_folder", lambda s: "hdfs://store/user/me")
-    assert session.scratch_path(spark, "x").startswith("hdfs://store/user/me/keysift-scratch/")
+class Cluster:
+    """What the folder rule asks a session for, on a cluster without a checkpoint folder."""
+
+    master, applicationId = "spark://host:7077", "application-1"
+
+    def __init__(self, configured=None):
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": configured}, self
+
+    def getCheckpointDir(self):  # noqa: N802
+        return None
 
 
-def test_a_machines_own_folder_is_refused_on_a_cluster(spark, unset, monkeypatch):
-    class Elsewhere:
-        conf, sparkContext = spark.conf, type("C", (), {"master": "spark://host:7077", "applicationId": "a", "getCheckpointDir": lambda self: None})()
+def test_scratch_goes_to_the_folder_that_is_set(unset):
+    assert session.scratch_path(Cluster("s3a://bucket/scratch/"), "x").startswith("s3a://bucket/scratch/keysift/x-")
+
+
+def test_scratch_goes_to_the_default_file_system(unset, monkeypatch):
+    monkeypatch.setattr(session, "default_folder", lambda s: "hdfs://store/user/me")
+    assert session.scratch_path(Cluster(), "x").startswith("hdfs://store/user/me/keysift-scratch/")
+
 
+def test_a_machines_own_folder_is_refused_on_a_cluster(unset, monkeypatch):
     monkeypatch.setattr(session, "default_folder", lambda s: "file:/home/me")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.checkpoint_dir(Elsewhere())
+        session.checkpoint_dir(Cluster())
 
 
 def test_scratch_tables_are_columnar_and_can_be_cleared(spark, unset):

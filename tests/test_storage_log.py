@@ -94,3 +94,16 @@ def test_late_events_are_counted_and_reads_wait_for_the_watermark(spark, tmp_pat
     assert hits == {2: "/d/a/t0", 6: None}
     late = log_stream._state(spark, work, "progress", "latest long, late long").agg(F.sum("late")).first()[0]
     assert late == 1
+
+
+def test_a_chain_of_300_compactions(spark):
+    """Every output names the one before it and one flushed table; the last holds the keys of all, in order."""
+    rows = []
+    for i in range(300):
+        rows.append(("flush", 2 * i, 2 * i, "a", f"/d/a/t{i}", f"k{i}", None))
+        rows.append(("compaction", 2 * i + 1, 2 * i + 1, "a", f"/d/a/c{i}", None, [*([f"/d/a/c{i - 1}"] if i else []), f"/d/a/t{i}"]))
+    registry = storage_log.resolve(spark.createDataFrame(rows, log_stream.EVENT_SCHEMA))
+    held = storage_log.compaction_contents(registry).where("table = '/d/a/c299'").orderBy("path", "ord").collect()
+    assert [r["key"] for r in held] == [f"k{i}" for i in range(300)]
+    lives = {r["table"]: r["dropped"] is None for r in registry.lifetimes.collect()}
+    assert lives["/d/a/c299"] and sum(lives.values()) == 1
