@@ -14,12 +14,15 @@ COVARIANCE_FLOOR = 1e-6  # fixed value: added to the diagonal
 
 
 def component_count(rows: Column) -> Column:
-    """How many components a table of this size gets."""
+    """How many components a table of this size gets.  Fixed values: 100 above 10000 rows, a tenth of the rows below 60, else 9."""
     return F.when(rows > 10000, 100).when(rows < 60, F.greatest(F.lit(1), F.floor(rows / 10))).otherwise(9).cast("int")
 
 
 def estimate(weighted: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Weights, means and covariances from responsibilities: rows (by, component, r, x0, x1, ll)."""
+    """Weights, means and covariances from responsibilities: rows (by, component, r, x0, x1, ll).
+
+    A component whose responsibilities add up to less than a billionth of one row has no mean and is dropped.
+    """
     r, a, b = F.col("r"), F.col("x0"), F.col("x1")
     sums = weighted.groupBy(*by, "component").agg(
         F.sum(r).alias("_r"), F.sum(r * a).alias("_a"), F.sum(r * b).alias("_b"),
@@ -53,14 +56,18 @@ def _log_density(c: Column, x0: Column, x1: Column) -> Column:
 def with_log_likelihood(rows: DataFrame, components: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add ``_logs`` (per component) and their log-sum-exp ``ll``."""
     joined = rows.join(broadcast_if_small(packed(components, by)), list(by))
+    # The largest logarithm is a column of its own: inside the lambda it would be looked for once per component.
     logs = joined.withColumn("_logs", F.transform("_mix", lambda c: _log_density(c, F.col("x0"), F.col("x1"))))
-    top = F.array_max("_logs")
-    total = F.aggregate("_logs", F.lit(0.0), lambda t, v: t + F.exp(v - top))
-    return logs.withColumn("ll", top + F.log(total))
+    logs = logs.withColumn("_top", F.array_max("_logs"))
+    total = F.aggregate("_logs", F.lit(0.0), lambda t, v: t + F.exp(v - F.col("_top")))
+    return logs.withColumn("ll", F.col("_top") + F.log(total)).drop("_top")
 
 
 def initial_components(rows: DataFrame, by: Sequence[str], accuracy: int = 1000) -> DataFrame:
-    """Hard assignment by quantiles of the first feature, one slice per component."""
+    """Hard assignment by quantiles of the first feature, one slice per component.
+
+    Start values only: the quantiles are approximate (a rank is off by at most a part in ``accuracy``).
+    """
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("x0", [i / 100 for i in range(1, 100)], accuracy).alias("_q"))
     joined = rows.join(settled(sizes.withColumn("_k", component_count(F.col("_n")))), list(by))
     rank = F.size(F.filter("_q", lambda q: q < F.col("x0")))

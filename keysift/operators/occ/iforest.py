@@ -1,7 +1,7 @@
 """Isolation forests, one per table.
 
-Trees are grown on samples of at most 256 rows, so growing one tree is a bounded group; scoring
-walks the trees level by level through equi-joins.
+Trees are grown on samples of ``sample_rows`` rows (a parameter of the family, 256 as a rule), so
+growing one tree is a bounded group; a row meets its table's packed forest once and walks all trees in place.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysift.session import BROADCAST_BYTES, broadcast_if_small, settled
+from keysift.session import broadcast_if_small, settled
 
-SAMPLE_ROWS = 256  # fixed value: rows per tree
+SAMPLE_ROWS = 256  # rows per tree unless the family's parameters say otherwise
 SEED = 0
 
 
@@ -23,8 +23,10 @@ def _unit(*columns) -> "F.Column":
     return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def tree_samples(rows: DataFrame, by: Sequence[str], row_id: str, trees: int) -> DataFrame:
-    """An exact sample of up to 256 rows per (table, tree): the rows with the smallest seeded hash.
+def tree_samples(rows: DataFrame, by: Sequence[str], row_id: str, trees: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """An exact sample of up to ``sample_rows`` rows per (table, tree): the rows with the smallest seeded hash.
+
+    ``row_id`` must tell the rows of a table apart, or copies would enter a group together.
 
     A hash threshold at three times the wanted share drops nearly all rows map-side, before the
     sample is cut to size in groups of a few hundred rows.
@@ -34,10 +36,10 @@ def tree_samples(rows: DataFrame, by: Sequence[str], row_id: str, trees: int) ->
     # Only the trees whose threshold a row passes are spread to rows of their own.
     draw = lambda tree: _unit(F.col(row_id), tree, F.lit(SEED))
     every = F.sequence(F.lit(0), F.lit(trees - 1))
-    passed = F.filter(every, lambda tree: draw(tree) * F.col("_n") < 3 * SAMPLE_ROWS)
+    passed = F.filter(every, lambda tree: draw(tree) * F.col("_n") < 3 * sample_rows)
     near = rows.join(sizes, by).withColumn("tree", F.explode(passed)).withColumn("_u", draw(F.col("tree")))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "tree").orderBy("_u", row_id)))
-    return ranked.where(F.col("_r") <= SAMPLE_ROWS).select(*by, "tree", row_id, "x")
+    return ranked.where(F.col("_r") <= sample_rows).select(*by, "tree", row_id, "x")
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -84,30 +86,43 @@ def grow_trees(samples: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
     return grown
 
 
-def score(rows: DataFrame, nodes: DataFrame, by: Sequence[str], trees: int, sampled: DataFrame, depth: int = 8) -> DataFrame:
+def packed_forest(nodes: DataFrame, by: Sequence[str], depth: int) -> DataFrame:
+    """One row per table: for every tree, its nodes by number (numbers without a node are null)."""
+    by = list(by)
+    places = nodes.select(*by, "tree").distinct().withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((2 << depth) - 1).cast("bigint"))))
+    dense = places.join(nodes.select(*by, "tree", "node", F.struct("feature", "value", "path").alias("_n")), [*by, "tree", "node"], "left")
+    trees = dense.groupBy(*by, "tree").agg(F.sort_array(F.collect_list(F.struct("node", "_n"))).alias("_t"))
+    return trees.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("tree", F.col("_t._n").alias("nodes")))).alias("_f")).select(*by, F.col("_f.nodes").alias("_forest"))
+
+
+def score(rows: DataFrame, nodes: DataFrame, by: Sequence[str], trees: int, sampled: DataFrame) -> DataFrame:
     """Distinct rows (by, x) with ``score`` = ``2^(-E[path] / c(sample))``.
 
-    Every (row, tree) steps down one level per equi-join with the nodes; the steps are map-side
-    while the forest is small, and the paths of a row meet in the map-side combine.
+    The packed forest of a table is bounded by its trees and their samples; it meets the rows in one
+    join on the table, by broadcast while all forests are measured to be small, and rows are not multiplied by trees.
     """
     by = list(by)
     sizes = sampled.groupBy(*by, "tree").agg(F.count("*").alias("_n")).groupBy(*by).agg(F.max("_n").alias("_n"))
     n = F.col("_n")
     expected = F.when(n <= 2, 1.0).otherwise(2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n)
-    nodes = broadcast_if_small(nodes.select(*by, "tree", "node", "feature", "value", "path"), BROADCAST_BYTES // 64)
-    walk = rows.select(*by, "x").distinct().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    walk = walk.withColumn("node", F.lit(1).cast("bigint"))
-    for level in range(depth + 1):
-        met = walk.join(nodes, [*by, "tree", "node"])
-        if level == depth:
-            walk = met
-            break
-        right = (F.get(F.col("x"), F.col("feature")) > F.col("value")).cast("bigint")
-        step = F.when(F.col("feature") >= 0, 2 * F.col("node") + right).otherwise(F.col("node"))
-        walk = met.select(*by, "x", "tree", step.alias("node"))
-    paths = walk.groupBy(*by, "x").agg((F.sum("path") / trees).alias("_mean"))
-    scored = paths.join(broadcast_if_small(sizes.select(*by, expected.alias("_c"))), by)
-    return scored.select(*by, "x", F.pow(F.lit(2.0), -F.col("_mean") / F.col("_c")).alias("score"))
+    deepest = int(nodes.agg(F.max(F.floor(F.log2("node")))).first()[0] or 0)
+    forests = packed_forest(nodes, by, deepest).join(sizes.select(*by, expected.alias("_c")), by)
+    met = rows.select(*by, "x").distinct().join(settled(forests), by)
+
+    def step(tree):
+        def down(node, _):
+            here = F.get(tree, node)
+            right = (F.get(F.col("x"), here["feature"]) > here["value"]).cast("int")
+            return F.when(here["feature"] >= 0, 2 * node + right).otherwise(node)
+
+        return down
+
+    def path(tree):
+        leaf = F.aggregate(F.sequence(F.lit(0), F.lit(deepest)), F.lit(1), step(tree))
+        return F.get(tree, leaf)["path"]
+
+    mean = F.aggregate("_forest", F.lit(0.0), lambda total, tree: total + path(tree)) / trees
+    return met.select(*by, "x", F.pow(F.lit(2.0), -mean / F.col("_c")).alias("score"))
 
 
 def predict(score_column):

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from keysift.functions.text import parse_key
 from keysift.operators import overlap, scaling
-from keysift.operators.occ import iforest, rbf, rp
+from keysift.operators.occ import gmm, iforest, rbf, rp
+from keysift.operators.ordering import grouped_row_number
 from keysift.plans.evaluation import AlwaysNegative, Classifier
+from keysift.session import broadcast_if_small, materialize
 
 WIDTH = 2  # features of a parsed key
 
@@ -113,12 +115,62 @@ def rbf_grid() -> Iterable[dict]:
 
 
 def fit_forest(keys: DataFrame, by: list[str], params: dict) -> ForestModel:
-    from keysift.session import materialize
+    trees, sample_rows = params.get("trees", 100), params.get("sample_rows", iforest.SAMPLE_ROWS)
+    # Copies of a key get numbers of their own, the same ones however the rows are partitioned.
+    rows = grouped_row_number(keys.select(*by, "key"), by, ["key"], "_id").select(*by, "_id", key_features().alias("x"))
+    samples = materialize(iforest.tree_samples(rows, by, "_id", trees, sample_rows))
+    return ForestModel(by, materialize(iforest.grow_trees(samples, by, "_id")), samples, trees)
 
-    trees = params.get("trees", 100)
-    rows = keys.select(*by, "key", key_features().alias("x"))
-    samples = materialize(iforest.tree_samples(rows, by, "key", trees))
-    return ForestModel(by, materialize(iforest.grow_trees(samples, by, "key")), samples, trees)
+
+@dataclass
+class MixtureModel:
+    """Accepts rows whose log-likelihood lies within ``factor`` deviations of the table's mean."""
+
+    by: list[str]
+    scalers: DataFrame
+    components: DataFrame
+    band: DataFrame
+    factor: float
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_x", key_features())
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        scaled = scaling.apply_scaler(rows.withColumn("x", F.col("_x")), self.scalers, self.by)
+        x = F.col("x")
+        return gmm.with_log_likelihood(scaled.withColumns({"x0": x[0], "x1": x[1]}), self.components, self.by).drop("x", "x0", "x1", "_mix", "_logs")
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        joined = self._scored(rows).join(broadcast_if_small(self.band), self.by)
+        inside = gmm.band_prediction(F.col("ll"), F.col("mean"), F.col("sigma"), self.factor, 1e-12) == 1
+        return joined.withColumn("accepted", F.coalesce(inside, F.lit(False))).select(*rows.columns, "accepted")
+
+
+def fit_mixture(keys: DataFrame, by: list[str], params: dict) -> MixtureModel:
+    rows = keys.select(*by, key_features().alias("x"))
+    scalers = scaling.fit_minmax(rows, by)
+    x = F.col("x")
+    scaled = materialize(scaling.apply_scaler(rows, scalers, by).select(*by, x[0].alias("x0"), x[1].alias("x1")))
+    components, _ = gmm.fit(scaled, by, params.get("max_iter", 100), params.get("tolerance", 1e-3))
+    band = materialize(gmm.likelihood_band(gmm.with_log_likelihood(scaled, components, by), by))
+    return MixtureModel(by, scalers, components, band, params["factor"])
+
+
+def mixture_size(model: MixtureModel) -> DataFrame:
+    """Bits of the components' six numbers and of the band."""
+    return model.components.groupBy(*model.by).agg(((F.count("*") * 6 + 2) * 64).alias("bits"))
+
+
+def fit_kernel_rp(keys: DataFrame, by: list[str], params: dict) -> rp.RPModel:
+    """Random projections of kernel values: the directions stand in for the second argument of the kernel."""
+    kernel = {k: params[k] for k in ("kernel", "gamma", "offset", "degree") if k in params}
+    plain = rp.RPParams(**{k: v for k, v in params.items() if k not in kernel})
+    directions = rp.unit_planes(plain.D, WIDTH)
+    return rp.fit(keys, by, plain, lambda: rp.kernel_project(key_features(), directions, **kernel), plain.D)
+
+
+def kernel_rp_size(model: rp.RPModel) -> DataFrame:
+    return rp.model_bits(model.intervals, model.by, model.params.D, model.params.D).select(*model.by, "bits")
 
 
 def fit_exact(features: Callable[[], Column]):
@@ -166,7 +218,9 @@ def family(name: str) -> Family:
 register_family(Family("epsilon", fit_rp, rp_size, rp_grid, {"D": 9, "epsilon": 1e-2, "agg_thr": 0.9, "box_thr": 1e-2}))
 for _name in ("svmsimple", "libsvmsch"):
     register_family(Family(_name, fit_rbf, rbf_size, rbf_grid, {"nu": 0.1, "gamma": 0.5, "tol": 1e-3}))
-register_family(Family("isolationforest", fit_forest, forest_size, single, {"trees": 100}))
+register_family(Family("isolationforest", fit_forest, forest_size, single, {"trees": 100, "sample_rows": iforest.SAMPLE_ROWS}))
+register_family(Family("gaussianmixture", fit_mixture, mixture_size, single, {"factor": 2.0}))
+register_family(Family("kernelepsilon", fit_kernel_rp, kernel_rp_size, single, {"D": 9, "epsilon": 1e-2, "agg_thr": 0.9, "box_thr": 1e-2, "kernel": "p"}))
 register_family(Family("np", fit_exact(key_features), exact_size, single, {}))
 register_family(Family("dic", fit_exact(lambda: overlap.row_text(key_features())), exact_size, single, {}))
 register_family(Family("alwaysNegative", lambda keys, by, params: AlwaysNegative(), lambda model: None, single, {}))

@@ -316,8 +316,8 @@ def unit_points(spark, sf_dir):
 
 @query("gmm_fit")
 def gmm_fit(spark, sf_dir):
-    """Eight rounds of expectation maximisation over all tables."""
-    components, trace = gmm.fit(materialize(unit_points(spark, sf_dir)), BY, max_iter=8)
+    """Expectation maximisation over all tables until the likelihood settles, or a hundred rounds."""
+    components, trace = gmm.fit(materialize(unit_points(spark, sf_dir)), BY)
     rising = all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
     return components.select("table_id", "component", *[F.round(c, 6).alias(c) for c in ("weight", "m0", "m1", "c00", "c01", "c11")]).withColumn(
         "rising", F.lit(rising)
@@ -365,7 +365,7 @@ count(*) FILTER (abs(ll - mean) < 2 * sigma) AS accepted, count(*) FILTER (abs(l
 )
 def gmm_band_predict(spark, sf_dir):
     rows = unit_points(spark, sf_dir)
-    scored = gmm.with_log_likelihood(rows, sliced_components(rows), BY).select("table_id", "ll")
+    scored = materialize(gmm.with_log_likelihood(rows, sliced_components(rows), BY).select("table_id", "ll"))
     banded = scored.join(broadcast_if_small(gmm.likelihood_band(scored, BY)), "table_id")
     ll, mean, sigma = F.col("ll"), F.col("mean"), F.col("sigma")
     return banded.groupBy("table_id").agg(
@@ -394,7 +394,7 @@ def iforest_predict(spark, sf_dir):
     """Accepted points and the mean score per table."""
     keys = fixtures.keys(spark, sf_dir)
     forest = family("isolationforest")
-    model = forest.fit(keys, BY, {"trees": 20})
+    model = forest.fit(keys, BY, forest.sample)
     rows = points(spark, sf_dir).groupBy("table_id", "x").agg(F.count("*").alias("n"))
     scored = rows.join(iforest.score(rows, model.nodes, BY, model.trees, model.samples), ["table_id", "x"])
     return scored.groupBy("table_id").agg(
@@ -453,7 +453,7 @@ def cv_grid(spark, sf_dir):
     return spark.createDataFrame(results, "gamma double, reg_param double, area_under_roc double")
 
 
-STEPS = 60
+STEPS = 500
 
 
 @query(

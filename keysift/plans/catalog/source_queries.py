@@ -192,7 +192,7 @@ def customers(spark, sf_dir):
 
 @query("gen_gauss_1d", "SELECT c_nationkey AS cluster, count(*) AS points, true AS near_centre, true AS right_spread FROM customer GROUP BY 1")
 def gen_gauss_1d(spark, sf_dir):
-    drawn = generators.with_gauss(customers(spark, sf_dir), "c_nationkey", 0.5, 0.1)
+    drawn = generators.with_gauss(customers(spark, sf_dir), "c_nationkey", 0.5, 0.1, row_id="c_custkey")
     return drawn.groupBy(F.col("c_nationkey").alias("cluster")).agg(
         F.count("*").alias("points"),
         (F.abs(F.avg("value") - 0.5 * F.first("c_nationkey")) < 0.6 / F.sqrt(F.count("*"))).alias("near_centre"),
@@ -202,7 +202,7 @@ def gen_gauss_1d(spark, sf_dir):
 
 @query("gen_gauss_2d", "SELECT c_nationkey AS cluster, count(*) AS points, true AS near_x, true AS near_y FROM customer GROUP BY 1")
 def gen_gauss_2d(spark, sf_dir):
-    drawn = generators.with_gauss_2d(customers(spark, sf_dir), "c_nationkey", 1.0, ((0.1, 0.0), (0.0, 1.0)))
+    drawn = generators.with_gauss_2d(customers(spark, sf_dir), "c_nationkey", 1.0, ((0.1, 0.0), (0.0, 1.0)), row_id="c_custkey")
     root, centre = F.sqrt(F.count("*")), F.first("c_nationkey")
     return drawn.groupBy(F.col("c_nationkey").alias("cluster")).agg(
         F.count("*").alias("points"),

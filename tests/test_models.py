@@ -157,3 +157,19 @@ def test_key_model_accepts_its_own_keys(spark):
     assert answered.where("prediction = 1").count() > 0.9 * answered.count()
     unknown = spark.createDataFrame([(0, "zz")], "table_id int, key string")
     assert model.transform(unknown).count() == 1
+
+
+@pytest.mark.parametrize("name", ["gaussianmixture", "kernelepsilon"])
+def test_further_families_fit_back_up_and_answer(spark, name):
+    """A family's own rejects fall to its backup filter, so no table denies its own key."""
+    from keysift.operators.occ import registry
+    from keysift.plans import evaluation
+
+    rows = [(t, f"h:{(7 * i + 3 * t) % 50}:{(i * i) % 40:x}") for t in range(2) for i in range(80)]
+    keys = spark.createDataFrame(rows, "table_id int, key string")
+    chosen = registry.family(name)
+    model = chosen.fit(keys, ["table_id"], {**chosen.sample, **({"max_iter": 5} if name == "gaussianmixture" else {})})
+    filters, rejects = evaluation.backup_filters(keys, model, ["table_id"], 0.1)
+    assert evaluation.denied_keys(keys, model, filters).isEmpty()
+    assert sum(r["rejects"] for r in rejects.collect()) < len(rows)
+    assert {r["table_id"] for r in chosen.size(model).collect()} == {0, 1}
