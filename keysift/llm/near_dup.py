@@ -7,9 +7,10 @@ principle, two signatures within that distance differ by at most ERRORS slots in
 leave out that many slots of a chunk is a key, so each such pair shares a key for certain.
 
 Documents of equal sets are one node.  Buckets of a key may be hot, so pairs are not formed at once: every
-node is first compared with the least node of its buckets, which joins tight groups; then only buckets that
-still hold several components are searched, blocks against blocks, for pairs across components within the
-signature distance.  All candidates are confirmed on full sets.
+node is first compared with the most central node of its buckets (the one that shares its keys with most
+others), which joins tight groups; then only buckets that still hold several components are searched, blocks
+against blocks, for pairs across components within the signature distance.  A pair is taken from the
+first key that it shares, and tested on a longer signature.  All candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from keysift.llm.tables import raw_texts, slices, text_only, written
 from keysift.llm.words import Numbering, lower_words
 
 SLOTS = 64
+# Slots of the longer signature, of 8 bits.
+FINE_SLOTS = 256
 # Slots in which two signatures may differ within one chunk.
 ERRORS = 1
 # Nodes of one block of a bucket.
@@ -45,13 +48,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S29)
 
 
-_SLOT = np.arange(1, SLOTS + 1, dtype=np.uint64)
+_SLOT = np.arange(1, SLOTS + FINE_SLOTS + 1, dtype=np.uint64)
 _FACTORS, _SHIFTS = _mixed(_SLOT * _M1) | np.uint64(1), _mixed(_SLOT * _M3 + _M1)
 
 
-def allowed_distance(similarity: float) -> int:
+def allowed_distance(similarity: float, slots: int = SLOTS) -> int:
     """Slots in which signatures may differ: five standard deviations above the mean of pairs at the threshold."""
-    return min(SLOTS - 1, math.ceil(SLOTS * (1 - similarity) + 5 * math.sqrt(SLOTS * similarity * (1 - similarity))))
+    return min(slots - 1, math.ceil(slots * (1 - similarity) + 5 * math.sqrt(slots * similarity * (1 - similarity))))
 
 
 def shingle_sets(raws: list[bytes], size: int) -> list[np.ndarray]:
@@ -78,14 +81,14 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of SLOTS 16-bit values for each set, none of them empty."""
-    out = np.zeros((len(sets), SLOTS), np.uint16)
+def _signatures(sets: list[np.ndarray], slots: range = range(SLOTS)) -> np.ndarray:
+    """One row of 16-bit values for each set, none of them empty."""
+    out = np.zeros((len(sets), len(slots)), np.uint16)
     if sets:
         values = np.concatenate(sets)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-        for j in range(SLOTS):
-            least = np.minimum.reduceat(values * _FACTORS[j] + _SHIFTS[j], starts)
+        for j, slot in enumerate(slots):
+            least = np.minimum.reduceat(values * _FACTORS[slot] + _SHIFTS[slot], starts)
             out[:, j] = (_mixed(least) >> _S48).astype(np.uint16)
     return out
 
@@ -112,39 +115,48 @@ def _unpacked(batch: pa.RecordBatch) -> np.ndarray:
     return np.ascontiguousarray(columns).view(np.uint16)
 
 
-def bucket_keys(nodes: DataFrame, distance: int) -> DataFrame:
-    """``key`` and ``node``: signatures within ``distance`` share a key for certain."""
+def _variants(distance: int) -> list[list[int]]:
+    """The slots that each key is made of: all chunks, every way to leave ERRORS slots out."""
     chunks = np.array_split(np.arange(SLOTS), distance // (ERRORS + 1) + 1)
-    left = [(c, rest) for c, chunk in enumerate(chunks) for rest in combinations(chunk.tolist(), max(len(chunk) - ERRORS, 1))]
+    return [list(rest) for chunk in chunks for rest in combinations(chunk.tolist(), max(len(chunk) - ERRORS, 1))]
+
+
+def bucket_keys(nodes: DataFrame, distance: int) -> DataFrame:
+    """``key``, its number ``variant`` and ``node``: signatures within ``distance`` share a key for certain."""
+    left = _variants(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
                 values = _unpacked(part).astype(np.uint64)
                 keys = np.empty((len(left), part.num_rows), np.uint64)
-                for row, (chunk, slots) in enumerate(left):
-                    acc = np.full(part.num_rows, row + 1 + (chunk << 32), np.uint64)
+                for row, slots in enumerate(left):
+                    acc = np.full(part.num_rows, row + 1, np.uint64)
                     for slot in slots:
                         acc = _mixed(acc * _M1 + values[:, slot])
                     keys[row] = acc
                 owners = np.tile(part.column("node").to_numpy(), len(left))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(owners)], names=["key", "node"])
+                variants = np.repeat(np.arange(len(left), dtype=np.int32), part.num_rows)
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(variants), pa.array(owners)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "variant", "node"])
 
-    return nodes.mapInArrow(run, "key long, node long")
+    return nodes.mapInArrow(run, "key long, variant int, node long")
 
 
 def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
     """Pairs of nodes of one bucket, of different components, whose signatures are within ``distance``.
 
-    ``members`` are sorted runs of (``bucket``, ``one``, ``other``): the blocks of a bucket that meet.
+    ``members`` are sorted runs of (``bucket``, ``one``, ``other``): the blocks of a bucket that meet.  A pair
+    that shares several keys comes from the first of them only.
     """
+    left = _variants(distance)
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
         values = _unpacked(batch)
         group = np.stack([batch.column(c).to_numpy() for c in ("bucket", "one", "other")], axis=1)
         run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).any(axis=1)]))
-        component, size, block, node = (batch.column(c).to_numpy() for c in ("component", "n", "block", "node"))
+        component, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "n", "block", "node", "variant"))
         crossing = batch.column("one").to_numpy() != batch.column("other").to_numpy()
         found = []
         for step in range(1, len(run)):
@@ -155,8 +167,12 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
             fits = (component[i] != component[j]) & ((block[i] != block[j]) | ~crossing[i])
             fits &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
             i, j = i[fits], j[fits]
-            near = (values[i] != values[j]).sum(axis=1) <= distance
-            found.append(np.stack([node[i[near]], node[j[near]]]))
+            differs = values[i] != values[j]
+            near = differs.sum(axis=1) <= distance
+            i, j, differs = i[near], j[near], differs[near]
+            shared = np.stack([~differs[:, slots].any(axis=1) for slots in left], axis=1)
+            fresh = shared.argmax(axis=1) == variant[i]
+            found.append(np.stack([node[i[fresh]], node[j[fresh]]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -178,41 +194,56 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node``, ``n`` and packed ``shingles`` of the nodes in ``wanted`` (``node``, ``least`` document)."""
+    """``node``, packed ``shingles`` and longer signature ``fine`` of the nodes in ``wanted`` (``node``, ``least`` document)."""
     texts = text_only(docs).join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(raw_texts(part), size)
-            kept = [(node, len(s), s.tobytes()) for node, s in zip(part.column("wanted").to_pylist(), sets) if len(s) and _node(s) == node]
-            columns = [list(c) for c in zip(*kept)] or [[], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "shingles"])
+            kept = [(node, s) for node, s in zip(part.column("wanted").to_pylist(), sets) if len(s) and _node(s) == node]
+            fine = _signatures([s for _, s in kept], range(SLOTS, SLOTS + FINE_SLOTS)).astype(np.uint8)
+            columns = [[node for node, _ in kept], [s.tobytes() for _, s in kept], [row.tobytes() for row in fine]]
+            kinds = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "shingles", "fine"])
+
+    return texts.select("wanted", "text").mapInArrow(run, "node long, shingles binary, fine binary")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    one = sets.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
+    other = sets.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b")
 
-    return texts.select("wanted", "text").mapInArrow(run, "node long, n long, shingles binary")
+
+def _near_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose longer signatures are within the distance that belongs to the threshold."""
+    distance = allowed_distance(similarity, FINE_SLOTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_a, of_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE_SLOTS) for c in ("of_a", "of_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((of_a != of_b).sum(axis=1) <= distance))
+
+    return _beside(pairs, sets, "fine").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets share at least ``percent`` of their union."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b"))
-    beside = pairs.join(one, "a").join(other, "b").select("a", "b", "shingles_a", "shingles_b")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
                 first, second = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 both = np.sort(np.concatenate([first, second]))
                 shared = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return beside.mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets, "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -234,12 +265,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = written(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), *alike), "nodes")
 
     keys = written(bucket_keys(nodes, distance), "bucket-keys")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     crowded = written(keys.join(buckets, "key"), "crowded-buckets")
 
-    # First round: every node and the leader that it meets most often.
-    met = crowded.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max(F.struct("times", "leader")).alias("best")).select("node", "best.leader")
+    # First round: every node and the most central node that it meets, by the sizes of their buckets.
+    central = written(crowded.groupBy("node").agg(F.sum("members").alias("weight")), "central")
+    leaders = crowded.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("leader"))
+    met = crowded.join(leaders, "key").where("node != leader.node").groupBy("node", "leader").agg(F.count("*").alias("times"))
+    best = met.groupBy("node").agg(F.max(F.struct("times", "leader.weight", F.col("leader.node").alias("leader"))).alias("best"))
+    best = best.select("node", "best.leader")
     first = written(best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "first-pairs")
     candidates = crowded.select("node").distinct().join(nodes.select("node", "least"), "node")
     sets = written(_sets(docs, candidates, size).dropDuplicates(["node"]), "shingle-sets")
@@ -247,18 +281,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # Second round: pairs across the components that buckets still hold.
     joined = components(links)
-    members = crowded.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = crowded.select("key", "variant", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
     mixed = mixed.where("low != high").select("key", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
     members = members.join(mixed, "key").join(nodes.drop("least"), "node")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("against", F.explode(F.expr("sequence(0L, blocks - 1)")))
     members = members.select(
         F.col("key").alias("bucket"), F.least("block", "against").alias("one"), F.greatest("block", "against").alias("other"),
-        "block", "component", "node", "n", *packed,
+        "block", "component", "node", "variant", "n", *packed,
     )
     members = members.repartition("bucket", "one", "other").sortWithinPartitions("bucket", "one", "other")
-    second = written(_across(members, distance, similarity), "second-pairs")
-    links = written(links.union(_confirmed(second.join(first, ["a", "b"], "left_anti"), sets, percent)), "links")
+    second = _across(members, distance, similarity).join(first, ["a", "b"], "left_anti")
+    second = written(_near_enough(second, sets, similarity), "second-pairs")
+    links = written(links.union(_confirmed(second, sets, percent)), "links")
 
     joined = components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
