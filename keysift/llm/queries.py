@@ -42,13 +42,13 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+    return near_dup.near_duplicates(documents(spark, sf_dir), size=3, percent=85).drop("n_links")
 
 
 def op8_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination.matches(documents(spark, sf_dir), items)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
 def op9_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,39 @@ QUERIES = {
         op9_token_cache, op10_repeated_passages,
     )
 }
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES = {
+    "op7_near_duplicates": rf"""WITH RECURSIVE
+D AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+S AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS shingle FROM D, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) t(i)),
+N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY doc_id),
+P AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM S a JOIN S b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+L AS (SELECT u, v FROM P JOIN N a ON a.doc_id = u JOIN N b ON b.doc_id = v WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+E AS (SELECT u, v FROM L UNION ALL SELECT v, u FROM L),
+C(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, v FROM C JOIN E ON u = b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM C JOIN D ON doc_id = a LEFT JOIN N USING (doc_id) GROUP BY doc_id, n""",
+    "op8_suffix_matches": rf"""WITH
+D AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+B AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+W AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM B, unnest(range(1, len(w) - n + 2)) t(i)),
+Z AS (SELECT DISTINCT n FROM W),
+X AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM D CROSS JOIN Z, unnest(range(1, len(w) - n + 2)) t(i)),
+H AS (SELECT doc_id, i, n, item_id FROM X JOIN W USING (n, win)),
+C AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM H) GROUP BY doc_id),
+I AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM H GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM D LEFT JOIN C USING (doc_id) LEFT JOIN I USING (doc_id)""",
+    "op10_repeated_passages": """WITH
+D AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+W AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM D, unnest(range(0, n - 199)) t(i)),
+R AS (SELECT m FROM W GROUP BY m HAVING count(*) > 1),
+P AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM W SEMI JOIN R USING (m)),
+G AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM P),
+S AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM G GROUP BY doc_id, g),
+K AS (SELECT doc_id, s, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0))) AS piece FROM S JOIN D USING (doc_id)),
+T AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS e, string_agg(piece, '' ORDER BY s) AS pieces FROM K GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE pieces || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM D LEFT JOIN T USING (doc_id)""",
+}

@@ -87,6 +87,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     import __spark_entry__ as entry
+    from keysift.session import clear_scratch
 
     spark, con = spark_session(), connect(args.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
@@ -109,6 +110,7 @@ def main() -> int:
             if args.names:
                 traceback.print_exc(limit=4)
         bad += not ok
+        clear_scratch(spark)
     print(f"{len(names) - bad}/{len(names)} ok")
     return 1 if bad else 0
 
