@@ -9,6 +9,8 @@ resolved once the watermark has passed it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -90,8 +92,8 @@ def ingest(spark: SparkSession, source: str, work: str, delay_micros: int) -> Lo
 HIT_SCHEMA = "line_no long, t long, cf string, key string, `table` string"
 
 
-def resolve_between(events: DataFrame, low: int, high: int) -> DataFrame:
-    """Resolve the reads of a time range against the log so far.
+def resolve_between(events: DataFrame, low: int, high: int) -> tuple[storage_log.Registry, DataFrame]:
+    """The registry of the log so far, and the resolved reads of a time range.
 
     Table lifetimes need no keys; of the keys only those asked for in the range are looked at.
     """
@@ -100,27 +102,35 @@ def resolve_between(events: DataFrame, low: int, high: int) -> DataFrame:
     registry = storage_log.resolve(past)
     wanted = broadcast_if_small(reads.select("cf", "key").distinct())
     registry.events = past.join(wanted, ["cf", "key"], "left_semi").unionByName(past.where("kind = 'compaction'"))
-    return storage_log.read_hits(registry, reads).select("line_no", "t", "cf", "key", "table")
+    return registry, storage_log.read_hits(registry, reads)
 
 
-def stream_reads(spark: SparkSession, source: str, work: str, delay_micros: int) -> DataFrame:
-    """Resolved reads of a whole log, each settled in the batch whose watermark passed it."""
+def _settled_reads(
+    spark: SparkSession, source: str, work: str, delay_micros: int, name: str, schema: str,
+    answer: Callable[[storage_log.Registry, DataFrame], DataFrame],
+) -> DataFrame:
+    """What ``answer`` makes of the reads of a whole log, each settled in the batch whose watermark passed it."""
     state = LogIngest(spark, work, delay_micros)
-    _write(spark.createDataFrame([], HIT_SCHEMA), work, "hits", -1)
+    _write(spark.createDataFrame([], schema), work, name, -1)
     last = [-1]
 
     def process(batch: DataFrame, number: int) -> None:
         low = state.watermark(number)
         state.take(batch, number)
-        high = state.watermark(number + 1)
-        _write(resolve_between(state.accepted(number), low, high), work, "hits", number)
+        _write(answer(*resolve_between(state.accepted(number), low, state.watermark(number + 1))), work, name, number)
         last[0] = number
 
     _run(event_stream(spark, source), work, process)
     # The log has ended: settle what the watermark had not passed yet.
     end = last[0] + 1
-    _write(resolve_between(state.accepted(last[0]), state.watermark(end), 1 << 62), work, "hits", end)
-    return _state(spark, work, "hits", HIT_SCHEMA).drop("batch")
+    _write(answer(*resolve_between(state.accepted(last[0]), state.watermark(end), 1 << 62)), work, name, end)
+    return _state(spark, work, name, schema).drop("batch")
+
+
+def stream_reads(spark: SparkSession, source: str, work: str, delay_micros: int) -> DataFrame:
+    """Resolved reads of a whole log."""
+    columns = ["line_no", "t", "cf", "key", "table"]
+    return _settled_reads(spark, source, work, delay_micros, "hits", HIT_SCHEMA, lambda registry, hits: hits.select(*columns))
 
 
 def stream_filters(spark: SparkSession, source: str, work: str, error_rate: float, capacity: int) -> FilterSet:
@@ -145,18 +155,13 @@ def stream_filters(spark: SparkSession, source: str, work: str, error_rate: floa
     return FilterSet(by, error_rate, sized(tables), words)
 
 
-def stream_counters(spark: SparkSession, source: str, work: str) -> DataFrame:
-    """Events per family and kind, kept by a streaming aggregation."""
-    schema = "cf string, kind string, events long"
-    counted = event_stream(spark, source).groupBy("cf", "kind").agg(F.count("*").alias("events"))
-    query = (
-        counted.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, number: _write(batch, work, "counters", number))
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+COUNTER_SCHEMA = "cf string, reads long, cf_known long, found long, not_found long, cf_unknown long"
+
+
+def stream_counters(spark: SparkSession, source: str, work: str, delay_micros: int) -> DataFrame:
+    """Read counters per family: every batch adds those of the reads that it settles."""
+    parts = _settled_reads(
+        spark, source, work, delay_micros, "counters", COUNTER_SCHEMA, lambda registry, hits: storage_log.read_counters(registry, hits, ["cf"])
     )
-    query.awaitTermination()
-    every = _state(spark, work, "counters", schema)
-    newest = every.agg(F.max("batch")).scalar()
-    return every.where(F.col("batch") == newest).drop("batch")
+    sums = [F.sum(c).alias(c) for c in ("reads", "cf_known", "found", "not_found", "cf_unknown")]
+    return parts.groupBy("cf").agg(*sums)
