@@ -10,7 +10,7 @@ Documents of equal sets are one node.  Buckets of a key may be hot, so pairs are
 node is first compared with the most central node of its buckets (the one that shares its keys with most
 others), which joins tight groups; then only buckets that still hold several components are searched, blocks
 against blocks, for pairs across components within the signature distance.  A pair is taken from the
-first key that it shares, and tested on a longer signature.  All candidates are confirmed on full sets.
+first key that it shares, and tested on a longer signature, in crowded buckets on the spot.  All candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from keysift.llm.tables import raw_texts, slices, text_only, written
 from keysift.llm.words import Numbering, lower_words
 
 SLOTS = 64
-# Slots of the longer signature, of 8 bits.
-FINE_SLOTS = 256
+# Slots of the longer signature, of 8 bits, and members from which a bucket's pairs are tested on it at once.
+FINE_SLOTS = 1024
+CROWD = 50
 # Slots in which two signatures may differ within one chunk.
 ERRORS = 1
 # Nodes of one block of a bucket.
@@ -149,7 +150,7 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
     ``members`` are sorted runs of (``bucket``, ``one``, ``other``): the blocks of a bucket that meet.  A pair
     that shares several keys comes from the first of them only.
     """
-    left = _variants(distance)
+    left, fine_distance = _variants(distance), allowed_distance(similarity, FINE_SLOTS)
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
@@ -158,6 +159,10 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
         run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).any(axis=1)]))
         component, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "n", "block", "node", "variant"))
         crossing = batch.column("one").to_numpy() != batch.column("other").to_numpy()
+        has_fine = batch.column("fine").is_valid().to_numpy(zero_copy_only=False)
+        fine = np.zeros((len(run), FINE_SLOTS if has_fine.any() else 0), np.uint8)
+        if has_fine.any():
+            fine[has_fine] = np.frombuffer(b"".join(batch.column("fine").drop_null().to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
         found = []
         for step in range(1, len(run)):
             i = np.flatnonzero(run[step:] == run[:-step])
@@ -172,7 +177,11 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
             i, j, differs = i[near], j[near], differs[near]
             shared = np.stack([~differs[:, slots].any(axis=1) for slots in left], axis=1)
             fresh = shared.argmax(axis=1) == variant[i]
-            found.append(np.stack([node[i[fresh]], node[j[fresh]]]))
+            i, j = i[fresh], j[fresh]
+            # Members of one bucket all have the longer signature or all have none.
+            near = ~has_fine[i]
+            near[~near] = (fine[i[~near]] != fine[j[~near]]).sum(axis=1) <= fine_distance
+            found.append(np.stack([node[i[near]], node[j[near]]]))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -283,12 +292,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     joined = components(links)
     members = crowded.select("key", "variant", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.where("low != high").select("key", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    members = members.join(mixed, "key").join(nodes.drop("least"), "node")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")
+    mixed = mixed.where("low != high").select("key", blocks, (F.col("members") > CROWD).alias("crowd"))
+    members = members.join(mixed, "key").join(nodes.drop("least"), "node").join(sets.select("node", "fine"), "node")
+    members = members.withColumn("fine", F.when(F.col("crowd"), F.col("fine")))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("against", F.explode(F.expr("sequence(0L, blocks - 1)")))
     members = members.select(
         F.col("key").alias("bucket"), F.least("block", "against").alias("one"), F.greatest("block", "against").alias("other"),
-        "block", "component", "node", "variant", "n", *packed,
+        "block", "component", "node", "variant", "n", "fine", *packed,
     )
     members = members.repartition("bucket", "one", "other").sortWithinPartitions("bucket", "one", "other")
     second = _across(members, distance, similarity).join(first, ["a", "b"], "left_anti")

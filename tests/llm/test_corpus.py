@@ -345,3 +345,9 @@ def test_pipeline_is_registered():
 
     assert {"pipeline", *queries.QUERIES} <= set(__spark_entry__.queries())
     assert [n for n in range(1, 11) if not any(name.startswith(f"op{n}_") for name in queries.QUERIES)] == []
+
+
+def test_crowded_buckets_use_the_longer_signature(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CROWD", 2)
+    docs = [(i, edited(prose(150, 7), 1 + i % 14, 300 + i)) for i in range(70)]
+    assert classes(near_dup.near_duplicates(table(spark, docs), 3, 85)) == plain_classes(docs, 3, 85)
