@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     central = written(crowded.groupBy("node").agg(F.sum("members").alias("weight")), "central")
     leaders = crowded.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("leader"))
     met = crowded.join(leaders, "key").where("node != leader.node").groupBy("node", "leader").agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max(F.struct("times", "leader.weight", F.col("leader.node").alias("leader"))).alias("best"))
+    # Both count: a hub that is met often gathers its whole group, one that is met by chance does not.
+    pull = (F.col("times") * F.col("leader.weight")).alias("pull")
+    best = met.groupBy("node").agg(F.max(F.struct(pull, F.col("leader.node").alias("leader"))).alias("best"))
     best = best.select("node", "best.leader")
     first = written(best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "first-pairs")
     candidates = crowded.select("node").distinct().join(nodes.select("node", "least"), "node")
