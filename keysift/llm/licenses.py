@@ -1,17 +1,16 @@
-"""License scans with a positional index of rare license words.
+"""License scans by the rarest words of phrases and the places of templates' words.
 
 The words of all templates and phrases form a small vocabulary.  One pass counts in how many documents
-each of them stands; a second looks up each file's license words of highest inverse document
-frequency in the templates' positional postings.  Postings whose relative position (place in the
-file less place in the template) agrees name a candidate; it counts if enough of the template's words
-stand at their places and one of its mandatory key phrases stands near them.  Phrases are found in
-the same index by their own rarest word, at every place.
+each of them stands; a second finds every phrase of each file by the phrase's own word of highest
+inverse document frequency, at every place.  A mandatory key phrase names as candidates all relative
+positions (place in the file less place in the template) at which its template may stand around it; one
+counts if enough of the template's words stand at their places.  So a template is found whatever else
+the file holds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +49,7 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under cc0 1 0", ["cc0 1 0"]),
 ]
 
-# Rare words of a file that are looked up, and the part of a template's words that must stand at their places.
-RARE_WORDS = 12
+# The part of a template's words that must stand at their places.
 LEAST_PART = 0.7
 # Words by which a key phrase may stand outside its template's place.
 SLACK = 3
@@ -63,17 +61,13 @@ SCHEMA = (
 
 
 class Index:
-    """Postings of templates by word, and phrases as word sequences."""
+    """Templates and phrases as word sequences, and numbers of their words."""
 
     def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str, list[str]]]):
         self.phrases = [(self.cut(p), label) for p, label in phrases.items()]
         self.templates = [(label, self.cut(text), [self.cut(k) for k in keys]) for label, text, keys in templates]
         sequences = [p for p, _ in self.phrases] + [s for _, words, keys in self.templates for s in (words, *keys)]
         self.numbers = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for place, word in enumerate(words):
-                self.postings.setdefault(self.numbers[word], []).append((t, place))
         self.size = len(self.numbers) + 1
 
     @staticmethod
@@ -130,35 +124,27 @@ class Scanner:
             starts = starts[numbers[starts + shift] == word]
         return starts
 
+    def _standing(self, numbers: np.ndarray, wanted: np.ndarray, keys: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts around a key phrase at which enough of a template's words stand, and their part."""
+        size = len(wanted)
+        around = [np.add.outer(self._places(numbers, key) - SLACK, np.arange(len(key[0]) - size, 2 * SLACK + 1)).ravel() for key in keys]
+        starts = np.unique(np.concatenate([np.zeros(0, np.int64), *around]))
+        if not len(starts):
+            return starts, np.zeros(0)
+        padded = np.pad(numbers, size + SLACK)
+        hits = sum((padded[starts + size + SLACK + place] == word).astype(np.int64) for place, word in enumerate(wanted.tolist()))
+        enough = hits / size >= LEAST_PART
+        return starts[enough], hits[enough] / size
+
     def scan(self, words: list[bytes]) -> tuple:
         numbers = self.index.number(words)
         if not self.anchor[numbers].any():
             return len(words), 0, None, None, "", "", 0.0, []
         base = [(start, label, len(p[0])) for p, label in self.phrases for start in self._places(numbers, p).tolist()]
         found = [(label, start, 1.0) for start, label, _ in base]
-        rare = np.unique(numbers[numbers > 0])
-        rare = rare[np.argsort(-self.idf[rare], kind="stable")][:RARE_WORDS]
-        votes: Counter[tuple[int, int]] = Counter()
-        for word in rare.tolist():
-            places = np.flatnonzero(numbers == word)
-            for t, place in self.index.postings.get(word, ()):
-                votes.update((t, start) for start in (places - place).tolist())
-        keys_at: dict[tuple[int, int], np.ndarray] = {}
-        for (t, start), count in votes.items():
-            label, wanted, keys = self.templates[t]
-            if count < 2:
-                continue
-            low, high = max(start, 0), min(start + len(wanted), len(numbers))
-            part = float((numbers[low:high] == wanted[low - start : high - start]).sum()) / len(wanted)
-            if part < LEAST_PART:
-                continue
-            for k, key in enumerate(keys):
-                if (t, k) not in keys_at:
-                    keys_at[t, k] = self._places(numbers, key)
-                at = keys_at[t, k]
-                if ((at >= start - SLACK) & (at + len(key[0]) <= start + len(wanted) + SLACK)).any():
-                    found.append((label, start, part))
-                    break
+        for label, wanted, keys in self.templates:
+            starts, parts = self._standing(numbers, wanted, keys)
+            found += [(label, start, part) for start, part in zip(starts.tolist(), parts.tolist())]
         starts = [start for start, _, _ in base]
         base_labels = ",".join(sorted({label for _, label, _ in base}))
         labels = ",".join(sorted({label for label, _, _ in found}))
@@ -175,8 +161,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     distinct, sorted, joined by commas), ``score`` (best part of a template's words at their places;
     1 for a phrase, 0 for nothing) and ``found``.
 
-    Null and empty texts have no words and no labels.  Words of equal frequency rank in the order of the
-    templates.  Repeated rows give repeated results and count as documents; other columns are not read.
+    Null and empty texts have no words and no labels.  Repeated rows give repeated results and count as documents; other columns are not read.
     """
     index = Index(phrases, templates)
     texts = text_only(docs)

@@ -64,6 +64,26 @@ def test_license_templates_need_words_in_place_and_a_key_phrase(spark):
     assert got[0].found[0].start == 30
 
 
+def test_all_templates_in_one_text_are_found(spark):
+    """A text that holds every template, with common license words between them, has the places and labels of each."""
+    notice = prose(3).join(f" {text} " for _, text, _ in licenses.TEMPLATES)
+    texts = [notice, " ".join(text for _, text, _ in reversed(licenses.TEMPLATES)), notice + " the software is of the license to " * 500 + notice, "by sa 4 0 cc by sa 4 0"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words, wanted = alnum(text), set()
+        for label, template, keys in licenses.TEMPLATES:
+            own = template.split()
+            for start in range(-len(own), len(words)):
+                part = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(own)) / len(own)
+                near = words[max(start - licenses.SLACK, 0) : max(start + len(own) + licenses.SLACK, 0)]
+                if part >= licenses.LEAST_PART and any(f" {key} " in f" {' '.join(near)} " for key in keys):
+                    wanted.add((label, start, part))
+        wanted |= {(label, k, 1.0) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()}
+        assert [(f.label, f.start, f.part) for f in got[i].found] == sorted(wanted)
+    every = ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
+    assert [got[i].labels for i in range(3)] == [every] * 3 and got[0].score == 1.0
+
+
 # Quality rules
 
 def plain_counts(text):
