@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import public_tokenizers
@@ -141,6 +142,43 @@ def test_fertility_bands_reject_by_script(spark):
     assert not any(r.kept for r in fertility.quality(spark.createDataFrame([(0, prose(200))], "doc_id long, text string"), PIECES, strict).collect())
 
 
+# Clean prose of languages that the vocabulary serves worst.
+CLEAN = {
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით. ბავშვები ყოველ დილით სკოლაში მიდიან, სწავლობენ კითხვას და წერას, შემდეგ კი სახლში ბრუნდებიან.",
+    "hy": "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ և իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։ Երեխաները ամեն առավոտ դպրոց են գնում, սովորում են կարդալ և գրել, հետո վերադառնում են տուն։",
+    "km": "មនុស្ស ទាំងអស់ កើត មក មាន សេរីភាព និង សមភាព ក្នុង សេចក្ដី ថ្លៃថ្នូរ និង សិទ្ធិ ។ មនុស្ស មាន វិចារណញ្ញាណ និង សតិសម្បជញ្ញៈ ហើយ គប្បី ប្រព្រឹត្ត ចំពោះ គ្នា ទៅ វិញ ទៅ មក ដោយ ស្មារតី ភាតរភាព ។ កុមារ ទៅ សាលា រៀន រាល់ ព្រឹក ។",
+    "my": "လူတိုင်းသည် တူညီ လွတ်လပ်သော ဂုဏ်သိက္ခာဖြင့် လည်းကောင်း၊ တူညီလွတ်လပ်သော အခွင့်အရေးများဖြင့် လည်းကောင်း၊ မွေးဖွားလာသူများ ဖြစ်သည်။ ထိုသူတို့၌ ပိုင်းခြား ဝေဖန်တတ်သော ဉာဏ်နှင့် ကျင့်ဝတ် သိတတ်သော စိတ်တို့ရှိကြ၍ ထိုသူတို့သည် အချင်းချင်း မေတ္တာထား၍ ဆက်ဆံကျင့်သုံးသင့်၏။",
+    "am": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል። ልጆች በየቀኑ ጠዋት ወደ ትምህርት ቤት ይሄዳሉ ማንበብና መጻፍ ይማራሉ ከዚያም ወደ ቤት ይመለሳሉ።",
+    "lo": "ມະນຸດ ເກີດມາ ມີສິດ ເສລີພາບ ແລະ ສະເໝີໜ້າກັນ ໃນທາງ ກຽດຕິສັກ ແລະ ທາງສິດ ດ້ວຍ ມະນຸດ ມີສະຕິ ສຳປັດຊັນຍະ ແລະ ມີມະໂນທຳ ຈຶ່ງຕ້ອງ ປະພຶດຕົນ ຕໍ່ກັນ ໃນທາງ ພີ່ນ້ອງ ເດັກນ້ອຍ ໄປໂຮງຮຽນ ທຸກໆເຊົ້າ",
+    "yo": "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá. Ẹnì kọ̀ọ̀kan ló ní ànfàní sí gbogbo ẹ̀tọ́ àti òmìnira tí a ti gbé kalẹ̀ nínú ìkéde yìí láìfi ti ọ̀rọ̀ ìyàtọ̀ ẹ̀yà kankan ṣe. Àwọn ọmọ ilé-ìwé máa ń kọ́ bí a ṣe ń ka ìwé ní òwúrọ̀, wọ́n sì máa ń ṣeré ní ìrọ̀lẹ́.",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. Mỗi buổi sáng bà tôi thường dậy sớm, pha một ấm trà nóng rồi ngồi trước hiên nhà nghe tiếng chim hót. Những đứa trẻ trong xóm chạy qua con đường nhỏ để đến trường trước khi trời mưa.",
+}
+
+
+def test_clean_documents_of_every_script_are_kept(spark):
+    """Letters of unlisted scripts outvote an address in ASCII; Latin with many marks, composed or not, is not junk."""
+    few, latin = ["ka", "hy", "km", "my", "am", "lo"], ["yo", "vi"]
+    cases = [(k, "other", f"{CLEAN[k]} {mixed(CLEAN[k])} https://example.org/x") for k in few]
+    cases += [(k, "latin", unicodedata.normalize(form, f"{CLEAN[k]} {mixed(CLEAN[k])}")) for k in latin for form in ("NFC", "NFD")]
+    cases += [("signs", "latin", prose(60) + " → … № ½ ∑ " * 5 + "\u0301" * 500), ("none", "other", "١٢ 34 × ÷ →"), ("ascii", "latin", f"{prose(100)} {CLEAN['ka'][:40]}")]
+    docs = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fertility.quality(docs, PIECES).collect()}
+    for i, (name, script, _) in enumerate(cases):
+        assert got[i].script == script, name
+        least, most, byte_share, part = fertility.BANDS[script]
+        if name in CLEAN:
+            assert least <= got[i].chars_per_token <= most and got[i].byte_share <= byte_share and got[i].entropy_part >= part, name
+            assert got[i].kept or got[i].base_failed, name
+    assert {cases[i][0] for i in got if got[i].kept} >= set(CLEAN)
+
+
+def mixed(text):
+    """The text's words in another order, so that a document is long enough."""
+    words = text.split() * 2
+    random.Random(4).shuffle(words)
+    return " ".join(words)
+
+
 def test_filtered_returns_all_columns(spark):
     docs = odd_documents(spark)
     kept = fertility.filtered(docs, PIECES)
