@@ -1,7 +1,7 @@
 """Personal data by fixed rules and by bootstrapped contextual extraction, in DataFrame functions only.
 
-One scan matches the rules and cuts out candidate tokens (those with a digit) with the words before
-them; everything after it works on those few rows.  Seed entities, rule matches and machine-made
+One scan matches the rules and cuts out candidate tokens (those with a digit), all with the words before
+them; everything after it works on those few rows.  Seed entities, whole rule matches and machine-made
 identifiers, stand in lexical contexts; contexts and the values met in them form a graph on which
 confidence is passed to and fro.  Contexts that rank high give away identifiers of forms not seen before.
 
@@ -34,6 +34,10 @@ TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 BEFORE = r"((?:\S+\s+){1,2})$"
 LABELLED = r"^([A-Za-z_.-]+[=:])"
 OPENING = r"^((?:[A-Za-z_.-]+[=:])?[\"'(\[<]*)"
+# The same before a rule's match, which need not start a token: what opens it, its label, and the words without a digit before it.
+OPENED = r"[\"'(\[<]+$"
+MATCH_LABEL = r"(?<!\S)([A-Za-z_.-]+[=:])$"
+MATCH_BEFORE = r"((?:(?<!\S)[^\s0-9]+\s+){1,2})$"
 CLOSING = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 # Machine-made identifiers that are seeds beside the rules' matches: hexadecimal strings and capitals with digits.
@@ -49,8 +53,8 @@ DOUBT = 1.0
 
 
 def _found(pattern: str, trigger: str) -> Column:
-    """Matches in the column ``text`` and the lengths of the texts between them; null where the trigger is absent."""
-    gaps = F.transform(F.split("text", pattern, -1), F.length)
+    """Matches in the column ``text`` and the lengths and ends of the texts between them; null where the trigger is absent."""
+    gaps = F.transform(F.split("text", pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(64)).alias("tail")))
     both = F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), gaps.alias("gaps"))
     return F.when(F.col("text").rlike(trigger), both)
 
@@ -89,44 +93,51 @@ def _scanned(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), *keep, *columns, _candidates().alias("token"))
 
 
-def _placed(scanned: DataFrame, column: str, gap: str, *extra: str) -> DataFrame:
+def _placed(scanned: DataFrame, column: str, *extra: Column) -> DataFrame:
     """``row``, ``start``, ``end`` and ``hit`` of the matches in one column."""
     hits = scanned.where(F.size(F.col(f"{column}.hits")) > 0).select("row", F.posexplode(F.arrays_zip(f"{column}.hits", f"{column}.gaps")).alias("i", "m"))
-    hits = hits.where("m.hits is not null").select("row", "i", F.col("m.hits").alias("hit"), F.col(f"m.gaps{gap}").alias("gap"), *extra)
+    hits = hits.where("m.hits is not null").select("row", "i", F.col("m.hits").alias("hit"), F.col("m.gaps.n").alias("gap"), *extra)
     upto = Window.partitionBy("row").orderBy("i")
     end = F.sum(F.col("gap") + F.length("hit")).over(upto).cast("long")
     return hits.withColumn("end", end).withColumn("start", F.col("end") - F.length("hit"))
 
 
+def _words(before: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(before), r"\s+", " ")), "[0-9]+", "0")
+
+
 def _rule_spans(scanned: DataFrame) -> DataFrame:
-    """Spans of the fixed rules: ``row``, ``kind``, ``start``, ``end``."""
+    """Spans of the fixed rules: ``row``, ``kind``, ``start``, ``end``, ``context`` and ``instance`` of the whole match."""
     spans = None
     for kind in KINDS[:-1]:
-        own = _placed(scanned, kind, "").select("row", F.lit(kind).alias("kind"), "start", "end", "hit")
+        own = _placed(scanned, kind, F.col("m.gaps.tail").alias("tail")).select("row", F.lit(kind).alias("kind"), "start", "end", "hit", "tail")
         spans = own if spans is None else spans.union(own)
-    return spans.where(_holds(F.col("kind"), F.col("hit"))).drop("hit")
+    spans = spans.where(_holds(F.col("kind"), F.col("hit"))).withColumn("tail", F.regexp_replace("tail", OPENED, ""))
+    label = F.regexp_extract("tail", MATCH_LABEL, 1)
+    context = F.when(label != "", F.lower(label)).otherwise(_words(F.regexp_extract("tail", MATCH_BEFORE, 1)))
+    return spans.select("row", "kind", "start", "end", context.alias("context"), F.md5("hit").alias("instance"))
 
 
 def _tokens(scanned: DataFrame, rules: DataFrame) -> DataFrame:
-    """Candidate values with their place, ``context`` and whether they are seeds or meet a rule's span."""
-    tokens = _placed(scanned, "token", ".n", F.col("m.gaps.before").alias("before"))
+    """Values with their place and ``context``: one for each rule's span, and the candidates that meet none; and whether they are seeds."""
+    tokens = _placed(scanned, "token", F.col("m.gaps.before").alias("before"))
     opening = F.regexp_extract("hit", OPENING, 1)
     rest = F.substr("hit", F.length("opening") + 1, F.length("hit"))
     label = F.regexp_extract("hit", LABELLED, 1)
     tokens = tokens.withColumn("opening", opening).withColumn("value", F.regexp_replace(rest, CLOSING, ""))
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.lower("before"), r"\s+", " ")), "[0-9]+", "0")
-    tokens = tokens.withColumn("context", F.when(label != "", F.lower(label)).otherwise(words))
+    tokens = tokens.withColumn("context", F.when(label != "", F.lower(label)).otherwise(_words(F.col("before"))))
     start = F.col("start") + F.length("opening")
-    tokens = tokens.select("row", start.alias("start"), (start + F.length("value")).alias("end"), "value", "context")
+    instance, size, seed = F.md5("value").alias("instance"), F.length("value").alias("size"), F.col("value").rlike(SEEDS).alias("seed")
+    tokens = tokens.select("row", start.alias("start"), (start + F.length("value")).alias("end"), "context", instance, size, seed)
 
     # A span meets one before it if the farthest end so far is beyond its start, and one after it if that starts before its end.
-    both = tokens.withColumn("rule", F.lit(False)).unionByName(rules.select("row", "start", "end").withColumn("rule", F.lit(True)), allowMissingColumns=True)
+    seeds = rules.select("row", "start", "end", "context", "instance", (F.col("end") - F.col("start")).cast("int").alias("size"), F.lit(True).alias("seed"))
+    both = tokens.withColumn("rule", F.lit(False)).unionByName(seeds.withColumn("rule", F.lit(True)))
     order = Window.partitionBy("row").orderBy("start")
     farthest = F.max(F.when(F.col("rule"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nearest = F.min(F.when(F.col("rule"), F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     both = both.withColumn("meets", F.coalesce(farthest > F.col("start"), F.lit(False)) | F.coalesce(nearest < F.col("end"), F.lit(False)))
-    seed = F.col("value").rlike(SEEDS)
-    return both.where("not rule and value != ''").select("row", "start", "end", "context", F.md5("value").alias("instance"), F.length("value").alias("size"), "meets", seed.alias("seed"))
+    return both.where("rule or (not meets and size > 0)").drop("meets")
 
 
 def score_contexts(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -135,7 +146,7 @@ def score_contexts(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A context is as sure as its values are on average, a value as sure as one of its contexts being right;
     seeds are certain.  Edges count once however often a pair occurs.
     """
-    seed = F.max((F.col("seed") | F.col("meets")).cast("double"))
+    seed = F.max(F.col("seed").cast("double"))
     edges = written(tokens.where("context != ''").groupBy("context", "instance").agg(seed.alias("seed")), "context-edges")
     values = edges.select("context", "instance", "seed", F.col("seed").alias("sure"))
     scores = None
@@ -153,14 +164,14 @@ def _method_spans(tokens: DataFrame) -> DataFrame:
     """Spans of seeds that no rule met, and of values in contexts of high confidence."""
     scores = score_contexts(tokens)
     strong = scores.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("context", F.lit(True).alias("strong"))
-    found = tokens.where("not meets").join(strong, "context", "left")
+    found = tokens.where("not rule").join(strong, "context", "left")
     return found.where(F.col("seed") | (F.col("strong") & (F.col("size") >= SHORTEST))).select("row", F.lit("id").alias("kind"), "start", "end")
 
 
 def _all_spans(scanned: DataFrame) -> DataFrame:
     rules = written(_rule_spans(scanned), "rule-spans")
     tokens = written(_tokens(scanned, rules), "tokens")
-    return rules.union(_method_spans(tokens))
+    return rules.select("row", "kind", "start", "end").union(_method_spans(tokens))
 
 
 def _of_kind(kind: str) -> Column:

@@ -322,6 +322,24 @@ def test_contexts_of_seeds_give_away_unseen_forms(spark):
     assert all(got[i].n_id == 1 and got[i].n_ip == 1 for i in range(40))
 
 
+def test_whole_rule_matches_are_seeds(spark):
+    """Emails without a digit, and phones and cards written with spaces, make their contexts strong; each is one seed."""
+    names = [f"{a}{b}.{c}" for a in ("jan", "ol", "per") for b in ("e", "af", "o") for c in ("doe", "roe")]
+    docs = [(i, f"please write to {name}@example.org now") for i, name in enumerate(names)]
+    docs += [(100 + i, f"or call me +44 20 7946 0{i}58 soon") for i in range(100, 120)]
+    docs += [(300 + i, f'mail="{name}@example.org" sent') for i, name in enumerate(names)]
+    docs += [(400 + i, f"paid by 4111 1111 1111 {n} today") for i, n in enumerate(n for n in range(1000, 1200) if luhn(f"411111111111{n}"))]
+    docs += [(500 + i, f"the same one +44 20 7946 0958 again {i}") for i in range(20)]
+    docs += [(900, "write to QX-77b1-Z now"), (901, "call me QX-77b1-Z"), (902, 'mail="QX-77b1-Z"'), (903, "paid by QX-77b1-Z"), (904, "same one QX-77b1-Z"), (905, "page no QX-77b1-Y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert [got[i].spans for i in range(900, 906)] == ["id:9:18", "id:8:17", "id:6:15", "id:8:17", "", ""]
+    scanned = pii._scanned(frame, "doc_id")
+    scores = {r.context: r for r in pii.score_contexts(pii._tokens(scanned, pii._rule_spans(scanned))).collect()}
+    assert [scores[c].support for c in ("write to", "call me", "mail=", "paid by", "same one")] == [18, 20, 18, 20, 1]
+    assert "" not in scores and not any("7946" in c or "+" in c for c in scores)
+
+
 def test_redaction_replaces_spans_only(spark):
     docs = odd_documents(spark)
     clean = pii.redacted(docs)
