@@ -33,8 +33,10 @@ from keysift.session import scratch_path
 BLOCK_BYTES = 10 * 1024 * 1024
 # Occurrences by which a context's own counts outweigh the unigrams.
 PRIOR = 20.0
-# Logarithms are kept in steps of a fortieth; code 0 is a pair not met.
+# Logarithms are kept in steps of a fortieth; code 0 is a pair not met.  A context so frequent that a pair met once
+# is more than LEVELS of these below it has wider steps, of which that pair is just LEVELS away.
 STEP = 0.025
+LEVELS = 254
 # Occurrences from which a context's pairs are dealt out one by one.
 HOT = 50_000
 END = b""
@@ -181,9 +183,19 @@ def _heads(pairs: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.diff(pairs // np.uint64(span)) != 0]))
 
 
+def _steps(context: np.ndarray, prior: float) -> np.ndarray:
+    return np.maximum(STEP, np.log10(context + prior) / LEVELS)
+
+
 def _codes(count: np.ndarray, context: np.ndarray, prior: float) -> np.ndarray:
+    """Codes of pairs met ``count`` times, by the occurrences of their contexts."""
     logs = np.log10(count / (context + prior))
-    return (255 - np.clip(np.rint(-logs / STEP), 0, 254)).astype(np.uint8)
+    return (LEVELS + 1 - np.clip(np.rint(-logs / _steps(context, prior)), 0, LEVELS)).astype(np.uint8)
+
+
+def _parts(code: np.ndarray, context: np.ndarray, prior: float) -> np.ndarray:
+    """The quantised c(h w) / (c(h) + prior) of codes; 0 for pairs not met."""
+    return np.where(code > 0, 10.0 ** (-_steps(context, prior) * (LEVELS + 1 - code.astype(np.float64))), 0.0)
 
 
 def _pair_answers(blocks: DataFrame, vocabulary: DataFrame, pair_shards: int, span: int, prior: float, folder: str) -> DataFrame:
@@ -280,7 +292,7 @@ def scores(docs: DataFrame, train: Column | None = None, prior: float = PRIOR) -
             before = np.concatenate([[0.0], count[:-1]])
             before[starts] = 0.0
             probability = prior / (before + prior) * (count + 1) / (n_tokens + n_types + 1)
-            probability[places] += np.where(code > 0, 10.0 ** (-STEP * (255 - code.astype(np.float64))), 0.0)
+            probability[places] += _parts(code, before[places], prior)
             score = np.log10(np.minimum(probability, 1.0))
             held_out = ~np.frombuffer(row["train"], bool)
             sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), base, score)]

@@ -243,6 +243,20 @@ def test_trie_file_round_trip(tmp_path):
     assert trie.lookup(asked // 500, asked % 500).tolist() == [known.get(k, 0) for k in asked.tolist()]
 
 
+@pytest.mark.parametrize("top", [100, 80_000, 6_000_000])
+def test_codes_of_a_context_add_up_to_one(top):
+    """Contexts met about 5 * 10^2, 10^6 and 10^8 times, the r-th of their pairs ``top / r`` times."""
+    counts = (top // np.arange(1, top + 1)).astype(np.uint64)
+    context = np.full(len(counts), counts.sum())
+    parts = lm._parts(lm._codes(counts, context, lm.PRIOR), context, lm.PRIOR)
+    exact = counts / (context + lm.PRIOR)
+    assert parts.sum() + lm.PRIOR / (context[0] + lm.PRIOR) == pytest.approx(1, abs=0.01)
+    step = max(lm.STEP, math.log10(context[0] + lm.PRIOR) / 254)
+    assert step < 0.033 and (np.abs(np.log10(parts / exact)) <= step / 2 + 1e-9).all()
+    if top > 10**6:
+        assert parts[-1] == pytest.approx(exact[-1])
+
+
 def plain_scores(docs, train, prior=lm.PRIOR):
     tokens = [[*lowered_words(t), b""] for _, t in docs]
     words, pairs = Counter(), Counter()
