@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm import byte_bpe, contamination, fertility, licenses, lm, near_dup, pii, repeats, token_cache, token_files
+from keysift.llm import (
+    byte_bpe, contamination, exact_dedup, fertility, filter_audit, licenses, lm, near_dup, pii, repeats, resampling, token_cache, token_files,
+)
 from keysift.llm.tables import documents
 from keysift.session import scratch_path
 
@@ -59,11 +61,23 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(documents(spark, sf_dir), keep_first=False).drop("spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scores, op2_byte_bpe, op3_licenses, op4_token_files, op5_fertility, op6_personal_data, op7_near_duplicates, op8_suffix_matches,
-        op9_token_cache, op10_repeated_passages,
+        op9_token_cache, op10_repeated_passages, op11_filter_audit, op12_importance_resampling, op13_exact_duplicates,
     )
 }
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,4 +115,26 @@ K AS (SELECT doc_id, s, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY doc_
 T AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS e, string_agg(piece, '' ORDER BY s) AS pieces FROM K GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE pieces || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM D LEFT JOIN T USING (doc_id)""",
+    "op11_filter_audit": r"""WITH
+D AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+L AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+E AS (SELECT t, min(doc_id) AS first FROM D GROUP BY t),
+M AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e
+      FROM D JOIN E USING (t) LEFT JOIN L USING (doc_id)),
+F AS (SELECT part, good, bad, unnest([{'f': 'A', 'x': a}, {'f': 'B', 'x': b}, {'f': 'C', 'x': c}, {'f': 'D', 'x': d}, {'f': 'E', 'x': e}], recursive := true),
+        (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM M),
+S AS (SELECT part, f, fails, x, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM F GROUP BY ALL),
+X AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+O AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM X p, X q, X r, X s, X t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+P AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM O, range(1, 6) r(step)),
+C AS (SELECT part, filter_order, step, f,
+        sum(CASE WHEN NOT x AND NOT met THEN n ELSE 0 END) AS kept, sum(CASE WHEN x AND NOT met THEN n ELSE 0 END) AS removed, sum(CASE WHEN x AND met THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN x AND NOT met THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN x AND NOT met THEN n_bad ELSE 0 END) AS toxic_lost
+      FROM (SELECT *, before <> '' AND regexp_matches(fails, '[' || before || '_]') AS met FROM S JOIN P USING (f)) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM C""",
+    "op13_exact_duplicates": f"""WITH D AS (SELECT doc_id, {LOWERED} AS t FROM documents),
+G AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM D GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM D JOIN G USING (t)""",
 }
