@@ -94,12 +94,17 @@ def fit_rp(keys: DataFrame, by: list[str], params: dict) -> rp.RPModel:
     return rp.fit(keys, by, rp.RPParams(**params), key_features, WIDTH)
 
 
+def rp_axes() -> dict[str, tuple]:
+    """The axes of the random-projection family's grid."""
+    return {
+        "dims": tuple(int(d) for d in np.logspace(math.log10(2), math.log10(256), 10)), "epsilons": tuple(np.logspace(-4, -1, 10).tolist()),
+        "aggs": tuple(np.linspace(0.8, 1.0, 3).tolist()), "boxes": (0.0, *np.logspace(-4, -1, 9).tolist()),
+    }
+
+
 def rp_grid() -> Iterable[dict]:
-    """The grid of the random-projection family."""
-    dims = [int(d) for d in np.logspace(math.log10(2), math.log10(256), 10)]
-    boxes = np.append(0, np.logspace(-4, -1, 9))
-    for d, e, a, b in itertools.product(dims, np.logspace(-4, -1, 10), np.linspace(0.8, 1.0, 3), boxes):
-        yield {"D": d, "epsilon": float(e), "agg_thr": float(a), "box_thr": float(b)}
+    for d, e, a, b in itertools.product(*rp_axes().values()):
+        yield {"D": d, "epsilon": e, "agg_thr": a, "box_thr": b}
 
 
 def fit_rbf(keys: DataFrame, by: list[str], params: dict) -> ScaledRBF:

@@ -6,19 +6,27 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.occ import rp
-from keysift.operators.occ.registry import WIDTH, family, key_features
-from keysift.plans import evaluation, fixtures, sweep
+from keysift.operators.occ.registry import WIDTH, family, key_features, rp_axes
+from keysift.plans import evaluation, fixtures, full_sweep, sweep
 from keysift.plans.catalog import sql
 from keysift.plans.catalog.base import query
 from keysift.plans.catalog.membership import EVAL, RATE, STOPS, WORD_PROFILE_SQL, neighbour_probes, word_profile
-from keysift.plans.catalog.model_queries import NEXT_HITS, PARAMS, PLANES, PROJECTED, intervals_sql
+from keysift.plans.catalog.model_queries import NEXT_HITS, PARAMS, PLANES, PROJECTED, intervals_sql, projected_sql
 
 BY = ["table_id"]
 RULE = "hits > 6 * 0.5"
 
 # SQL twin: hits of every asked (table, key), the rejected own keys, their filters.
-OWN = PROJECTED + intervals_sql(PARAMS) + NEXT_HITS + f""",
-REJ AS (SELECT k.table_id, k.key, k.pos FROM K k JOIN H h ON h.side = 'own' AND h.table_id = k.table_id AND h.key = k.key WHERE NOT ({RULE}))"""
+def rule_sql(params: rp.RPParams) -> str:
+    return f"hits > {params.D * params.agg_thr!r}::DOUBLE"
+
+
+def own_sql(params: rp.RPParams) -> str:
+    return projected_sql(params.D) + intervals_sql(params) + NEXT_HITS + f""",
+REJ AS (SELECT k.table_id, k.key, k.pos FROM K k JOIN H h ON h.side = 'own' AND h.table_id = k.table_id AND h.key = k.key WHERE NOT ({rule_sql(params)}))"""
+
+
+OWN = own_sql(PARAMS)
 
 
 def fitted(spark, sf_dir):
@@ -103,18 +111,18 @@ def sample_every_k(spark, sf_dir):
     )
 
 
-def _model_eval_sql(truth: str) -> str:
+def _model_eval_sql(truth: str, params: rp.RPParams = PARAMS) -> str:
     """All (key, table) pairs up to the stop, answered by the model first and its backup filter second."""
     dims = " UNION ALL ".join(
-        f"SELECT table_id, key, x0 * {w[0]!r}::DOUBLE + x1 * {w[1]!r}::DOUBLE AS v, {d} AS dim FROM QX" for d, w in enumerate(PLANES.tolist())
+        f"SELECT table_id, key, x0 * {w[0]!r}::DOUBLE + x1 * {w[1]!r}::DOUBLE AS v, {d} AS dim FROM QX" for d, w in enumerate(PLANES[: params.D].tolist())
     )
     return (
-        OWN + sql.filter_ctes(RATE, "REJ") + EVAL.format(stops=STOPS[truth]) + f""",
+        own_sql(params) + sql.filter_ctes(RATE, "REJ") + EVAL.format(stops=STOPS[truth]) + f""",
 QX AS (SELECT q.table_id, q.key, CAST(split_part(key, ':', 2) AS DOUBLE) AS x0, CAST(CAST('0x' || split_part(key, ':', 3) AS BIGINT) AS DOUBLE) AS x1 FROM Q q),
 QJ AS ({dims}),
 QS AS (SELECT q.table_id, q.key, q.dim, q.v, i.hi FROM QJ q ASOF LEFT JOIN I i ON i.table_id = q.table_id AND i.dim = q.dim AND i.lo < q.v),
 QH AS (SELECT table_id, key, count(*) FILTER (v < hi) AS hits FROM QS GROUP BY table_id, key)""" + sql.hits_cte("Q", RATE) + f""",
-YES AS (SELECT q.table_id, q.key, CASE WHEN {RULE} THEN 'c' WHEN h.key IS NOT NULL THEN 'bf' END AS source
+YES AS (SELECT q.table_id, q.key, CASE WHEN {rule_sql(params)} THEN 'c' WHEN h.key IS NOT NULL THEN 'bf' END AS source
         FROM QH q LEFT JOIN HITS h ON h.table_id = q.table_id AND h.key = q.key),
 R AS (SELECT s.stop, s.n, y.table_id, y.source FROM ST s JOIN YES y ON y.key = s.key AND y.table_id <= s.stop),
 C AS (SELECT coalesce(sum(n) FILTER (table_id = stop AND source = 'c'), 0) AS tp_c, coalesce(sum(n) FILTER (table_id = stop AND source = 'bf'), 0) AS tp_bf,
@@ -208,21 +216,20 @@ def param_grid(spark, sf_dir):
 
 
 EMPTY_BITS = 8  # bits of a filter of capacity one: four slices of two bits
-SWEEP = [rp.RPParams(6, e, 0.5, b) for e in (1e-3, 2e-3) for b in (0, 2e-3)]
+SWEEP = full_sweep.Grid(dims=(4, 6), epsilons=(1e-3, 2e-3), aggs=(0.5, 0.8), boxes=(0, 2e-3))
 
 
 def _sweep_sql() -> str:
     """One evaluation per configuration, glued together; a single shared key table."""
     parts = []
-    for i, config in enumerate(SWEEP):
-        own = PROJECTED + intervals_sql(config) + NEXT_HITS
-        text = _model_eval_sql("any").replace(PROJECTED + intervals_sql(PARAMS) + NEXT_HITS, own)
-        head, tail = text.rsplit("SELECT round((fp_c", 1)
+    for i, dims, epsilon, agg, box, *_ in SWEEP.configurations():
+        params = rp.RPParams(dims, epsilon, agg, box)
+        head, tail = _model_eval_sql("any", params).rsplit("SELECT round((fp_c", 1)
         text = (
             head + f""",
-RJ AS (SELECT CAST(sum(CASE WHEN {RULE} THEN 0 ELSE n END) AS BIGINT) AS rejects FROM H WHERE side = 'own'),
+RJ AS (SELECT CAST(sum(CASE WHEN {rule_sql(params)} THEN 0 ELSE n END) AS BIGINT) AS rejects FROM H WHERE side = 'own'),
 BS AS (SELECT sum({sql.slices(RATE)} * bps) + {EMPTY_BITS} * (24 - count(*)) AS bits FROM FP)
-SELECT {i} AS config, 6 AS "D", {config.epsilon!r}::DOUBLE AS epsilon, 0.5::DOUBLE AS agg_thr, {float(config.box_thr)!r}::DOUBLE AS box_thr, rejects, round(bits / 8, 6)::DOUBLE AS bfsize, round((fp_c"""
+SELECT {i} AS config, {dims} AS "D", {epsilon!r}::DOUBLE AS epsilon, {agg!r}::DOUBLE AS agg_thr, {box!r}::DOUBLE AS box_thr, rejects, round(bits / 8, 6)::DOUBLE AS bfsize, round((fp_c"""
             + tail.replace("FROM C, T", "FROM C, T, RJ, BS")
         )
         parts.append(f"SELECT * FROM ({text})")
@@ -231,10 +238,20 @@ SELECT {i} AS config, 6 AS "D", {config.epsilon!r}::DOUBLE AS epsilon, 0.5::DOUB
 
 @query("grid_sweep", _sweep_sql())
 def grid_sweep(spark, sf_dir):
-    result = sweep.grid_sweep(fixtures.keys(spark, sf_dir), SWEEP, RATE)
+    result = full_sweep.full_sweep(fixtures.keys(spark, sf_dir), SWEEP, RATE)
     return result.withColumn("fpr", F.round("fpr", 6))
 
 
+@query("grid_sweep_full")
+def grid_sweep_full(spark, sf_dir):
+    """All 3 000 configurations of the family's own grid, from one pass over the keys for all of them.
+
+    No SQL twin: 2 560 intervals for each of the pairs of keys and tables take too long there.  ``grid_sweep`` runs
+    the same code on a smaller grid beside its SQL, and a unit test compares with single runs.
+    """
+    return full_sweep.full_sweep(fixtures.keys(spark, sf_dir), full_sweep.Grid(**rp_axes()), RATE)
+
+
 @query("fit_probe")
 def fit_probe(spark, sf_dir):
     """Models on TF-IDF of 4-grams, one per table, asked about their own keys and the next table's."""

@@ -39,10 +39,12 @@ def neighbour_points(spark, sf_dir):
 
 # --- SQL twins of the random-projection model: the sequential gap rule, written with lag -------------
 
-PROJECTED = PS + """,
-J AS (""" + " UNION ALL ".join(
-    f"SELECT table_id, key, {d} AS dim, x0 * {w[0]!r}::DOUBLE + x1 * {w[1]!r}::DOUBLE AS v FROM P" for d, w in enumerate(PLANES.tolist())
-) + ")"
+def projected_sql(dims: int) -> str:
+    projections = (f"SELECT table_id, key, {d} AS dim, x0 * {w[0]!r}::DOUBLE + x1 * {w[1]!r}::DOUBLE AS v FROM P" for d, w in enumerate(PLANES[:dims].tolist()))
+    return PS + ", J AS (" + " UNION ALL ".join(projections) + ")"
+
+
+PROJECTED = projected_sql(PARAMS.D)
 
 
 def intervals_sql(params: rp.RPParams, source: str = "J", name: str = "I", group: str = "table_id, dim") -> str:

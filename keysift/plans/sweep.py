@@ -56,54 +56,6 @@ def run(keys: DataFrame, name: str, params: dict, error_rate: float, skip: int =
     return record.withColumn("family", F.lit(name)).withColumn("elapsed", F.lit(elapsed))
 
 
-def sweep_model(keys: DataFrame, configs: list[rp.RPParams]) -> rp.RPModel:
-    """Models of many configurations at once, addressed by (config, table_id).
-
-    The rows are projected once, on the largest number of directions; smaller ones use a prefix of
-    the same directions.  Cells are aggregated per distinct gap width, islands are shared by all
-    thresholds.
-    """
-    dims = max(c.D for c in configs)
-    planes = rp.unit_planes(dims, WIDTH)
-    featured = keys.select("table_id", key_features().alias("x"))
-    long = featured.select("table_id", F.posexplode(rp.project(F.col("x"), planes)).alias("dim", "value"))
-    epsilons = sorted({c.epsilon for c in configs})
-    spread = long.withColumn("epsilon", F.explode(F.array(*map(F.lit, epsilons))))
-    group = ["epsilon", "table_id"]
-    islands = rp.merge_cells(rp.projection_cells(spread, group, F.col("epsilon")), group)
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("config"), F.lit(c.D).alias("dims"), F.lit(c.epsilon).alias("epsilon"), F.lit(float(c.box_thr)).alias("box_thr"))
-        for i, c in enumerate(configs)
-    ])
-    chosen = islands.withColumn("_g", F.explode(entries)).where("_g.epsilon = epsilon AND dim < _g.dims")
-    kept = rp.keep_intervals(chosen, F.col("_g.box_thr"), configs[0].closed)
-    intervals = materialize(kept.withColumn("config", F.col("_g.config")).drop("_g", "epsilon"))
-    least = F.element_at(F.array(*[F.lit(float(c.D * c.agg_thr)) for c in configs]), F.col("config") + 1)
-    shape = rp.RPParams(D=dims, epsilon=min(epsilons), closed=configs[0].closed)
-    rule = (lambda hits: hits >= least) if configs[0].closed else (lambda hits: hits > least)
-    return rp.RPModel(["config", "table_id"], shape, planes, intervals, key_features, rule=rule)
-
-
-def grid_sweep(keys: DataFrame, configs: list[rp.RPParams], error_rate: float, truth: str = "any", skip: int = 1) -> DataFrame:
-    """Rejects, sizes and counters of every configuration, in one set of jobs."""
-    by, ids = ["config", "table_id"], list(range(len(configs)))
-    model = sweep_model(keys, configs)
-    trained = keys.withColumn("config", F.explode(F.array(*map(F.lit, ids))))
-    filters, rejects = evaluation.backup_filters(trained, model, by, error_rate)
-    counters = evaluation.evaluate(keys, model, filters, truth, skip, "config", ids)
-    sizes = filters.params.groupBy("config").agg((F.sum("num_bits") / 8).alias("bfsize"))
-    errors = rejects.groupBy("config").agg(F.sum("rejects").alias("rejects"))
-    described = F.element_at(
-        F.array(*[
-            F.struct(F.lit(c.D).alias("D"), F.lit(c.epsilon).alias("epsilon"), F.lit(c.agg_thr).alias("agg_thr"), F.lit(float(c.box_thr)).alias("box_thr"))
-            for c in configs
-        ]),
-        F.col("config") + 1,
-    )
-    joined = counters.join(F.broadcast(sizes), "config").join(F.broadcast(errors), "config")  # one row per configuration
-    return joined.withColumn("_p", described).select("config", "_p.*", "rejects", "bfsize", "fpr", *evaluation.COUNTERS)
-
-
 def kfold(keys: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     """Shuffle each table and deal it into near-equal folds."""
     return grouped_ntile(keys, BY, [shuffle_key(F.col("key"), seed)], folds, "fold")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import bloom
 from keysift.operators.occ import registry, rp
-from keysift.plans import evaluation, sweep
+from keysift.plans import evaluation, full_sweep, sweep
 
 BY = ["table_id"]
 SETTINGS = {"D": 4, "epsilon": 0.05, "agg_thr": 0.5, "box_thr": 0.02}
@@ -105,11 +105,43 @@ def test_one_table_has_no_rate(spark, keys):
     assert evaluation.evaluate(only, model, filters).first()["fpr"] is None
 
 
-def test_sweep_equals_single_runs(spark, keys):
-    configs = [rp.RPParams(4, 0.05, 0.5, 0.02), rp.RPParams(3, 0.02, 0.8, 0.0)]
-    swept = {r["config"]: r for r in sweep.grid_sweep(keys, configs, 0.2).collect()}
-    for i, c in enumerate(configs):
-        single = sweep.run(keys, "epsilon", {"D": c.D, "epsilon": c.epsilon, "agg_thr": c.agg_thr, "box_thr": c.box_thr}, 0.2).first()
-        assert [swept[i][x] for x in evaluation.COUNTERS] == [single[x] for x in evaluation.COUNTERS]
+GRIDS = [
+    full_sweep.Grid(dims=(3, 4, 9), epsilons=(0.02, 0.05, 0.3), aggs=(0.5, 0.8, 1.0), boxes=(0, 0.02, 0.1)),
+    full_sweep.Grid(dims=(4,), epsilons=(0.05,), aggs=(0.0, 0.5), boxes=(0.0, 0.02), closed=True),
+]
+
+
+@pytest.mark.parametrize(("grid", "truth", "skip", "block_rows", "fan"), [(GRIDS[0], "any", 1, 1000, 64), (GRIDS[0], "owner", 7, 16, 2), (GRIDS[1], "any", 1, 30, 64)])
+def test_sweep_equals_single_runs(spark, keys, grid, truth, skip, block_rows, fan):
+    """Every figure of sampled configurations, also where a table's rows lie in many blocks that are merged level by level."""
+    swept = {r["config"]: r for r in full_sweep.full_sweep(keys, grid, 0.2, truth, skip, block_rows, fan).collect()}
+    configurations = grid.configurations()
+    assert sorted(swept) == list(range(len(configurations)))
+    for i, dims, epsilon, agg, box, *_ in configurations[:: max(1, len(configurations) // 6)]:
+        params = {"D": dims, "epsilon": epsilon, "agg_thr": agg, "box_thr": box, "closed": grid.closed}
+        single = sweep.run(keys, "epsilon", params, 0.2, skip, truth).first()
+        assert [swept[i][x] for x in ["D", "epsilon", "agg_thr", "box_thr", "fpr", *evaluation.COUNTERS]] == [dims, epsilon, agg, box, single["fpr"], *(single[x] for x in evaluation.COUNTERS)]
         assert swept[i]["bfsize"] == single["bfsize"]
         assert swept[i]["rejects"] == sum(single["error_train"].values())
+
+
+def test_sweep_of_odd_tables(spark):
+    """One row, equal rows, a key that is no pair of numbers, two far rows: tables without intervals still answer by their filters."""
+    rows = [(0, "a:1:1"), *[(1, "a:5:5")] * 4, (2, "nonsense"), (2, "a:1:ff"), (3, "a:1:1"), (3, "a:900000:ffff")]
+    keys = spark.createDataFrame(rows, "table_id int, key string")
+    grid = full_sweep.Grid(dims=(2, 3), epsilons=(0.01,), aggs=(0.5,), boxes=(0.0, 0.1))
+    for row in full_sweep.full_sweep(keys, grid, 0.1).collect():
+        assert row["truepositive"] == len(rows) and row["rejects"] == len(rows)
+
+
+def test_islands_in_any_order_and_overlapping_intervals():
+    import numpy as np
+
+    values = np.array([5.0, 1.0, 1.5, 9.0, 5.2])
+    whole = full_sweep.merged_islands(values, values, np.ones(5, int), 1.0)
+    parts = [full_sweep.merged_islands(v, v, np.ones(len(v), int), 1.0) for v in (values[:2], values[2:])]
+    again = full_sweep.merged_islands(*(np.concatenate(c) for c in zip(*parts)), 1.0)
+    assert [a.tolist() for a in whole] == [a.tolist() for a in again] == [[1.0, 5.0, 9.0], [1.5, 5.2, 9.0], [2, 2, 1]]
+    ordered = np.sort(values)
+    got = full_sweep.survived(ordered, np.argsort(values), np.array([0.0, 1.2]), np.array([2.0, 6.0]), np.array([2, 3], np.int16), False)
+    assert got.tolist() == [3, 2, 3, 0, 3]
