@@ -1,7 +1,8 @@
 """Isolation forests, one per table.
 
 Trees are grown on samples of ``sample_rows`` rows (a parameter of the family, 256 as a rule), so
-growing one tree is a bounded group; a row meets its table's packed forest once and walks all trees in place.
+growing one tree is a bounded group; chunks of a table's rows meet the table's forest and
+walk its trees as flat arrays, all rows a step at a time.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keysift.session import broadcast_if_small, settled
+from keysift.session import beside, broadcast_if_small, same_address, settled
 
 SAMPLE_ROWS = 256  # rows per tree unless the family's parameters say otherwise
 SEED = 0
@@ -86,43 +88,75 @@ def grow_trees(samples: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
     return grown
 
 
-def packed_forest(nodes: DataFrame, by: Sequence[str], depth: int) -> DataFrame:
-    """One row per table: for every tree, its nodes by number (numbers without a node are null)."""
-    by = list(by)
-    places = nodes.select(*by, "tree").distinct().withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((2 << depth) - 1).cast("bigint"))))
-    dense = places.join(nodes.select(*by, "tree", "node", F.struct("feature", "value", "path").alias("_n")), [*by, "tree", "node"], "left")
-    trees = dense.groupBy(*by, "tree").agg(F.sort_array(F.collect_list(F.struct("node", "_n"))).alias("_t"))
-    return trees.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("tree", F.col("_t._n").alias("nodes")))).alias("_f")).select(*by, F.col("_f.nodes").alias("_forest"))
+# Rows of a table that are scored together.
+CHUNK_ROWS = 1 << 17
+
+
+class Tree:
+    """A tree as flat arrays by node number: the root is 1, the children of ``i`` are ``2i`` and ``2i + 1``."""
+
+    def __init__(self, nodes: np.ndarray, feature: np.ndarray, value: np.ndarray, path: np.ndarray):
+        size = int(nodes.max()) + 1
+        self.feature, self.value, self.path = np.full(size, -1, np.int32), np.zeros(size), np.zeros(size)
+        self.feature[nodes], self.value[nodes], self.path[nodes] = feature, value, path
+
+    def paths(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The depth at which every row ends; all rows take a step at a time, those at a leaf stay."""
+        at = np.ones(len(columns[0]), np.int64)
+        moving = np.arange(len(at))
+        while len(moving):
+            feature = self.feature[at[moving]]
+            moving, feature = moving[feature >= 0], feature[feature >= 0]
+            here = at[moving]
+            right = np.zeros(len(moving), bool)
+            for f in np.unique(feature):
+                mine = feature == f
+                right[mine] = columns[f][moving[mine]] > self.value[here[mine]]
+            at[moving] = 2 * here + right
+        return self.path[at]
 
 
 def score(rows: DataFrame, nodes: DataFrame, by: Sequence[str], trees: int, sampled: DataFrame) -> DataFrame:
-    """Distinct rows (by, x) with ``score`` = ``2^(-E[path] / c(sample))``.
+    """All rows with ``score`` = ``2^(-E[path] / c(sample))``; null where a feature is null or the table has no forest.
 
-    The packed forest of a table is bounded by its trees and their samples; it meets the rows in one
-    join on the table, by broadcast while all forests are measured to be small, and rows are not multiplied by trees.
+    A table's forest, bounded by its trees and their samples, meets bounded chunks of the table's rows.
     """
     by = list(by)
     sizes = sampled.groupBy(*by, "tree").agg(F.count("*").alias("_n")).groupBy(*by).agg(F.max("_n").alias("_n"))
     n = F.col("_n")
     expected = F.when(n <= 2, 1.0).otherwise(2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n)
-    deepest = int(nodes.agg(F.max(F.floor(F.log2("node")))).first()[0] or 0)
-    forests = packed_forest(nodes, by, deepest).join(sizes.select(*by, expected.alias("_c")), by)
-    met = rows.select(*by, "x").distinct().join(settled(forests), by)
-
-    def step(tree):
-        def down(node, _):
-            here = F.get(tree, node)
-            right = (F.get(F.col("x"), here["feature"]) > here["value"]).cast("int")
-            return F.when(here["feature"] >= 0, 2 * node + right).otherwise(node)
-
-        return down
-
-    def path(tree):
-        leaf = F.aggregate(F.sequence(F.lit(0), F.lit(deepest)), F.lit(1), step(tree))
-        return F.get(tree, leaf)["path"]
-
-    mean = F.aggregate("_forest", F.lit(0.0), lambda total, tree: total + path(tree)) / trees
-    return met.select(*by, "x", F.pow(F.lit(2.0), -mean / F.col("_c")).alias("score"))
+    packed = nodes.groupBy(*by, "tree").agg(F.collect_list(F.struct("node", "feature", "value", "path")).alias("_t"))
+    packed = packed.select(*by, "tree", *[F.col(f"_t.{c}").alias(c) for c in ("node", "feature", "value", "path")])
+    forests = packed.join(broadcast_if_small(sizes.select(*by, expected.alias("_c"))), by)
+    # Every chunk of a table meets the table's forest.
+    parts = settled(rows.groupBy(*by).agg(F.expr(f"count(*) div {CHUNK_ROWS} + 1").alias("_parts")))
+    here, met = beside(parts, by)
+    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    brought = forests.join(here, same_address(by)).select(*[F.col(c).alias(f"_f{c}") for c in by], *forests.columns[len(by):], chunks.alias("_chunk"))
+    # Dealt by what the row itself holds: a repeated task deals it the same way.
+    dealt = rows.join(parts, by).withColumn("_chunk", F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_parts")
+
+    def walk(held, asked):
+        import pyarrow as pa
+
+        x = asked.column("x").combine_chunks()
+        lists = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+        width = len(lists) // max(1, len(x))
+        score = pa.nulls(len(x), pa.float64())
+        if held.num_rows and width and x.null_count == 0:
+            columns = list(np.ascontiguousarray(lists.reshape(-1, width).T))
+            parts = [held.column(c).combine_chunks() for c in ("node", "feature", "value", "path")]
+            total = np.zeros(len(x))
+            for i in np.argsort(held.column("tree").to_numpy()):
+                total += Tree(*(p[i].values.to_numpy() for p in parts)).paths(columns)
+            value = np.power(2.0, -(total / trees) / held.column("_c")[0].as_py())
+            score = pa.array(value, mask=np.isnan(lists).reshape(-1, width).any(axis=1))
+        kept = asked.drop_columns(["_chunk"])
+        return kept.append_column("score", score)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    groups = brought.groupBy(*[f"_f{c}" for c in by], "_chunk")
+    return groups.cogroup(dealt.groupBy(*by, "_chunk")).applyInArrow(walk, schema)
 
 
 def predict(score_column):

@@ -85,8 +85,7 @@ class ForestModel:
 
     def accept(self, rows: DataFrame) -> DataFrame:
         asked = rows.withColumn("x", F.col("_x"))
-        scored = iforest.score(asked, self.nodes, self.by, self.trees, self.samples)
-        answered = asked.join(scored, [*self.by, "x"], "left")
+        answered = iforest.score(asked, self.nodes, self.by, self.trees, self.samples)
         return answered.withColumn("accepted", F.coalesce(iforest.predict(F.col("score")) == 1, F.lit(False))).drop("x", "score")
 
 
