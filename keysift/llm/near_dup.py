@@ -7,10 +7,13 @@ principle, two signatures within that distance differ by at most ERRORS slots in
 leave out that many slots of a chunk is a key, so each such pair shares a key for certain.
 
 Documents of equal sets are one node.  Buckets of a key may be hot, so pairs are not formed at once: every
-node is first compared with the most central node of its buckets (the one that shares its keys with most
-others), which joins tight groups; then only buckets that still hold several components are searched, blocks
-against blocks, for pairs across components within the signature distance.  A pair is taken from the
-first key that it shares, and tested on a longer signature, in crowded buckets on the spot.  All candidates are confirmed on full sets.
+node is first compared with the most central node of its buckets (its leader: the one that shares its keys with
+most others), which joins tight groups.  Nodes of one leader that are still apart are then compared with each
+other where their sets are, block against block: pairs within the signature distance are counted out on full
+sets in one product of matrices, and only a spanning forest of the links leaves the task, so close copies that
+are not linked make no rows.  Pairs of different leaders come from the buckets that hold both, each from the
+first key that it shares; they are tested on a longer signature, in crowded buckets on the spot, and confirmed
+on full sets.
 """
 
 from __future__ import annotations
@@ -35,8 +38,11 @@ FINE_SLOTS = 1024
 CROWD = 50
 # Slots in which two signatures may differ within one chunk.
 ERRORS = 1
-# Nodes of one block of a bucket.
+# Nodes of one block of a bucket or group, and shingles of one block of a group.
 BLOCK = 1000
+BLOCK_SHINGLES = 1 << 20
+# Shingles whose holders are counted at one time.
+COUNTED = 4096
 PACKED = SLOTS // 4
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -145,7 +151,7 @@ def bucket_keys(nodes: DataFrame, distance: int) -> DataFrame:
 
 
 def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Pairs of nodes of one bucket, of different components, whose signatures are within ``distance``.
+    """Pairs of nodes of one bucket, of different components and leaders, whose signatures are within ``distance``.
 
     ``members`` are sorted runs of (``bucket``, ``one``, ``other``): the blocks of a bucket that meet.  A pair
     that shares several keys comes from the first of them only.
@@ -157,7 +163,7 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
         values = _unpacked(batch)
         group = np.stack([batch.column(c).to_numpy() for c in ("bucket", "one", "other")], axis=1)
         run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).any(axis=1)]))
-        component, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "n", "block", "node", "variant"))
+        component, leader, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "leader", "n", "block", "node", "variant"))
         crossing = batch.column("one").to_numpy() != batch.column("other").to_numpy()
         has_fine = batch.column("fine").is_valid().to_numpy(zero_copy_only=False)
         fine = np.zeros((len(run), FINE_SLOTS if has_fine.any() else 0), np.uint8)
@@ -169,7 +175,7 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
             if not len(i):
                 break
             j = i + step
-            fits = (component[i] != component[j]) & ((block[i] != block[j]) | ~crossing[i])
+            fits = (component[i] != component[j]) & (leader[i] != leader[j]) & ((block[i] != block[j]) | ~crossing[i])
             fits &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
             i, j = i[fits], j[fits]
             differs = values[i] != values[j]
@@ -206,6 +212,94 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share, by products of incidence matrices over bounded ranges of elements."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[element] > 1
+    owner, element = owner[common], (np.cumsum(times > 1) - 1)[element[common]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, COUNTED):
+        low, high = np.searchsorted(element, [first, first + COUNTED])
+        held = np.zeros((len(sets), COUNTED), np.float32)
+        held[owner[low:high], element[low:high] - first] = 1
+        shared += held @ held.T
+    # A sum of ones stays exact in these numbers up to 2^24 elements of one set.
+    return shared.astype(np.int64)
+
+
+def forest(linked: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all links and the known components connect, without those inside a component."""
+    reach = linked | (component[:, None] == component[None, :])
+    out, free = [], np.ones(len(reach), bool)
+    for root in range(len(reach)):
+        if not free[root]:
+            continue
+        free[root] = False
+        pending = [root]
+        while pending:
+            at = pending.pop()
+            fresh = np.flatnonzero(reach[at] & free)
+            free[fresh] = False
+            out.extend((at, int(x)) for x in fresh[component[fresh] != component[at]])
+            pending.extend(fresh.tolist())
+    return out
+
+
+def _of_one_leader(members: DataFrame, distance: int, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect the linked nodes of different components within a group, confirmed on full sets.
+
+    ``members`` are sorted runs of (``leader``, ``one``, ``other``): the blocks of a group that meet.
+    """
+    names = ("leader", "one", "other")
+
+    def links(run: pa.Table) -> pa.RecordBatch | None:
+        batch = run.combine_chunks().to_batches()[0]
+        component, node, size, block = (batch.column(c).to_numpy() for c in ("component", "node", "n", "block"))
+        if len(node) < 2 or (component == component[0]).all():
+            return None
+        values = _unpacked(batch)
+        apart = np.zeros((len(node), len(node)), np.uint8)
+        for slot in range(SLOTS):
+            apart += values[:, None, slot] != values[None, :, slot]
+        near = apart <= distance
+        near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+        near &= component[:, None] != component[None, :]
+        if batch.column("one")[0] != batch.column("other")[0]:
+            near &= block[:, None] != block[None, :]
+        asked = np.flatnonzero(near.any(axis=1))
+        if not len(asked):
+            return None
+        shared = shared_counts([np.frombuffer(batch.column("shingles")[i].as_buffer(), np.uint64) for i in asked.tolist()])
+        union = size[asked][:, None] + size[asked][None, :] - shared
+        found = forest(near[np.ix_(asked, asked)] & (100 * shared >= percent * union), component[asked])
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        a, b = node[asked][ends[:, 0]], node[asked][ends[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                piece = batch.slice(start, stop - start)
+                if held and any(held[-1].column(c)[0] != piece.column(c)[0] for c in names):
+                    found = links(pa.Table.from_batches(held))
+                    held = []
+                    if found is not None:
+                        yield found
+                held.append(piece)
+        if held and (found := links(pa.Table.from_batches(held))) is not None:
+            yield found
+
+    return members.mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``node``, packed ``shingles`` and longer signature ``fine`` of the nodes in ``wanted`` (``node``, ``least`` document)."""
     texts = text_only(docs).join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("least")))
@@ -255,11 +349,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets, "shingles").mapInArrow(run, "a long, b long")
 
 
+def _meeting(members: DataFrame) -> DataFrame:
+    """Every member once for each block of its group, its own included: blocks ``one`` and ``other`` meet."""
+    spread = members.withColumn("against", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return spread.withColumns({"one": F.least("block", "against"), "other": F.greatest("block", "against")})
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents connected by links of at least ``percent`` similarity of their sets of ``size``-word shingles.
 
     One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least ``doc_id`` reachable),
-    ``kept`` (it is that document) and ``n_links`` (links of its set to other sets that were confirmed).
+    ``kept`` (it is that document) and ``n_links`` (confirmed links of its set to other sets among those
+    that hold the class together; links inside what is already connected are not looked for).
 
     Texts with fewer words are one shingle; null, empty and blank texts have none, are linked with nothing
     and are kept.  Rows that share an id are judged by their texts, and stay together where those are alike.
@@ -290,23 +391,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = written(_sets(docs, candidates, size).dropDuplicates(["node"]), "shingle-sets")
     links = written(_confirmed(first, sets, percent), "first-links")
 
-    # Second round: pairs across the components that buckets still hold.
+    # Second round: nodes of one leader that are still apart, each sent once for each block that it meets.
+    joined = components(links)
+    known = best.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = written(known.join(nodes.drop("least"), "node"), "led-nodes")
+    apart = known.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    apart = apart.where("low != high").select("leader", blocks)
+    group = known.join(apart, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.select("node", "shingles"), "node")
+    group = _meeting(group).select("leader", "one", "other", "block", "component", "node", "n", "shingles", *packed)
+    group = group.repartition("leader", "one", "other").sortWithinPartitions("leader", "one", "other")
+    links = written(links.union(_of_one_leader(group, distance, percent)), "led-links")
+
+    # Third round: pairs of different leaders and components in the buckets that still hold such.
     joined = components(links)
-    members = crowded.select("key", "variant", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    leads = best.select("node", F.col("leader"))
+    members = crowded.select("key", "variant", "node").join(leads, "node", "left").join(joined, "node", "left")
+    members = members.withColumns({"component": F.coalesce("component", "node"), "leader": F.coalesce("leader", "node")})
+    ends = [f(c).alias(f"{name}_{c}") for c in ("component", "leader") for f, name in ((F.min, "low"), (F.max, "high"))]
+    mixed = members.groupBy("key").agg(*ends, F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")
-    mixed = mixed.where("low != high").select("key", blocks, (F.col("members") > CROWD).alias("crowd"))
+    mixed = mixed.where("low_component != high_component and low_leader != high_leader").select("key", blocks, (F.col("members") > CROWD).alias("crowd"))
     members = members.join(mixed, "key").join(nodes.drop("least"), "node").join(sets.select("node", "fine"), "node")
     members = members.withColumn("fine", F.when(F.col("crowd"), F.col("fine")))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("against", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    members = members.select(
-        F.col("key").alias("bucket"), F.least("block", "against").alias("one"), F.greatest("block", "against").alias("other"),
-        "block", "component", "node", "variant", "n", "fine", *packed,
+    members = _meeting(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))).select(
+        F.col("key").alias("bucket"), "one", "other", "block", "component", "leader", "node", "variant", "n", "fine", *packed,
     )
     members = members.repartition("bucket", "one", "other").sortWithinPartitions("bucket", "one", "other")
-    second = _across(members, distance, similarity).join(first, ["a", "b"], "left_anti")
-    second = written(_near_enough(second, sets, similarity), "second-pairs")
-    links = written(links.union(_confirmed(second, sets, percent)), "links")
+    third = _across(members, distance, similarity).join(first, ["a", "b"], "left_anti")
+    third = written(_near_enough(third, sets, similarity), "third-pairs")
+    links = written(links.union(_confirmed(third, sets, percent)), "links")
 
     joined = components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -365,3 +365,63 @@ def test_crowded_buckets_use_the_longer_signature(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CROWD", 2)
     docs = [(i, edited(prose(150, 7), 1 + i % 14, 300 + i)) for i in range(70)]
     assert classes(near_dup.near_duplicates(table(spark, docs), 3, 85)) == plain_classes(docs, 3, 85)
+
+
+# Groups of near copies
+
+def near_copies(count, changes, seed, words=400):
+    """Copies of one text, each with so many words replaced at random: close to each other, but mostly not linked."""
+    draw, base = random.Random(seed), [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(count):
+        own = list(base)
+        for at in draw.sample(range(words), changes):
+            own[at] = f"x{i}-{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_group_of_copies_that_are_not_linked(spark, monkeypatch):
+    """2 000 copies whose similarity lies around the threshold: the classes are those of brute force, from few rows."""
+    monkeypatch.setattr(near_dup, "BLOCK", 700)
+    texts = near_copies(1500, 11, 5) + near_copies(400, 7, 6) + near_copies(100, 2, 7)
+    docs = list(enumerate(texts))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(3)))) for t in texts]
+    held = near_dup.shared_counts(near_dup.shingle_sets([t.encode() for t in texts], 3))
+    size = np.array([len(s) for s in sets])
+    linked = 100 * held >= 85 * (size[:, None] + size[None, :] - held)
+    group = plain_components([(int(i), int(j)) for i, j in near_dup.forest(linked, np.arange(len(texts)))])
+    got = near_dup.near_duplicates(table(spark, docs).repartition(8), size=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: group.get(i, i) for i in range(len(texts))}
+
+
+def test_shared_counts_and_forests():
+    draw = random.Random(2)
+    sets = [np.unique(np.array([draw.randrange(300) for _ in range(draw.randrange(1, 200))], np.uint64)) for _ in range(40)]
+    got = near_dup.shared_counts(sets)
+    assert all(got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(40) for j in range(40) if i != j)
+    linked = np.array([[draw.random() < 0.05 for _ in range(60)] for _ in range(60)])
+    linked |= linked.T
+    component = np.array([i // 3 for i in range(60)])
+    edges = near_dup.forest(linked, component)
+    assert all(linked[a, b] and component[a] != component[b] for a, b in edges)
+    inside = [(3 * c, 3 * c + k) for c in range(20) for k in (1, 2)]
+    every = [(int(a), int(b)) for a, b in zip(*np.nonzero(linked))]
+    assert plain_components(inside + edges) == plain_components(inside + [e for e in every if e[0] != e[1]])
+    assert len(edges) < 60
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of 0.85 to 0.87: none may be lost."""
+    draw, docs, wanted = random.Random(8), [], []
+    for i in range(300):
+        base = [f"p{i}w{k}" for k in range(300)]
+        own = list(base)
+        for at in draw.sample(range(0, 300, 4), 7):
+            own[at] = "changed"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(own))]
+        a, b = (frozenset(zip(t, t[1:], t[2:])) for t in (base, own))
+        wanted.append(100 * len(a & b) >= 85 * len(a | b))
+    assert sum(wanted) > 250
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table(spark, docs), size=3, percent=85).collect()}
+    assert all((got[2 * i + 1] == 2 * i) == linked for i, linked in enumerate(wanted))
