@@ -12,7 +12,7 @@ import tiktoken
 from cases import no_documents, odd_documents, odd_rows
 from tokenizers import Tokenizer
 
-from keysift.llm import byte_bpe, queries, token_cache, token_files
+from keysift.llm import byte_bpe, queries, token_cache, token_files, vocab
 from keysift.llm.vocab import WordEncoder
 from keysift.session import scratch_path
 
@@ -116,9 +116,24 @@ def test_encode_keeps_offsets_and_decodes_parts(spark):
 def test_word_encoder_equals_library(library):
     encoder = WordEncoder(open(WORDS, "rb").read())
     texts = mixed_texts(3000, 6) + ["Hello, world. don't STOP", "y" * 200 + " z", ""]
+    texts += ["Straße!!! ÀÉþ*** a<|b <|endoftext|> x<|endoftext|>y it's, its', o'clock... (a) a.b,c; é\u0301! e\u0301? ---", "İstanbul ǅ ﬁne K Ω Ⅳ."]
     for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
-    assert not any(len(w) > 64 for w in encoder.known)
+    assert not any(len(w) > 64 for w in encoder.words)
+
+
+def test_word_encoder_starts_anew(library, monkeypatch):
+    """Small caches give the ids of large ones, word for word and count for count."""
+    monkeypatch.setattr(vocab, "CACHED_WORDS", 50)
+    monkeypatch.setattr(vocab, "CACHED_STEMS", 20)
+    encoder = WordEncoder(open(WORDS, "rb").read())
+    texts = mixed_texts(400, 11)
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    raws = [t.encode() for t in texts]
+    got = [ids.tolist() for i in range(0, 400, 7) for ids in encoder.encode(raws[i : i + 7])]
+    assert got == wanted
+    assert [n for i in range(0, 400, 9) for n in encoder.counts(raws[i : i + 9])] == list(map(len, wanted))
+    assert encoder.encode([]) == [] and encoder.counts([b"", b" "]) == [0, 0]
 
 
 def expected_run(rows, library):
