@@ -11,11 +11,12 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from keysift.session import beside, broadcast_if_small, same_address, settled
+from keysift.operators.occ import chunked
+from keysift.session import broadcast_if_small, settled
 
 SAMPLE_ROWS = 256  # rows per tree unless the family's parameters say otherwise
 SEED = 0
@@ -128,35 +129,22 @@ def score(rows: DataFrame, nodes: DataFrame, by: Sequence[str], trees: int, samp
     packed = nodes.groupBy(*by, "tree").agg(F.collect_list(F.struct("node", "feature", "value", "path")).alias("_t"))
     packed = packed.select(*by, "tree", *[F.col(f"_t.{c}").alias(c) for c in ("node", "feature", "value", "path")])
     forests = packed.join(broadcast_if_small(sizes.select(*by, expected.alias("_c"))), by)
-    # Every chunk of a table meets the table's forest.
-    parts = settled(rows.groupBy(*by).agg(F.expr(f"count(*) div {CHUNK_ROWS} + 1").alias("_parts")))
-    here, met = beside(parts, by)
-    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
-    brought = forests.join(here, same_address(by)).select(*[F.col(c).alias(f"_f{c}") for c in by], *forests.columns[len(by):], chunks.alias("_chunk"))
-    # Dealt by what the row itself holds: a repeated task deals it the same way.
-    dealt = rows.join(parts, by).withColumn("_chunk", F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_parts")
-
-    def walk(held, asked):
-        import pyarrow as pa
 
+    def walk(held: pa.Table, asked: pa.Table) -> pa.Array:
         x = asked.column("x").combine_chunks()
         lists = x.flatten().to_numpy(zero_copy_only=False).astype(float)
         width = len(lists) // max(1, len(x))
-        score = pa.nulls(len(x), pa.float64())
-        if held.num_rows and width and x.null_count == 0:
-            columns = list(np.ascontiguousarray(lists.reshape(-1, width).T))
-            parts = [held.column(c).combine_chunks() for c in ("node", "feature", "value", "path")]
-            total = np.zeros(len(x))
-            for i in np.argsort(held.column("tree").to_numpy()):
-                total += Tree(*(p[i].values.to_numpy() for p in parts)).paths(columns)
-            value = np.power(2.0, -(total / trees) / held.column("_c")[0].as_py())
-            score = pa.array(value, mask=np.isnan(lists).reshape(-1, width).any(axis=1))
-        kept = asked.drop_columns(["_chunk"])
-        return kept.append_column("score", score)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    groups = brought.groupBy(*[f"_f{c}" for c in by], "_chunk")
-    return groups.cogroup(dealt.groupBy(*by, "_chunk")).applyInArrow(walk, schema)
+        if not (held.num_rows and width) or x.null_count:
+            return pa.nulls(len(x), pa.float64())
+        columns = list(np.ascontiguousarray(lists.reshape(-1, width).T))
+        parts = [held.column(c).combine_chunks() for c in ("node", "feature", "value", "path")]
+        total = np.zeros(len(x))
+        for i in np.argsort(held.column("tree").to_numpy()):
+            total += Tree(*(p[i].values.to_numpy() for p in parts)).paths(columns)
+        score = np.power(2.0, -(total / trees) / held.column("_c")[0].as_py())
+        return pa.array(score, mask=np.isnan(lists).reshape(-1, width).any(axis=1))
+
+    return chunked.answered(rows, forests, by, walk, "score", CHUNK_ROWS)
 
 
 def predict(score_column):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from keysift.functions.text import parse_key
 from keysift.operators import features, scaling
-from keysift.operators.occ import gmm, iforest, naive_bayes, rbf, rp
+from keysift.operators.occ import gmm, gmm_vector, iforest, naive_bayes, rbf, rp
 from keysift.operators.occ.registry import WIDTH, family, key_features
-from keysift.plans import evaluation, fixtures
+from keysift.plans import cross_validation, evaluation, fixtures
 from keysift.plans.catalog.base import query
 from keysift.plans.catalog.feature_queries import DOCS, PS, doc_features
 from keysift.session import broadcast_if_small, materialize
@@ -391,6 +391,56 @@ def gmm_sample(spark, sf_dir):
     return joined.select("table_id", "component", "draws", near.alias("near_mean"))
 
 
+# --- mixtures of the 64-dimensional embeddings ---------------------------------------------------------
+
+DIMS = 64
+
+
+def vectors(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("label").alias("table_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query(
+    "gmm_vector_moments",
+    """WITH E AS (SELECT label AS table_id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+X AS (SELECT table_id, CASE WHEN e[1] < 0 THEN 0 ELSE 1 END AS component, vec_id, d, e[d + 1] AS v FROM E, range(64) r(d)),
+D AS (SELECT table_id, component, d, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM X GROUP BY ALL),
+N AS (SELECT table_id, count(*) AS n FROM E GROUP BY table_id)
+SELECT table_id, component, round(any_value(D.n)::DOUBLE / any_value(N.n), 6) AS weight, round(sum(m), 6) AS mean_sum, round(sqrt(sum(m * m)), 6) AS mean_norm,
+       round(sum(s) + 64e-6, 6) AS variance FROM D JOIN N USING (table_id) GROUP BY table_id, component""",
+)
+def gmm_vector_moments(spark, sf_dir):
+    """One estimate of full-covariance components over all rows, parted by the sign of the first feature."""
+    rows = vectors(spark, sf_dir).withColumn("component", F.when(F.col("x")[0] < 0, 0).otherwise(1))
+    total = lambda values, of: F.aggregate(values, F.lit(0.0), lambda t, v: t + of(v))
+    return gmm_vector.of_parts(rows, BY, DIMS).select(
+        "table_id", "component", F.round("weight", 6).alias("weight"), F.round(total("mean", lambda v: v), 6).alias("mean_sum"),
+        F.round(F.sqrt(total("mean", lambda v: v * v)), 6).alias("mean_norm"), F.round(total("factor", lambda v: v * v), 6).alias("variance"),
+    )
+
+
+@query("gmm_vector_fit")
+def gmm_vector_fit(spark, sf_dir):
+    """Mixtures of all labels at once, until the likelihood settles; a unit test repeats them one by one in NumPy."""
+    components, trace = gmm_vector.fit(vectors(spark, sf_dir), BY, DIMS)
+    rising = all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
+    return components.select("table_id", "component", F.round("weight", 6).alias("weight"), F.lit(rising).alias("rising"))
+
+
+@query("gmm_vector_band")
+def gmm_vector_band(spark, sf_dir):
+    """How many vectors of its own and of the next label lie within two deviations of a label's mean log-likelihood."""
+    rows = vectors(spark, sf_dir)
+    components, _ = gmm_vector.fit(rows, BY, DIMS)
+    scored = materialize(gmm_vector.with_log_likelihood(rows, components, BY, DIMS))
+    band = gmm.likelihood_band(scored, BY)
+    foreign = rows.withColumn("table_id", (F.col("table_id") + 1) % 10)
+    asked = scored.withColumn("side", F.lit("own")).unionByName(gmm_vector.with_log_likelihood(foreign, components, BY, DIMS).withColumn("side", F.lit("next")))
+    inside = gmm.band_prediction(F.col("ll"), F.col("mean"), F.col("sigma"), 2.0) == 1
+    return asked.join(broadcast_if_small(band), "table_id").groupBy("table_id", "side").agg(F.count_if(inside).alias("accepted"), F.count("*").alias("asked"))
+
+
 @query("iforest_predict")
 def iforest_predict(spark, sf_dir):
     """Accepted points and the mean score per table."""
@@ -434,25 +484,12 @@ def nb_classify(spark, sf_dir):
 
 @query("cv_grid")
 def cv_grid(spark, sf_dir):
-    """Cross-validated accuracy of a linear classifier on Fourier features, per kernel width and penalty."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    vectors = fixtures.table(spark, sf_dir, "embeddings").select(
-        F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 5).cast("double").alias("label")
-    )
-    results = []
-    for gamma in (0.01, 0.1):
-        z = rbf.fourier_features(F.col("x"), rbf.RBFParams(gamma=gamma, features=32), 64)
-        rows = materialize(vectors.select("label", array_to_vector(z).alias("features")))
-        svc = LinearSVC(maxIter=5, aggregationDepth=2)
-        grid = ParamGridBuilder().addGrid(svc.regParam, [0.001, 0.1]).build()
-        search = CrossValidator(estimator=svc, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=2, seed=42, parallelism=4)
-        fitted = search.fit(rows)
-        results += [(gamma, float(p[svc.regParam]), float(m)) for p, m in zip(grid, fitted.avgMetrics)]
-    return spark.createDataFrame(results, "gamma double, reg_param double, area_under_roc double")
+    """Accuracy over five folds for both kernels, several widths and penalties; a unit test repeats it in NumPy."""
+    rows = vectors(spark, sf_dir).withColumnRenamed("table_id", "label")
+    width = cross_validation.scale_gamma(rows)
+    kernels = [cross_validation.Kernel("linear"), *(cross_validation.Kernel("rbf", width * f) for f in (0.1, 1.0, 10.0))]
+    found = cross_validation.grid_search(rows, "vec_id", kernels, [0.1, 1.0, 10.0, 100.0])
+    return found.select("kernel", *[F.round(c, 6).alias(c) for c in ("gamma", "c", "mean_accuracy", "sd_accuracy")], "rank")
 
 
 STEPS = 500

@@ -1,24 +1,31 @@
 """Storage-log operators on a stream of log events.
 
-Each micro-batch writes its own partition of every state table, named by the batch id, and reads
-only partitions of earlier batches: a repeated batch overwrites what it wrote before, so results
-survive lost executors and restarted queries.  The watermark is the latest event time of the
-earlier batches less the allowed delay; events behind it are counted and dropped, and a read is
-resolved once the watermark has passed it.
+Events wait in a state store, by (family, key), until the watermark has passed them: event-time
+timers then release them, so what leaves the store is the log in its final order, slice by slice.
+The store also keeps each key's flushes and hands them out once for each slice that asks for the key;
+a batch therefore looks at its own events and at the history of the keys it asks for, never at the
+log so far.  What it needs to know about tables is metadata: compactions, and the first and last
+flush of every table between two compactions that name it.
+
+Each micro-batch writes its own partition of every table, named by the batch id, and reads only
+partitions of earlier batches: a repeated batch overwrites what it wrote before, so results survive
+lost executors and restarted queries.  Events behind the watermark are dropped by the engine and
+counted from its progress reports.  Watermarks and timers have a resolution of a millisecond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from keysift.operators import bloom
 from keysift.operators.bloom import FilterSet
 from keysift.plans import storage_log
-from keysift.session import broadcast_if_small
+from keysift.session import broadcast_if_small, materialize
 
 EVENT_SCHEMA = "kind string, t long, line_no long, cf string, `table` string, key string, inputs array<string>"
 NEVER = -(1 << 62)
@@ -51,86 +58,184 @@ def _state(spark: SparkSession, work: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(f"{work}/{name}")
 
 
-class LogIngest:
-    """Accepts events in watermark order; keeps accepted ones, counts late ones."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 
-    def __init__(self, spark: SparkSession, work: str, delay_micros: int):
-        self.spark, self.work, self.delay = spark, work, delay_micros
-        # Empty first partitions let every batch read its predecessors.
-        empty = spark.createDataFrame([], EVENT_SCHEMA)
-        _write(empty, work, "accepted", -1)
-        _write(spark.createDataFrame([], "latest long, late long"), work, "progress", -1)
-
-    def progress(self) -> DataFrame:
-        return _state(self.spark, self.work, "progress", "latest long, late long")
-
-    def watermark(self, before: int) -> int:
-        """Latest event time of the batches before this one, less the delay."""
-        row = self.progress().where(F.col("batch") < before).agg(F.max("latest")).first()
-        return NEVER if row[0] is None else row[0] - self.delay
-
-    def accepted(self, through: int) -> DataFrame:
-        return _state(self.spark, self.work, "accepted", EVENT_SCHEMA).where(F.col("batch") <= through).drop("batch")
-
-    def take(self, batch: DataFrame, number: int) -> None:
-        mark = self.watermark(number)
-        on_time = F.col("t") > mark
-        _write(batch.where(on_time), self.work, "accepted", number)
-        _write(batch.agg(F.max("t").alias("latest"), F.count_if(~on_time).alias("late")), self.work, "progress", number)
+#: ``role`` is 'event' for the log itself and 'held' for an earlier flush of a key that a read of the slice asks for.
+SETTLED = f"{EVENT_SCHEMA}, role string"
+HIT_SCHEMA = "line_no long, t long, cf string, key string, `table` string"
+COUNTER_SCHEMA = "cf string, reads long, cf_known long, found long, not_found long, cf_unknown long"
+META_SCHEMA = "cf string, `table` string, t long, line_no long"
+END = "end"
+#: Microseconds of a moment behind every log: 9999-01-01.
+FAR = 253_370_764_800_000_000
+
+
+class KeyHistory(StatefulProcessor):
+    """The events of one (family, key): those not yet settled by millisecond, and all settled flushes."""
+
+    WAITING = "events array<struct<kind:string,t:bigint,line_no:bigint,cf:string,`table`:string,key:string,inputs:array<string>>>"
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", self.WAITING)
+        self.flushes = handle.getListState("flushes", "cf string, `table` string, key string, t long, line_no long")
+        # The watermark of the slice that was last told the flushes.
+        self.told = handle.getValueState("told", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh: dict[int, list[tuple]] = {}
+        for r in rows:
+            if r["kind"] != END:
+                fresh.setdefault(r["t"] // 1000, []).append((r["kind"], r["t"], r["line_no"], r["cf"], r["table"], r["key"], r["inputs"]))
+        for at, events in fresh.items():
+            if self.waiting.containsKey((at,)):
+                events = [tuple(e) for e in self.waiting.getValue((at,))[0]] + events
+            else:
+                self.handle.registerTimer(at)
+            self.waiting.updateValue((at,), (events,))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        if not self.waiting.containsKey((at,)):
+            return
+        events = [tuple(e) for e in self.waiting.getValue((at,))[0]]
+        self.waiting.removeKey((at,))
+        if any(e[0] == "read" for e in events) and not (self.told.exists() and self.told.get()[0] == now):
+            self.told.update((now,))
+            if self.flushes.exists():
+                for cf, table, name, t, line_no in self.flushes.get():
+                    yield Row(kind="flush", t=t, line_no=line_no, cf=cf, table=table, key=name, inputs=None, role="held")
+        for kind, t, line_no, cf, table, name, inputs in events:
+            if kind == "flush":
+                self.flushes.appendValue((cf, table, name, t, line_no))
+            yield Row(kind=kind, t=t, line_no=line_no, cf=cf, table=table, key=name, inputs=inputs, role="event")
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(events: DataFrame, delay_micros: int) -> DataFrame:
+    """The events that the watermark has passed, and the earlier flushes of keys that are read (``SETTLED``).
+
+    A compaction is a group of its own: nothing about it depends on other events here.
+    """
+    timed = events.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", f"{delay_micros // 1000} milliseconds")
+    alone = F.concat(F.lit("\0"), "kind", F.lit(" "), F.col("line_no").cast("string"))
+    keyed = timed.withColumn("_key", F.when(F.col("kind").isin("flush", "read"), F.coalesce("key", F.lit(""))).otherwise(alone))
+    keyed = keyed.withColumn("_cf", F.coalesce("cf", F.lit("")))
+    return keyed.groupBy("_cf", "_key").transformWithState(KeyHistory(), SETTLED, "append", "EventTime")
+
+
+class LogStream:
+    """A log consumed into ``work``; may be stopped and continued with more files, and ended once."""
+
+    def __init__(self, spark: SparkSession, source: str, work: str, delay_micros: int, resolve: bool = True, files_per_batch: int = 8):
+        self.spark, self.source, self.work, self.delay = spark, source, work, delay_micros
+        self.resolving, self.files_per_batch = resolve, files_per_batch
+        for name, schema in (("end", EVENT_SCHEMA), ("late", "late long")):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{work}/{name}")
+
+    def _partition(self, name: str, schema: str, batch: int) -> DataFrame:
+        if batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.work}/{name}/batch={batch}")
+
+    def _all(self, name: str, schema: str) -> DataFrame:
+        return _state(self.spark, self.work, name, schema).drop("batch")
+
+    def _metadata(self, compactions: DataFrame, flushes: DataFrame) -> DataFrame:
+        """The first and the last flush of every table between two compactions that name it."""
+        edges = storage_log.compaction_edges(compactions)
+        named = edges.groupBy(F.col("input").alias("table")).agg(F.array_sort(F.collect_set("ord")).alias("_named"))
+        ordered = storage_log.with_order(flushes.withColumn("kind", F.lit("flush"))).join(broadcast_if_small(named), "table", "left")
+        times = F.size(F.filter(F.coalesce("_named", F.array()), lambda n: n < F.col("ord")))
+        ends = ordered.groupBy("cf", "table", times.alias("_times")).agg(F.min("ord").alias("_first"), F.max("ord").alias("_last"))
+        both = ends.select("cf", "table", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("o"))
+        return both.select("cf", "table", F.col("o.t").alias("t"), F.col("o.line_no").alias("line_no"))
+
+    def _take(self, batch: DataFrame, number: int) -> None:
+        """Write a slice of the settled log, and what its reads find."""
+        _write(batch, self.work, "settled", number)
+        rows = self._partition("settled", SETTLED, number)
+        events = rows.where("role = 'event'").drop("role")
+        if not self.resolving:
+            return
+        _write(events.where("kind = 'compaction'"), self.work, "compactions", number)
+        compactions = self._all("compactions", EVENT_SCHEMA)
+        flushes = events.where("kind = 'flush'")
+        known = self._partition("metadata", META_SCHEMA, number - 1).unionByName(flushes.select("cf", "table", "t", "line_no"))
+        _write(self._metadata(compactions, known), self.work, "metadata", number)
+        hits, counters = self.spark.createDataFrame([], HIT_SCHEMA), self.spark.createDataFrame([], COUNTER_SCHEMA)
+        if not events.where("kind = 'read'").isEmpty():
+            metadata = self._partition("metadata", META_SCHEMA, number).withColumn("kind", F.lit("flush"))
+            tables = compactions.unionByName(metadata, allowMissingColumns=True)
+            registry = storage_log.resolve(tables)
+            # Of the keys only those asked for: their flushes before this slice come with it.
+            held = rows.where("role = 'held'").drop("role")
+            registry.events = held.unionByName(flushes).unionByName(compactions)
+            found = materialize(storage_log.read_hits(registry, storage_log.read_rows(events)))
+            hits = found.select("line_no", "t", "cf", "key", "table")
+            counters = storage_log.read_counters(registry, found, ["cf"])
+        _write(hits, self.work, "hits", number)
+        _write(counters, self.work, "counters", number)
+
+    def consume(self) -> None:
+        """Take all files that are there; events within the delay of the latest one stay in the state store."""
+        conf = self.spark.conf
+        before = {name: conf.get(name, None) for name in (STATE_STORE, PROGRESS)}
+        conf.set(STATE_STORE, ROCKS)
+        conf.set(PROGRESS, "100000")
+        try:
+            log = event_stream(self.spark, self.source, files_per_batch=self.files_per_batch)
+            marks = event_stream(self.spark, f"{self.work}/end")
+            settled = settled_stream(log.unionByName(marks), self.delay)
+            query = settled.writeStream.foreachBatch(self._take).outputMode("append").option("checkpointLocation", f"{self.work}/checkpoint")
+            query = query.trigger(availableNow=True).start()
+            query.awaitTermination()
+            dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+        finally:
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
+        self.spark.createDataFrame([(dropped,)], "late long").write.mode("append").parquet(f"{self.work}/late")
+
+    def end(self) -> None:
+        """The log has ended: everything is settled.  Events that come later are late."""
+        self.consume()
+        mark = self.spark.createDataFrame([(END, FAR, 0, "", None, "", None)], EVENT_SCHEMA)
+        mark.coalesce(1).write.mode("append").parquet(f"{self.work}/end")
+        self.consume()
+
+    def accepted(self) -> DataFrame:
+        """The settled log."""
+        return self._all("settled", SETTLED).where("role = 'event'").drop("role")
+
+    def hits(self) -> DataFrame:
+        return self._all("hits", HIT_SCHEMA)
+
+    def counters(self) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("reads", "cf_known", "found", "not_found", "cf_unknown")]
+        return self._all("counters", COUNTER_SCHEMA).groupBy("cf").agg(*sums)
 
     def late(self) -> DataFrame:
-        return self.progress().agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+        """How many events came behind the watermark."""
+        return self.spark.read.schema("late long").parquet(f"{self.work}/late").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
 
 
-def ingest(spark: SparkSession, source: str, work: str, delay_micros: int) -> LogIngest:
+def ingest(spark: SparkSession, source: str, work: str, delay_micros: int) -> LogStream:
     """Consume a log to its end; ``merge_logs`` of what was accepted is the merged order."""
-    state = LogIngest(spark, work, delay_micros)
-    _run(event_stream(spark, source), work, state.take)
-    return state
-
-
-HIT_SCHEMA = "line_no long, t long, cf string, key string, `table` string"
-
-
-def resolve_between(events: DataFrame, low: int, high: int) -> tuple[storage_log.Registry, DataFrame]:
-    """The registry of the log so far, and the resolved reads of a time range.
-
-    Table lifetimes need no keys; of the keys only those asked for in the range are looked at.
-    """
-    reads = storage_log.read_rows(events.where((F.col("t") > low) & (F.col("t") <= high)))
-    past = events.where((F.col("kind") != "read") & (F.col("t") <= high))
-    registry = storage_log.resolve(past)
-    wanted = broadcast_if_small(reads.select("cf", "key").distinct())
-    registry.events = past.join(wanted, ["cf", "key"], "left_semi").unionByName(past.where("kind = 'compaction'"))
-    return registry, storage_log.read_hits(registry, reads)
-
-
-def _settled_reads(
-    spark: SparkSession, source: str, work: str, delay_micros: int, name: str, schema: str,
-    answer: Callable[[storage_log.Registry, DataFrame], DataFrame],
-) -> DataFrame:
-    """What ``answer`` makes of the reads of a whole log, each settled in the batch whose watermark passed it."""
-    state = LogIngest(spark, work, delay_micros)
-    _write(spark.createDataFrame([], schema), work, name, -1)
-    last = [-1]
-
-    def process(batch: DataFrame, number: int) -> None:
-        low = state.watermark(number)
-        state.take(batch, number)
-        _write(answer(*resolve_between(state.accepted(number), low, state.watermark(number + 1))), work, name, number)
-        last[0] = number
-
-    _run(event_stream(spark, source), work, process)
-    # The log has ended: settle what the watermark had not passed yet.
-    end = last[0] + 1
-    _write(answer(*resolve_between(state.accepted(last[0]), state.watermark(end), 1 << 62)), work, name, end)
-    return _state(spark, work, name, schema).drop("batch")
+    log = LogStream(spark, source, work, delay_micros, resolve=False)
+    log.end()
+    return log
 
 
-def stream_reads(spark: SparkSession, source: str, work: str, delay_micros: int) -> DataFrame:
-    """Resolved reads of a whole log."""
-    columns = ["line_no", "t", "cf", "key", "table"]
-    return _settled_reads(spark, source, work, delay_micros, "hits", HIT_SCHEMA, lambda registry, hits: hits.select(*columns))
+def resolve_log(spark: SparkSession, source: str, work: str, delay_micros: int) -> LogStream:
+    """Consume a log to its end and resolve all its reads."""
+    log = LogStream(spark, source, work, delay_micros)
+    log.end()
+    return log
 
 
 def stream_filters(spark: SparkSession, source: str, work: str, error_rate: float, capacity: int) -> FilterSet:
@@ -153,15 +258,3 @@ def stream_filters(spark: SparkSession, source: str, work: str, error_rate: floa
     words = _state(spark, work, "words", schema).groupBy(*by, "word").agg(F.bit_or("bits").alias("bits"))
     tables = _state(spark, work, "tables", "cf string, `table` string").select(*by).distinct()
     return FilterSet(by, error_rate, sized(tables), words)
-
-
-COUNTER_SCHEMA = "cf string, reads long, cf_known long, found long, not_found long, cf_unknown long"
-
-
-def stream_counters(spark: SparkSession, source: str, work: str, delay_micros: int) -> DataFrame:
-    """Read counters per family: every batch adds those of the reads that it settles."""
-    parts = _settled_reads(
-        spark, source, work, delay_micros, "counters", COUNTER_SCHEMA, lambda registry, hits: storage_log.read_counters(registry, hits, ["cf"])
-    )
-    sums = [F.sum(c).alias(c) for c in ("reads", "cf_known", "found", "not_found", "cf_unknown")]
-    return parts.groupBy("cf").agg(*sums)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from keysift.operators import scaling
 from keysift.operators.membership import KeyModelEstimator
-from keysift.operators.occ import gmm, iforest, rbf, registry, rp
+from keysift.operators.occ import gmm, gmm_vector, iforest, rbf, registry, rp
+from keysift.plans import cross_validation
 
 BY = ["table_id"]
 
@@ -96,6 +97,63 @@ def test_mixture_likelihood_rises_and_finds_the_clusters(spark):
     assert all(min(abs(m), abs(m - 5)) < 1.5 for m in means)
 
 
+def plain_em(x, k, rounds, cuts):
+    """The same expectation maximisation for one table, row by row."""
+    place = np.array([int((cuts < v).sum()) * k // 100 for v in x[:, 0]])
+    r = np.stack([place == i for i in range(k)], axis=1).astype(float)
+    trace = []
+    for turn in range(rounds + 1):
+        if turn:
+            logs = np.empty((len(x), len(w)))
+            for j in range(len(w)):
+                diff = x - m[j]
+                _, det = np.linalg.slogdet(c[j])
+                logs[:, j] = np.log(w[j]) - 0.5 * (x.shape[1] * np.log(2 * np.pi) + det + np.einsum("ij,jk,ik->i", diff, np.linalg.inv(c[j]), diff))
+            ll = np.log(np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)) + logs.max(axis=1)
+            r = np.exp(logs - ll[:, None])
+            trace.append(ll.mean())
+        r = r[:, r.sum(axis=0) > 1e-9]
+        w, m = r.sum(axis=0) / len(x), (r.T @ x) / r.sum(axis=0)[:, None]
+        c = [np.einsum("i,ij,ik->jk", r[:, j], x - m[j], x - m[j]) / r[:, j].sum() + 1e-6 * np.eye(x.shape[1]) for j in range(len(w))]
+    return w, m, c, trace
+
+
+def test_vector_mixtures_equal_em_of_each_table(spark, monkeypatch):
+    monkeypatch.setattr(gmm_vector, "BLOCK_NUMBERS", 5 * 40)
+    monkeypatch.setattr(gmm_vector, "CHUNK_ROWS", 30)
+    rng, rows = np.random.RandomState(3), []
+    tables = {7: np.concatenate([rng.normal(c, 0.5, (60, 5)) + 100 for c in (0, 3)]), 8: rng.normal(0, 1, (70, 5)) @ rng.normal(0, 1, (5, 5))}
+    for t, x in tables.items():
+        rows += [(t, v.tolist()) for v in x]
+    odd = [(7, None), (7, [1.0, None, 2.0, 3.0, 4.0]), (8, [1.0]), (8, [float("nan")] * 5), (9, [1.0] * 5)]
+    df = spark.createDataFrame(rows + odd[:-1], "table_id int, x array<double>").repartition(3)
+    components, trace = gmm_vector.fit(df, BY, 5, max_iter=4, tolerance=0.0)
+    assert len(trace) == 4 and all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
+    means = []
+    for t, x in tables.items():
+        q = df.where(f"table_id = {t} and size(x) = 5 and not exists(x, v -> v is null or isnan(v))").agg(
+            F.percentile_approx(F.col("x")[0], [i / 100 for i in range(1, 100)], 1000)).first()[0]
+        w, m, c, plain = plain_em(x, 9, 4, np.array(q))
+        got = components.where(f"table_id = {t}").orderBy("component").collect()
+        assert [r["weight"] for r in got] == pytest.approx(w.tolist(), abs=1e-6)
+        assert np.allclose([r["mean"] for r in got], m, atol=1e-6)
+        factors = [np.array(r["factor"]).reshape(5, 5) for r in got]
+        assert all(np.allclose(f @ f.T, cov, atol=1e-6) for f, cov in zip(factors, c))
+        means.append((plain, len(x)))
+    assert trace == pytest.approx([sum(p[i] * n for p, n in means) / sum(n for _, n in means) for i in range(4)], abs=1e-6)
+    scored = gmm_vector.with_log_likelihood(spark.createDataFrame(rows[:40] + odd, "table_id int, x array<double>"), components, BY, 5).collect()
+    assert len(scored) == 45 and sum(r["ll"] is None for r in scored) == 5
+
+
+def test_vector_mixture_of_flat_and_few_rows(spark):
+    """Rows in a line, and fewer rows than dimensions: the covariance is raised until it has a factor."""
+    rows = [(0, [float(i), 2.0 * i, 1e9]) for i in range(12)] + [(1, [1.0, 2.0, 3.0])]
+    components, _ = gmm_vector.fit(spark.createDataFrame(rows, "table_id int, x array<double>"), BY, 3, max_iter=3)
+    assert {r["table_id"] for r in components.collect()} == {0, 1}
+    nothing, trace = gmm_vector.fit(spark.createDataFrame([], "table_id int, x array<double>"), BY, 3)
+    assert nothing.count() == 0 and trace == []
+
+
 def test_component_rule(spark):
     sizes = [1, 9, 10, 59, 60, 10000, 10001]
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select(gmm.component_count(F.col("n")).alias("k")).collect()
@@ -173,3 +231,31 @@ def test_further_families_fit_back_up_and_answer(spark, name):
     assert evaluation.denied_keys(keys, model, filters).isEmpty()
     assert sum(r["rejects"] for r in rejects.collect()) < len(rows)
     assert {r["table_id"] for r in chosen.size(model).collect()} == {0, 1}
+
+
+def test_grid_search_equals_separate_fits(spark):
+    """Every setting fitted and scored fold by fold in NumPy, with an equation solved for each."""
+    rng = np.random.RandomState(5)
+    rows = [(i, int(i % 3), (rng.normal(i % 3, 0.8, 4)).tolist()) for i in range(150)]
+    odd = [(900, None, [1.0] * 4), (901, 1, None), (902, 1, [1.0]), (903, 1, [1.0, None, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "id long, label int, x array<double>").repartition(3)
+    kernels = [cross_validation.Kernel("linear"), cross_validation.Kernel("rbf", 0.2, 20)]
+    got = {(r["kernel"], r["c"]): r for r in cross_validation.grid_search(df, "id", kernels, [0.1, 10.0], folds=4).collect()}
+    assert len(got) == 4 and min(r["rank"] for r in got.values()) == 1
+    whole = df.where("size(x) = 4 and label is not null and not exists(x, v -> v is null)")
+    folded = cross_validation.stratified_folds(whole, 4, "id").collect()
+    x, label, fold = np.array([r["x"] for r in folded]), np.array([r["label"] for r in folded]), np.array([r["fold"] for r in folded])
+    assert all(abs((fold[label == k] == f).sum() - (label == k).sum() / 4) < 1 for k in range(3) for f in range(4))
+    targets = np.where(label[:, None] == np.arange(3), 1.0, -1.0)
+    for kernel in kernels:
+        z = kernel.map(x)
+        for c in (0.1, 10.0):
+            shares = []
+            for f in range(4):
+                train, held = fold != f, fold == f
+                w = np.linalg.solve(z[train].T @ z[train] + np.eye(z.shape[1]) / c, z[train].T @ targets[train])
+                shares.append(((z[held] @ w).argmax(axis=1) == label[held]).mean())
+            assert got[kernel.name, c]["mean_accuracy"] == pytest.approx(np.mean(shares))
+            assert got[kernel.name, c]["sd_accuracy"] == pytest.approx(np.std(shares))
+    assert got["rbf", 10.0]["mean_accuracy"] > 0.6
+    assert cross_validation.grid_search(df.limit(0), "id", kernels, [1.0]).count() == 0

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,26 +75,44 @@ def test_resolution_matches_a_sequential_replay(spark, seed):
     assert counters["reads"] == counters["cf_known"] + counters["cf_unknown"]
 
 
-def test_late_events_are_counted_and_reads_wait_for_the_watermark(spark, tmp_path):
+def test_late_events_are_counted_and_reads_wait_for_the_watermark(spark):
     source, work = scratch_path(spark, "test-log"), scratch_path(spark, "test-stream")
-    flush = lambda t, line, key: ("flush", t, line, "a", "/d/a/t0", key, None)
-    read = lambda t, line, key: ("read", t, line, "a", None, key, None)
+    at = 1000  # milliseconds
+    flush = lambda t, line, key: ("flush", t * at, line, "a", "/d/a/t0", key, None)
+    read = lambda t, line, key: ("read", t * at, line, "a", None, key, None)
     batches = [
         [flush(100, 1, "x"), read(110, 2, "y")],
         [flush(105, 3, "y"), flush(200, 4, "z")],  # out of order, but within the delay
-        [flush(120, 5, "w"), read(210, 6, "w")],  # behind the watermark: dropped
+        [flush(80, 5, "w"), flush(150, 7, "v"), read(210, 6, "w"), read(160, 8, "v")],  # 80 is behind what is settled: dropped
     ]
     for rows in batches:
         spark.createDataFrame(rows, log_stream.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    original = log_stream.event_stream
-    try:
-        log_stream.event_stream = lambda s, p: original(s, p, files_per_batch=1)
-        hits = {r["line_no"]: r["table"] for r in log_stream.stream_reads(spark, source, work, 20).collect()}
-    finally:
-        log_stream.event_stream = original
-    assert hits == {2: "/d/a/t0", 6: None}
-    late = log_stream._state(spark, work, "progress", "latest long, late long").agg(F.sum("late")).first()[0]
-    assert late == 1
+        time.sleep(0.05)
+    log = log_stream.LogStream(spark, source, work, 20 * at, files_per_batch=1)
+    log.end()
+    assert {r["line_no"]: r["table"] for r in log.hits().collect()} == {2: "/d/a/t0", 6: None, 8: "/d/a/t0"}
+    assert log.late().first()[0] == 1
+
+
+def test_a_stream_stopped_and_continued_equals_the_replay(spark):
+    """Files that arrive in two runs, the second from the checkpoint of the first: hits and counters are those of the whole log."""
+    source, work = scratch_path(spark, "test-log"), scratch_path(spark, "test-stream")
+    # Events of the epoch itself would be late: it is the first watermark.
+    rows = [(k, (t + 1) * 1000, *rest) for k, t, *rest in random_log(4, 120)]
+    reads, _, _ = replay(rows)
+    log = log_stream.LogStream(spark, source, work, 5000, files_per_batch=1)
+    for start, stop in ((0, 40), (40, 75), (75, 120)):
+        spark.createDataFrame(rows[start:stop], log_stream.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        if stop != 75:
+            log.consume()
+    log.end()
+    assert {r["line_no"]: r["table"] for r in log.hits().collect()} == {line: hit for line, (hit, _) in reads.items()}
+    counters = log.counters().agg(*[F.sum(c).alias(c) for c in ("reads", "cf_known", "found")]).first()
+    assert tuple(counters) == (len(reads), sum(known for _, known in reads.values()), sum(hit is not None for hit, _ in reads.values()))
+    assert {r["line_no"] for r in log.accepted().collect()} == {r[2] for r in rows}
+    # A slice is told the flushes of the keys it reads, once for each, and no others.
+    held = log._all("settled", log_stream.SETTLED).where("role = 'held'").collect()
+    assert {(r["cf"], r["key"]) for r in held} <= {(r[3], r[5]) for r in rows if r[0] == "read"}
 
 
 def test_a_chain_of_300_compactions(spark):
