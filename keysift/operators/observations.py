@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keysift.operators.ordering import grouped_row_number
+
 # What a missing run counts as.
 MISSING = {"fpr": 1.0, "bfsize": 1e6, "size": 1e10, "falsepositive_c": -1, "falsepositive_bf": -1, "error_train": -1}
 
@@ -14,7 +16,7 @@ MISSING = {"fpr": 1.0, "bfsize": 1e6, "size": 1e10, "falsepositive_c": -1, "fals
 def axis(rows: DataFrame, column: str, name: str) -> DataFrame:
     """The distinct values of a parameter with their index; an axis is as long as the sweep made it."""
     values = rows.select(F.col(column).alias(name)).distinct()
-    return values.withColumn("index", F.row_number().over(Window.orderBy(name)) - 1)
+    return grouped_row_number(values, [], [name], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def full_grid(rows: DataFrame, axes: dict[str, str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keysift.functions.text import parse_key
 from keysift.operators import overlap, scaling
-from keysift.operators.occ import gmm, iforest, rbf, rp
+from keysift.operators.occ import gmm, iforest, rbf, rp, svm_primal
 from keysift.operators.ordering import grouped_row_number
 from keysift.plans.evaluation import AlwaysNegative, Classifier
 from keysift.session import broadcast_if_small, materialize
@@ -112,6 +112,33 @@ def fit_rbf(keys: DataFrame, by: list[str], params: dict) -> ScaledRBF:
     return ScaledRBF(by, scalers, rbf.fit(scaling.apply_scaler(rows, scalers, by), by, rbf.RBFParams(**params), WIDTH))
 
 
+@dataclass
+class ScaledSVM:
+    """The primal machine on features scaled by the asked table's own scaler."""
+
+    by: list[str]
+    scalers: DataFrame
+    model: svm_primal.SVMModel
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_x", key_features())
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        answered = self.model.predict(scaling.apply_scaler(rows.withColumn("x", F.col("_x")), self.scalers, self.by))
+        return answered.select(*rows.columns, F.coalesce(F.col("prediction") == 1, F.lit(False)).alias("accepted"))
+
+
+def fit_svm(keys: DataFrame, by: list[str], params: dict) -> ScaledSVM:
+    rows = keys.select(*by, key_features().alias("x"))
+    scalers = scaling.fit_standard(rows, by)
+    return ScaledSVM(by, scalers, svm_primal.fit(scaling.apply_scaler(rows, scalers, by), by, svm_primal.SVMParams(**params), WIDTH))
+
+
+def svm_size(model: ScaledSVM) -> DataFrame:
+    """Bits of the weights and of the boundary."""
+    return model.model.threshold.select(*model.by, F.lit((model.model.params.features + 1) * 64).cast("bigint").alias("bits"))
+
+
 def rbf_grid() -> Iterable[dict]:
     """Rejected share, kernel width and tolerance of the RBF family's grid."""
     for nu, gamma, tol in itertools.product(np.logspace(-3, 0, 4), np.logspace(-1, 3, 3), [0.001, 0.01, 0.1, 1.0]):
@@ -222,6 +249,7 @@ def family(name: str) -> Family:
 register_family(Family("epsilon", fit_rp, rp_size, rp_grid, {"D": 9, "epsilon": 1e-2, "agg_thr": 0.9, "box_thr": 1e-2}))
 for _name in ("svmsimple", "libsvmsch"):
     register_family(Family(_name, fit_rbf, rbf_size, rbf_grid, {"nu": 0.1, "gamma": 0.5, "tol": 1e-3}))
+register_family(Family("svmprimal", fit_svm, svm_size, rbf_grid, {"nu": 0.1, "gamma": 0.5, "tol": 1e-2}))
 register_family(Family("isolationforest", fit_forest, forest_size, single, {"trees": 100, "sample_rows": iforest.SAMPLE_ROWS}))
 register_family(Family("gaussianmixture", fit_mixture, mixture_size, single, {"factor": 2.0}))
 register_family(Family("kernelepsilon", fit_kernel_rp, kernel_rp_size, single, {"D": 9, "epsilon": 1e-2, "agg_thr": 0.9, "box_thr": 1e-2, "kernel": "p"}))

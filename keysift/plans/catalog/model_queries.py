@@ -391,6 +391,20 @@ def gmm_sample(spark, sf_dir):
     return joined.select("table_id", "component", "draws", near.alias("near_mean"))
 
 
+@query("svm_primal")
+def svm_primal_query(spark, sf_dir):
+    """The one-class machine of every table: rejected share, how near its optimum it ended, and whether the objective fell throughout."""
+    keys = fixtures.keys(spark, sf_dir)
+    model = family("svmprimal").fit(keys, BY, {"nu": 0.1, "gamma": 0.5, "tol": 1e-2})
+    answered = model.accept(model.prepare(keys)).groupBy("table_id").agg(F.count("*").alias("points"), (F.count_if(~F.col("accepted")) / F.count("*")).alias("share"))
+    trace = model.model.trace
+    falling = all(b <= a * (1 + 1e-9) for a, b in zip(trace, trace[1:]))
+    joined = answered.join(broadcast_if_small(model.model.weights), "table_id")
+    return joined.select(
+        "table_id", "points", (F.abs(F.col("share") - 0.1) < 0.01).alias("share_near_nu"), (F.col("gap") < 0.2 * F.col("objective")).alias("near_optimum"), F.lit(falling).alias("falling"),
+    )
+
+
 # --- mixtures of the 64-dimensional embeddings ---------------------------------------------------------
 
 DIMS = 64

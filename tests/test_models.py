@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keysift.operators import scaling
 from keysift.operators.membership import KeyModelEstimator
-from keysift.operators.occ import gmm, gmm_vector, iforest, rbf, registry, rp
+from keysift.operators.occ import gmm, gmm_vector, iforest, rbf, registry, rp, svm_primal
 from keysift.plans import cross_validation
 
 BY = ["table_id"]
@@ -188,7 +188,7 @@ def test_constant_columns_scale_by_one(spark):
         assert fit(rows, BY).where("dim = 0").first()["scale"] == 1.0
 
 
-@pytest.mark.parametrize("name", ["epsilon", "svmsimple", "isolationforest", "np", "dic", "alwaysNegative"])
+@pytest.mark.parametrize("name", ["epsilon", "svmsimple", "svmprimal", "isolationforest", "np", "dic", "alwaysNegative"])
 def test_every_family_answers_every_row(spark, name):
     keys = model_keys(spark)
     chosen = registry.family(name)
@@ -259,3 +259,40 @@ def test_grid_search_equals_separate_fits(spark):
             assert got[kernel.name, c]["sd_accuracy"] == pytest.approx(np.std(shares))
     assert got["rbf", 10.0]["mean_accuracy"] > 0.6
     assert cross_validation.grid_search(df.limit(0), "id", kernels, [1.0]).count() == 0
+
+
+def solved_dual(z, nu, rounds=4000):
+    """Least norm of a mean of rows with no weight above one over ``nu n``, by many small steps."""
+    n = len(z)
+    alpha = np.full(n, 1 / n)
+    for t in range(rounds):
+        worst = np.zeros(n)
+        order = np.argsort(z @ (alpha @ z))
+        worst[order[: int(nu * n)]] = 1 / (nu * n)
+        alpha += 2 / (t + 2) * (worst - alpha)
+    return 0.5 * float((alpha @ z) @ (alpha @ z))
+
+
+def test_primal_machine_against_its_dual(spark):
+    rng, rows = np.random.RandomState(4), []
+    tables = {0: rng.normal(0, 1, (200, 2)), 1: np.concatenate([rng.normal(-2, 0.3, (150, 2)), rng.normal(2, 0.6, (150, 2))])}
+    for t, x in tables.items():
+        rows += [(t, v.tolist()) for v in x]
+    df = spark.createDataFrame([*rows, (0, None), (1, [1.0, None]), (1, [1.0])], "table_id int, x array<double>").repartition(3)
+    params = svm_primal.SVMParams(nu=0.2, gamma=0.5, tol=1e-3, features=32, max_iter=40)
+    model = svm_primal.fit(df, BY, params, 2)
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(model.trace, model.trace[1:]))
+    found = {r["table_id"]: r for r in model.weights.collect()}
+    for t, x in tables.items():
+        best = solved_dual(params.map(x), 0.2)
+        assert best * 0.99 <= found[t]["objective"] <= best * 1.03
+        w = np.array(found[t]["w"])
+        assert found[t]["objective"] == pytest.approx(0.5 * w @ w)
+    answered = model.predict(df).collect()
+    assert len(answered) == len(rows) + 3
+    for t, x in tables.items():
+        known = [r for r in answered if r["table_id"] == t and r["score"] is not None]
+        assert len(known) == len(x)
+        assert abs(sum(r["prediction"] == -1 for r in known) / len(x) - 0.2) < 0.03
+    ratios = {r["table_id"]: r["support_ratio"] for r in svm_primal.support_ratio(model, df.where("size(x) = 2")).collect()}
+    assert all(abs(v - 0.2) < 0.03 for v in ratios.values())
