@@ -30,6 +30,8 @@ KNOWN_WORDS = 500_000
 # Rows of a sorted run, and members of runs that choose the splitters (on the driver).
 RUN_ROWS = 1 << 17
 SAMPLES = 1 << 18
+# Members that every run gives for each segment, while those of all runs stay within ``SAMPLES``.
+PER_SEGMENT = 4
 # Segments grow with the root of the rows, as their size does, so that runs are not cut into ever smaller pieces.
 ROWS_PER_SQUARE = 256
 
@@ -175,7 +177,8 @@ def ranked(runs: DataFrame, drawn: int, sizes: list[int], segments: int | None =
     spark = runs.sparkSession
     eligible = runs.where("eligible").drop("eligible")
     segments = segments or math.isqrt(sum(sizes) // ROWS_PER_SQUARE) + 1
-    splitters = splitters_of(eligible, max(1, samples // len(sizes)), segments) if sizes and segments > 1 else []
+    each = max(1, min(PER_SEGMENT * segments, samples // max(1, len(sizes))))
+    splitters = splitters_of(eligible, each, segments) if sizes and segments > 1 else []
     shared = spark.sparkContext.broadcast(splitters)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
