@@ -8,12 +8,13 @@ leave out that many slots of a chunk is a key, so each such pair shares a key fo
 
 Documents of equal sets are one node.  Buckets of a key may be hot, so pairs are not formed at once: every
 node is first compared with the most central node of its buckets (its leader: the one that shares its keys with
-most others), which joins tight groups.  Nodes of one leader that are still apart are then compared with each
-other where their sets are, block against block: pairs within the signature distance are counted out on full
-sets in one product of matrices, and only a spanning forest of the links leaves the task, so close copies that
-are not linked make no rows.  Pairs of different leaders come from the buckets that hold both, each from the
-first key that it shares; they are tested on a longer signature, in crowded buckets on the spot, and confirmed
-on full sets.
+most others), which joins tight groups.  Leaders are always more central than those they lead, so the links to
+them form trees whose roots name the components.  Nodes whose leaders have the same leader are a group; those of a
+group that are still apart are then compared with each other where their sets are, block against block: pairs within
+the signature distance are counted out on full sets in one product of matrices, and only a spanning forest of the
+links leaves the task, so close copies that are not linked make no rows.  Pairs of different groups come from the
+buckets that hold both, each from the first key that it shares; they are tested on a longer signature, in crowded
+buckets on the spot, and confirmed on full sets.  Later rounds connect components, not nodes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.llm.graph import components
+from keysift.llm.graph import components, tree_roots
 from keysift.llm.tables import raw_texts, slices, text_only, written
 from keysift.llm.words import Numbering, lower_words
 
@@ -151,7 +152,7 @@ def bucket_keys(nodes: DataFrame, distance: int) -> DataFrame:
 
 
 def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Pairs of nodes of one bucket, of different components and leaders, whose signatures are within ``distance``.
+    """Pairs of nodes of one bucket, of different components and groups, whose signatures are within ``distance``.
 
     ``members`` are sorted runs of (``bucket``, ``one``, ``other``): the blocks of a bucket that meet.  A pair
     that shares several keys comes from the first of them only.
@@ -163,7 +164,7 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
         values = _unpacked(batch)
         group = np.stack([batch.column(c).to_numpy() for c in ("bucket", "one", "other")], axis=1)
         run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).any(axis=1)]))
-        component, leader, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "leader", "n", "block", "node", "variant"))
+        component, led, size, block, node, variant = (batch.column(c).to_numpy() for c in ("component", "group", "n", "block", "node", "variant"))
         crossing = batch.column("one").to_numpy() != batch.column("other").to_numpy()
         has_fine = batch.column("fine").is_valid().to_numpy(zero_copy_only=False)
         fine = np.zeros((len(run), FINE_SLOTS if has_fine.any() else 0), np.uint8)
@@ -175,7 +176,7 @@ def _across(members: DataFrame, distance: int, similarity: float) -> DataFrame:
             if not len(i):
                 break
             j = i + step
-            fits = (component[i] != component[j]) & (leader[i] != leader[j]) & ((block[i] != block[j]) | ~crossing[i])
+            fits = (component[i] != component[j]) & (led[i] != led[j]) & ((block[i] != block[j]) | ~crossing[i])
             fits &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
             i, j = i[fits], j[fits]
             differs = values[i] != values[j]
@@ -248,12 +249,12 @@ def forest(linked: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _of_one_leader(members: DataFrame, distance: int, percent: int) -> DataFrame:
+def _of_one_group(members: DataFrame, distance: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` that connect the linked nodes of different components within a group, confirmed on full sets.
 
-    ``members`` are sorted runs of (``leader``, ``one``, ``other``): the blocks of a group that meet.
+    ``members`` are sorted runs of (``group``, ``one``, ``other``): the blocks of a group that meet.
     """
-    names = ("leader", "one", "other")
+    names = ("group", "one", "other")
 
     def links(run: pa.Table) -> pa.RecordBatch | None:
         batch = run.combine_chunks().to_batches()[0]
@@ -355,6 +356,16 @@ def _meeting(members: DataFrame) -> DataFrame:
     return spread.withColumns({"one": F.least("block", "against"), "other": F.greatest("block", "against")})
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node``, ``component``) after ``links`` between nodes have connected their components."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+    ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    labels = labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return written(labels, "labels")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents connected by links of at least ``percent`` similarity of their sets of ``size``-word shingles.
 
@@ -385,44 +396,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Both count: a hub that is met often gathers its whole group, one that is met by chance does not.
     pull = (F.col("times") * F.col("leader.weight")).alias("pull")
     best = met.groupBy("node").agg(F.max(F.struct(pull, F.col("leader.node").alias("leader"))).alias("best"))
-    best = best.select("node", "best.leader")
-    first = written(best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "first-pairs")
-    candidates = crowded.select("node").distinct().join(nodes.select("node", "least"), "node")
+    best = written(best.select("node", "best.leader"), "leaders")
+    candidates = central.select("node").join(nodes.select("node", "least"), "node")
     sets = written(_sets(docs, candidates, size).dropDuplicates(["node"]), "shingle-sets")
-    links = written(_confirmed(first, sets, percent), "first-links")
-
-    # Second round: nodes of one leader that are still apart, each sent once for each block that it meets.
-    joined = components(links)
-    known = best.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = written(known.join(nodes.drop("least"), "node"), "led-nodes")
-    apart = known.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    first = best.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    led = written(_confirmed(first, sets, percent), "first-links")
+
+    # A node that none leads is its own group; so is one that shares no key, which the rounds below never meet.
+    above = best.select(F.col("node").alias("leader"), F.col("leader").alias("group"))
+    grouped = central.select("node").join(best, "node", "left").join(above, "leader", "left")
+    grouped = grouped.select("node", F.coalesce("group", "leader", "node").alias("group"))
+    tops = tree_roots(led.select(F.col("a").alias("node"), F.col("b").alias("up")))
+    labels = grouped.join(tops, "node", "left").select("node", "group", F.coalesce("up", "node").alias("component"))
+    known = written(labels.join(nodes.drop("least"), "node"), "led-nodes")
+
+    # Second round: nodes of one group that are still apart, each sent once for each block that it meets.
+    apart = known.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
-    apart = apart.where("low != high").select("leader", blocks)
-    group = known.join(apart, "leader").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.select("node", "shingles"), "node")
-    group = _meeting(group).select("leader", "one", "other", "block", "component", "node", "n", "shingles", *packed)
-    group = group.repartition("leader", "one", "other").sortWithinPartitions("leader", "one", "other")
-    links = written(links.union(_of_one_leader(group, distance, percent)), "led-links")
-
-    # Third round: pairs of different leaders and components in the buckets that still hold such.
-    joined = components(links)
-    leads = best.select("node", F.col("leader"))
-    members = crowded.select("key", "variant", "node").join(leads, "node", "left").join(joined, "node", "left")
-    members = members.withColumns({"component": F.coalesce("component", "node"), "leader": F.coalesce("leader", "node")})
-    ends = [f(c).alias(f"{name}_{c}") for c in ("component", "leader") for f, name in ((F.min, "low"), (F.max, "high"))]
+    apart = apart.where("low != high").select("group", blocks)
+    group = known.join(apart, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.select("node", "shingles"), "node")
+    group = _meeting(group).select("group", "one", "other", "block", "component", "node", "n", "shingles", *packed)
+    group = group.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other")
+    within = written(_of_one_group(group, distance, percent), "group-links")
+    labels = _relabelled(known.select("node", "component"), within)
+
+    # Third round: pairs of different groups and components in the buckets that still hold such.
+    members = crowded.select("key", "variant", "node").join(known.select("node", "group").join(labels, "node"), "node")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("component", "group") for f, name in ((F.min, "low"), (F.max, "high"))]
     mixed = members.groupBy("key").agg(*ends, F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")
-    mixed = mixed.where("low_component != high_component and low_leader != high_leader").select("key", blocks, (F.col("members") > CROWD).alias("crowd"))
+    mixed = mixed.where("low_component != high_component and low_group != high_group").select("key", blocks, (F.col("members") > CROWD).alias("crowd"))
     members = members.join(mixed, "key").join(nodes.drop("least"), "node").join(sets.select("node", "fine"), "node")
     members = members.withColumn("fine", F.when(F.col("crowd"), F.col("fine")))
     members = _meeting(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))).select(
-        F.col("key").alias("bucket"), "one", "other", "block", "component", "leader", "node", "variant", "n", "fine", *packed,
+        F.col("key").alias("bucket"), "one", "other", "block", "component", "group", "node", "variant", "n", "fine", *packed,
     )
     members = members.repartition("bucket", "one", "other").sortWithinPartitions("bucket", "one", "other")
-    third = _across(members, distance, similarity).join(first, ["a", "b"], "left_anti")
-    third = written(_near_enough(third, sets, similarity), "third-pairs")
-    links = written(links.union(_confirmed(third, sets, percent)), "links")
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    third = written(_near_enough(_across(members, distance, similarity).join(met, ["a", "b"], "left_anti"), sets, similarity), "third-pairs")
+    across = written(_confirmed(third, sets, percent), "across-links")
 
-    joined = components(links)
+    joined, links = _relabelled(labels, across), led.union(within).union(across)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = nodes.select("node", "least").join(joined, "node", "left").join(degrees, "node", "left")
     classes = classes.withColumn("component", F.coalesce("component", "node"))
