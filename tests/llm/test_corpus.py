@@ -13,7 +13,7 @@ from pyarrow import fs
 
 import corpus_pipeline
 from keysift.llm import elias_fano, lm, near_dup, queries, repeats
-from keysift.llm.graph import components
+from keysift.llm.graph import components, tree_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,6 +82,13 @@ def edited(text, changes, seed):
     return " ".join(words)
 
 
+def test_tree_roots(spark):
+    up = {1: 2, 2: 3, 3: 4, 4: 9, 5: 9, 6: 7, 10: 6}
+    got = tree_roots(spark.createDataFrame(list(up.items()), "node long, up long")).collect()
+    assert {r.node: r.up for r in got} == {1: 9, 2: 9, 3: 9, 4: 9, 5: 9, 6: 7, 10: 7} and len(got) == len(up)
+    assert tree_roots(spark.createDataFrame([], "node long, up long")).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = [(i, t) for i, t, *_ in odd_rows()]
     assert classes(near_dup.near_duplicates(odd_documents(spark), 3, 85)) == plain_classes(docs, 3, 85)
