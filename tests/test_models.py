@@ -118,6 +118,45 @@ def plain_em(x, k, rounds, cuts):
     return w, m, c, trace
 
 
+def test_plane_mixtures_equal_em_of_each_table(spark, monkeypatch):
+    monkeypatch.setattr(gmm, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(gmm, "PACK_ROWS", 90)
+    rng = np.random.RandomState(5)
+    points = {t: np.concatenate([rng.normal(c, 0.2, size=(n, 2)) for c, n in ((0.0, n // 2), (3.0, n // 4), (9.0, n // 4))]) for t, n in ((0, 48), (1, 200))}
+    rows = [(t, *map(float, x)) for t, xs in points.items() for x in xs]
+    df = spark.createDataFrame(rows, "table_id int, x0 double, x1 double").repartition(3)
+    components, trace = gmm.fit(df, BY, max_iter=4, tolerance=0.0)
+    totals = np.zeros(4)
+    for t, x in points.items():
+        cuts = df.where(f"table_id = {t}").agg(F.percentile_approx("x0", [i / 100 for i in range(1, 100)], 1000)).first()[0]
+        k = 9 if len(x) >= 60 else max(1, len(x) // 10)
+        w, m, c, own = plain_em(x, k, 4, np.array(cuts))
+        totals += np.array(own) * len(x)
+        got = components.where(f"table_id = {t}").orderBy("component").collect()
+        assert np.allclose([r["weight"] for r in got], w)
+        assert np.allclose([[r["m0"], r["m1"]] for r in got], m)
+        assert np.allclose([[r["c00"], r["c01"], r["c11"]] for r in got], [[v[0, 0], v[0, 1], v[1, 1]] for v in c])
+    assert np.allclose(trace, totals / sum(map(len, points.values())))
+    odd = spark.createDataFrame([(0, None, 1.0), (1, 2.0, None), (None, 1.5, 1.0)], df.schema)
+    blocks = gmm.blocks_of(df.union(odd), BY).collect()
+    assert sorted(v for b in blocks for v in b["x0s"]) == sorted([1.5, *(r[1] for r in rows)])
+    assert max(len(b["x0s"]) for b in blocks) <= 40
+
+
+def test_components_far_from_a_run_of_rows_add_nothing(monkeypatch):
+    monkeypatch.setattr(gmm, "RUN_ROWS", 16)
+    rng = np.random.RandomState(6)
+    x = rng.uniform(size=(300, 2))
+    order = gmm.neighbours(x[:, 0], x[:, 1])
+    assert sorted(order.tolist()) == list(range(300))
+    turned = rng.normal(size=(25, 2, 2)) * 0.02
+    c = turned @ turned.transpose(0, 2, 1) + 1e-6 * np.eye(2)
+    mix = {"weight": rng.dirichlet(np.ones(25)), "m0": rng.uniform(size=25), "m1": rng.uniform(size=25), "c00": c[:, 0, 0], "c01": c[:, 0, 1], "c11": c[:, 1, 1]}
+    got = gmm.moments(x[order, 0], x[order, 1], mix)
+    monkeypatch.setattr(gmm, "NEGLIGIBLE", -np.inf)
+    assert np.allclose(got, gmm.moments(x[:, 0], x[:, 1], mix), rtol=1e-11, atol=1e-15)
+
+
 def test_vector_mixtures_equal_em_of_each_table(spark, monkeypatch):
     monkeypatch.setattr(gmm_vector, "BLOCK_NUMBERS", 5 * 40)
     monkeypatch.setattr(gmm_vector, "CHUNK_ROWS", 30)
