@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -125,6 +126,44 @@ def test_sweep_equals_single_runs(spark, keys, grid, truth, skip, block_rows, fa
         assert swept[i]["rejects"] == sum(single["error_train"].values())
 
 
+@pytest.mark.parametrize("truth,skip", [("any", 1), ("owner", 7)])
+def test_a_sweep_of_one_equals_asking_table_by_table(spark, keys, truth, skip):
+    model = registry.family("epsilon").fit(keys, BY, SETTINGS)
+    filters, rejects = evaluation.backup_filters(keys, model, BY, 0.2)
+    want = evaluation.evaluate(keys, model, filters, truth, skip).first().asDict()
+    record = sweep.run(keys, "epsilon", SETTINGS, 0.2, skip, truth).first()
+    assert {c: record[c] for c in want} == want
+    assert record["error_train"] == {r["table_id"]: r["rejects"] for r in rejects.collect()}
+    assert record["bfsize"] == bloom.total_filter_bytes(filters.params).first()[0]
+
+
+def test_a_sweep_sends_models_in_lots_and_moves_no_probes(spark, keys, monkeypatch):
+    grid = full_sweep.Grid(dims=(2, 4), epsilons=(0.05, 0.2), aggs=(0.5,), boxes=(0.0, 0.02))
+    rows = lambda: sorted(map(tuple, full_sweep.full_sweep(keys, grid, 0.2).collect()))
+    together, dealt, plain = rows(), [], full_sweep.lots
+    monkeypatch.setattr(full_sweep, "LOT_BYTES", 3000)
+    monkeypatch.setattr(full_sweep, "FEW_TABLES", 2)
+    monkeypatch.setattr(full_sweep, "lots", lambda facts: dealt.extend(plain(facts)) or dealt)
+    assert rows() == together
+    assert len(dealt) > 1 and sorted(p for lot in dealt for p in lot) == [(t, e) for t in range(4) for e in range(2)]
+    monkeypatch.setattr(full_sweep, "LOT_BYTES", 1 << 20)
+    dealt.clear()
+    assert rows() == together and len(dealt) == 1
+
+
+def test_digests_give_the_words_of_the_filters(spark):
+    """Also where widths share a hash function, and where one of them needs several salts."""
+    for slices in (4, 7, 17):
+        digests = full_sweep.Digests.of([2, 4, 8], slices)
+        row = spark.createDataFrame([("1:2:ff",), ("ü",)], "key string").select("key", *digests.columns()).toArrow()
+        got = digests.words(lambda name: b"".join(row.column(name).to_pylist()), 2)
+        for width in (2, 4, 8):
+            for i, key in enumerate(row.column("key").to_pylist()):
+                scheme = digests.schemes[width]
+                raw = b"".join(d[: scheme.words_per_digest * width] for d in (hashlib.new(scheme.algorithm, salt + key.encode()).digest() for salt in scheme.salts))
+                assert [int(w[i]) & ((1 << 8 * width) - 1) for w in got[width]] == [int.from_bytes(raw[width * s : width * (s + 1)], "little") for s in range(slices)]
+
+
 def test_sweep_of_odd_tables(spark):
     """One row, equal rows, a key that is no pair of numbers, two far rows: tables without intervals still answer by their filters."""
     rows = [(0, "a:1:1"), *[(1, "a:5:5")] * 4, (2, "nonsense"), (2, "a:1:ff"), (3, "a:1:1"), (3, "a:900000:ffff")]
