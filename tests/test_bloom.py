@@ -162,3 +162,22 @@ def test_scalable_filter_grows_and_denies_nothing(spark):
     assert [r["capacity"] for r in scalable_bloom.layer_summary(layers, BY).where("table_id = 0").orderBy("layer").collect()] == [100, 400, 1600]
     probes = keys.select("table_id", "key").distinct()
     assert scalable_bloom.probe_layers(probes, layers).count() == probes.count()
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 700, 100])
+def test_layers_asked_together_answer_as_layer_by_layer(spark, monkeypatch, limit):
+    """In one lot, in several, and where one group's filters are too large for a lot."""
+    keys = key_rows(spark, {0: [str(i) for i in range(900)], 1: ["x", "y"], 2: [f"k{i}" for i in range(300)]})
+    layers = scalable_bloom.build_layers(keys, BY, 0.3, initial=50)
+    rows = [(t, str(i)) for t in range(4) for i in range(800, 1500)] + [(t, k) for t in range(3) for k in ("x", "y", "k7", None)] + [(None, "x"), (0, "1"), (0, "1")]
+    probes = spark.createDataFrame(rows, "table_id int, key string").repartition(3)
+    each = [bloom.probe_hits(bloom.with_digests(probes, layer), layer).collect() for layer in layers]
+    want = {(r["table_id"], r["key"]) for found in each for r in found}
+    assert len(want) < len(set(rows))
+    if limit < 1 << 20:
+        monkeypatch.setattr(scalable_bloom, "LOT_BYTES", limit)
+    monkeypatch.setattr(scalable_bloom, "ASK_ROWS", 500)
+    lots, large = scalable_bloom._lots(layers, BY)
+    assert len(lots) + bool(large) == {1 << 20: 1, 700: 2, 100: 1}[limit]
+    got = scalable_bloom.probe_layers(probes, layers).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
