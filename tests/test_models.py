@@ -8,6 +8,7 @@ from keysift.operators import scaling
 from keysift.operators.membership import KeyModelEstimator
 from keysift.operators.occ import gmm, gmm_vector, iforest, rbf, registry, rp, svm_primal
 from keysift.plans import cross_validation
+from keysift.plans.catalog.model_queries import differing
 
 BY = ["table_id"]
 
@@ -70,6 +71,33 @@ def test_batch_lookup_equals_joined_lookup_and_plain_python(spark):
         assert accepted == (hits > 2.5)
 
 
+def test_joins_of_few_directions_give_the_same_answers(spark, monkeypatch):
+    """Lookups are joined a few directions at a time, so that the JVM compiles their code; also rows without a table or a number."""
+    keys = model_keys(spark)
+    odd = spark.createDataFrame([(0, "h:x:1"), (0, None), (7, "h:1:1"), (None, "h:1:1")], keys.schema)
+    model = registry.fit_rp(keys, BY, {"D": 5, "epsilon": 0.03, "agg_thr": 0.5, "box_thr": 0.01})
+    rows = lambda: sorted(map(tuple, model.accept(model.prepare(keys.union(odd))).select("table_id", "key", "accepted").collect()), key=str)
+    few = rows()
+    assert len(model.packed()) == 3 and len(few) == keys.count() + 4
+    monkeypatch.setattr(rp, "JOINED_DIMS", 5)
+    assert rows() == few
+
+
+def test_long_rows_meet_small_cells_without_a_shuffle(spark):
+    keys = model_keys(spark)
+    model = registry.fit_rp(keys, BY, {"D": 5, "epsilon": 0.03, "agg_thr": 0.5, "box_thr": 0.01})
+    long = model.prepare(keys.distinct()).select("table_id", "key", F.posexplode("_v").alias("dim", "value"))
+    plan = rp.score_long(long, model.intervals, BY, ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_differing_rows_are_those_of_both_differences(spark):
+    first = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "n int, s string")
+    second = spark.createDataFrame([(1, "a"), (3, None), (None, "c"), (4, "d"), (4, "d")], "n int, s string")
+    want = first.exceptAll(second).unionByName(second.exceptAll(first))
+    assert sorted(map(tuple, differing(first, second).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_directions_drawn_in_tasks_equal_the_local_ones(spark):
     planes = rp.unit_planes(3, 7)
     for r in rp.plane_rows(spark, 3, 7).collect():
