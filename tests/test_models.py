@@ -212,6 +212,20 @@ def test_vector_mixtures_equal_em_of_each_table(spark, monkeypatch):
     assert len(scored) == 45 and sum(r["ll"] is None for r in scored) == 5
 
 
+def test_far_components_of_a_vector_mixture_are_told_by_few_dimensions():
+    rng = np.random.RandomState(8)
+    means = rng.normal(size=(12, 20)) * 30
+    factors = np.linalg.cholesky(np.stack([a @ a.T + np.eye(20) for a in rng.normal(size=(12, 20, 20))]))
+    mixture = gmm_vector.Mixture(rng.dirichlet(np.ones(12)), means, factors)
+    x = np.concatenate([means.repeat(15, axis=0) + rng.normal(size=(180, 20)), rng.normal(size=(20, 20)) * 40])
+    whole = np.stack([mixture._density(k, x, 20) for k in range(12)], axis=1)
+    got = mixture.log_densities(x)
+    assert np.isinf(got).sum() > 1000
+    assert np.allclose(got[np.isfinite(got)], whole[np.isfinite(got)])
+    assert np.allclose(gmm_vector.log_sum(got), gmm_vector.log_sum(whole), rtol=1e-13)
+    assert (np.exp(whole - gmm_vector.log_sum(whole)[:, None])[np.isinf(got)] < 2e-22).all()
+
+
 def test_vector_mixture_of_flat_and_few_rows(spark):
     """Rows in a line, and fewer rows than dimensions: the covariance is raised until it has a factor."""
     rows = [(0, [float(i), 2.0 * i, 1e9]) for i in range(12)] + [(1, [1.0, 2.0, 3.0])]
@@ -340,6 +354,21 @@ def solved_dual(z, nu, rounds=4000):
     return 0.5 * float((alpha @ z) @ (alpha @ z))
 
 
+def test_feature_sums_by_score_range(monkeypatch):
+    monkeypatch.setattr(svm_primal, "STEP_ROWS", 70)
+    rng, params = np.random.RandomState(3), svm_primal.SVMParams(features=16)
+    x, w = rng.normal(size=(500, 2)), rng.normal(size=16)
+    z = params.map(x)
+    scores = z @ w
+    place = np.clip(((scores + 0.4) / 1.0 * svm_primal.RANGES).astype(int), 0, svm_primal.RANGES - 1)
+    totals = np.zeros((svm_primal.RANGES, 16))
+    np.add.at(totals, place, z)
+    counts, got, low, high = svm_primal.range_sums(x, w, -0.4, 0.6, params)
+    assert np.array_equal(counts, np.bincount(place, minlength=svm_primal.RANGES))
+    assert np.allclose(got, totals) and np.allclose([low, high], [scores.min(), scores.max()])
+    assert svm_primal.range_sums(x, w, 0.0, 0.0, params)[0][0] == 500
+
+
 def test_primal_machine_against_its_dual(spark):
     rng, rows = np.random.RandomState(4), []
     tables = {0: rng.normal(0, 1, (200, 2)), 1: np.concatenate([rng.normal(-2, 0.3, (150, 2)), rng.normal(2, 0.6, (150, 2))])}
